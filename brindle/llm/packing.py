@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +16,6 @@ from brindle.llm.common import ranked, table, written
 
 #: Distinct words a worker keeps ids of, before it starts anew.
 WORDS = 400_000
-#: Characters tokenized at once.
-CHARS = 2_000_000
 #: Nodes the branch and bound may open; beyond them the best packing so far stands.
 NODES = 2_000
 #: Fillings tried at a node.
@@ -24,6 +23,11 @@ WIDTH = 4
 
 #: Texts of these characters only have one reading of letters, case and white space in every library.
 _PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7eÀ-ÖØ-öø-ÿ]*")
+#: Of such texts in lower case, the parts that are merged apart from each other.
+_WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
+#: The letter that byte-level vocabularies write for each byte: itself where Latin-1 prints it, else the next from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: chr(b if b in _PRINTED else 256 + b - sum(x < b for x in _PRINTED)) for b in range(256)}
 
 
 class WordIds(dict):
@@ -38,40 +42,29 @@ class WordIds(dict):
     def ids(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        """Asks the tokenizer for all words not met yet, at once; words met long ago make room."""
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            if word.isalpha():
+                if not word.isascii():
+                    word_bytes = "".join(map(_BYTES.__getitem__, word.encode()))
+                else:
+                    word_bytes = word
+                found = array("I", [x.id for x in self.tokenizer.model.tokenize(word_bytes)]).tobytes()
+            else:
+                parts = _WORD.findall(word)
+                found = b"".join(map(self.__getitem__, parts)) if parts != [word] else self.ids(word)
         if len(self) >= WORDS:
             self.old = dict(self)
             self.clear()
-        new = []
-        for word in words.difference(self):
-            if word in self.old:
-                self[word] = self.old[word]
-            else:
-                new.append(word)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            found = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids, of = np.asarray(found.ids, dtype="<u4"), np.asarray(found.word_ids)
-            ends = (np.searchsorted(of, np.arange(len(part)), side="right") * 4).tolist()
-            data, start = ids.tobytes(), 0
-            for word, end in zip(part, ends):
-                self[word] = data[start:end]
-                start = end
-
-    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each whole text, a few million characters at a time."""
-        at = 0
-        while at < len(texts):
-            held, size = [], 0
-            while at < len(texts) and (not held or size + len(texts[at]) < CHARS):
-                text = texts[at]
-                held.append(text if "<|" in text or not _PLAIN.fullmatch(text) else text.lower().split())
-                size += len(text)
-                at += 1
-            self.learn({w for x in held if isinstance(x, list) for w in x})
-            for x in held:
-                yield self.ids(x) if isinstance(x, str) else b"".join(map(self.__getitem__, x))
+        if len(word) < 64:
+            self[word] = found
+        return found
+
+    def encode(self, text: str) -> bytes:
+        if "<|" in text or not _PLAIN.fullmatch(text):
+            return self.ids(text)
+        return b"".join(map(self.__getitem__, text.lower().split()))
 
 
 _tables: dict[str, WordIds] = {}
@@ -93,9 +86,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, limit: int = 4096, end_id: int
         words, end, step = word_ids(tokenizer), np.asarray([end_id], dtype="<u4").tobytes(), 4 * limit
         for batch in batches:
             rows: list[tuple] = []
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), words.encode_all(texts)):
-                ids += end
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = words.encode(text.as_py() or "") + end
                 for piece, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
