@@ -6,7 +6,7 @@ import heapq
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,23 +19,36 @@ from brindle.llm.common import table
 SAMPLE = 6_000
 #: Terms of the examples' vectors, at most: those whose share in the two classes differs most.
 TERMS = 2_000
-NEIGHBOURS = 15
+#: How much likelier a term is in a toxic example than in another, at least.
+LIFT, CHI = 4, 20
+NEIGHBOURS, POWER = 15, 8
+#: How much more a vote of the rarer class can weigh.
+BALANCE = 8.0
 #: Examples in a block of the index.
 BLOCK = 64
+#: Blocks scored before any is ruled out.
+FIRST = 8
 THRESHOLD = 0.7
 
 _TERM = re.compile(r"\w+")
+#: Letters of the longest beginning of a word that is a term, since languages inflect; words whose terms a worker keeps.
+LONGEST, WORDS = 8, 200_000
 
 
-def terms_of(text: str | None) -> list[str]:
-    return _TERM.findall((text or "").lower())
+def terms_of(word: str) -> list[str]:
+    """The terms of a run of characters without white space, in lower case: its words, ended by $, and how they begin."""
+    return [t for w in _TERM.findall(word) for t in (f"{w}$", *(w[:n] for n in range(3, min(len(w), LONGEST) + 1)))]
+
+
+def all_terms(text: str | None) -> list[str]:
+    return [t for w in (text or "").lower().split() for t in terms_of(w)]
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors, in blocks of examples, each with its largest weight.
+    """Postings of unit vectors; of each term and block of examples the largest weight is known.
 
-    ``nearest`` is exact: a block is skipped only if the sum of its largest weights can't reach
-    the k-th best similarity so far. Ties in similarity go to the smaller example number.
+    ``nearest`` is exact: the blocks of largest bounds are scored first, and others only if the sum of
+    their largest weights reaches the k-th best similarity found there. Ties go to the smaller number.
     """
 
     def __init__(self, vectors: list[dict[int, float]]):
@@ -48,73 +61,96 @@ class BlockMaxIndex:
         for term, rows in held.items():
             ids, weights = np.asarray([r[0] for r in rows]), np.asarray([r[1] for r in rows])
             blocks, starts = np.unique(ids // BLOCK, return_index=True)
-            self.postings[term] = ids, weights, blocks, np.append(starts, len(ids)), np.maximum.reduceat(weights, starts)
+            self.postings[term] = ids, weights, ids // BLOCK, blocks, np.maximum.reduceat(weights, starts)
 
     def nearest(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
         """The k most similar examples with a similarity above 0, as (similarity, example), best first."""
         own = [(w, *self.postings[t]) for t, w in sorted(query.items()) if t in self.postings]
         if not own:
             return []
-        bounds = np.zeros(-(-self.size // BLOCK))
-        for w, _, _, blocks, _, most in own:
+        bounds, scores = np.zeros(-(-self.size // BLOCK)), np.zeros(self.size)
+        for w, _, _, _, blocks, most in own:
             bounds[blocks] += w * most
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best) == k and bounds[b] + 1e-12 < best[0][0]:
-                break
-            scores = np.zeros(BLOCK)
-            for w, ids, weights, blocks, starts, _ in own:
-                at = np.searchsorted(blocks, b)
-                if at < len(blocks) and blocks[at] == b:
-                    part = slice(starts[at], starts[at + 1])
-                    scores[ids[part] - b * BLOCK] += w * weights[part]
-            for j in np.flatnonzero(scores > 0):
-                item = float(scores[j]), -int(b * BLOCK + j)
-                if len(best) < k:
-                    heapq.heappush(best, item)
-                elif item > best[0]:
-                    heapq.heapreplace(best, item)
-        return [(s, -i) for s, i in sorted(best, reverse=True)]
+        scored = np.zeros(len(bounds), dtype=bool)
+        scored[np.argsort(-bounds, kind="stable")[:FIRST]] = True
+
+        def score(chosen: np.ndarray) -> None:
+            for w, ids, weights, block, _, _ in own:
+                take = chosen[block]
+                scores[ids[take]] += w * weights[take]
+
+        score(scored)
+        least = np.partition(scores, -k)[-k] if self.size > k else 0.0
+        score(~scored & (bounds >= max(least - 1e-9, 1e-12)))
+        found = np.flatnonzero(scores > 0)
+        best = found[np.lexsort((found, -scores[found]))[:k]]
+        return [(float(scores[i]), int(i)) for i in best]
 
 
 class Model:
-    """The index of labelled examples with their terms' weights, and the share of toxic ones among all labelled."""
+    """The index of labelled examples with the weights of terms, and the share of toxic ones among all labelled.
 
-    def __init__(self, idf: dict[str, float], examples: list[tuple[int, int, list[str]]], prior: float):
+    Words without a weighted term count together as one more term, so that one weighted term means more in a
+    short text than in a long one.
+    """
+
+    def __init__(self, idf: dict[str, float], examples: list[tuple[int, int, int, list[str]]], prior: float):
         self.number = {t: i for i, t in enumerate(sorted(idf))}
-        self.idf = {self.number[t]: w for t, w in idf.items()}
+        self.rest = len(self.number)
+        self.idf = {self.number[t]: w for t, w in idf.items()} | {self.rest: 1.0}
         self.prior = prior
-        vectors, self.labels, self.ids = [], [], []
-        for doc_id, label, terms in sorted(examples):
-            if vector := self.vector(terms):
-                vectors.append(vector)
-                self.labels.append(label)
-                self.ids.append(doc_id)
-        self.index = BlockMaxIndex(vectors)
-        self.known: dict[tuple, tuple[float, list[tuple[float, int]]]] = {}
-
-    def vector(self, terms: list[str]) -> dict[int, float]:
-        counts = Counter(filter(self.number.__contains__, terms))
-        raw = {self.number[t]: (1 + math.log(n)) * self.idf[self.number[t]] for t, n in sorted(counts.items())}
+        self.words: dict[str, tuple[int, ...]] = {}
+        rows = []
+        for doc_id, label, others, terms in examples:
+            if vector := self.vector([self.number[t] for t in terms], others):
+                rows.append((max(vector, key=lambda t: (vector[t], t)), doc_id, label, vector))
+        rows.sort(key=lambda r: r[:3])  # examples with the same main term share blocks
+        self.ids, self.labels = [r[1] for r in rows], [r[2] for r in rows]
+        self.index = BlockMaxIndex([r[3] for r in rows])
+        toxic = sum(self.labels)
+        self.balance = min(BALANCE, max(1.0, (len(rows) - toxic) / toxic)) if toxic else 1.0
+        self.plain: tuple[float, list[tuple[float, int]]] | None = None
+
+    def vector(self, terms: list[int], others: int) -> dict[int, float]:
+        """The unit vector of a text with these weighted terms and so many words without any; {} without words."""
+        counts = Counter(terms)
+        if others:
+            counts[self.rest] = others
+        raw = {t: (1 + math.log(n)) * self.idf[t] for t, n in sorted(counts.items())}
         norm = math.sqrt(sum(w * w for w in raw.values()))
         return {t: w / norm for t, w in raw.items()} if norm else {}
 
+    def numbers(self, text: str | None) -> tuple[list[int], int]:
+        """The numbers of all weighted terms of a text, and its words without any; those of a word are kept for its next place."""
+        out: list[int] = []
+        others = 0
+        for word in (text or "").lower().split():
+            found = self.words.get(word)
+            if found is None:
+                if len(self.words) > WORDS:
+                    self.words.clear()
+                found = self.words[word] = tuple(self.number[t] for t in terms_of(word) if t in self.number)
+            if found:
+                out.extend(found)
+            else:
+                others += 1
+        return out, others
+
     def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
         """A score from 0 to 1 and its evidence: (similarity, doc_id) of the nearest examples.
 
-        Votes weigh as the similarity squared; the prior counts as a tenth of a vote. A text without any
-        of the terms has no neighbours and gets the prior.
+        Votes weigh as a power of the similarity, those of the rarer class by how much rarer it is; the prior counts as a tenth of a vote. A text
+        without words has no neighbours and gets the prior.
         """
-        vector = self.vector(terms_of(text))
-        key = tuple(sorted(vector.items()))
-        if key not in self.known:
-            near = self.index.nearest(vector, NEIGHBOURS)
-            weight = sum(s * s for s, _ in near)
-            toxic = sum(s * s for s, i in near if self.labels[i])
-            if len(self.known) > 50_000:
-                self.known.clear()
-            self.known[key] = (toxic + 0.1 * self.prior) / (weight + 0.1), [(s, self.ids[i]) for s, i in near]
-        return self.known[key]
+        terms, others = self.numbers(text)
+        if not terms and others and self.plain:
+            return self.plain
+        near = self.index.nearest(self.vector(terms, others), NEIGHBOURS)
+        votes = [(s**POWER * (self.balance if self.labels[i] else 1), self.labels[i]) for s, i in near]
+        found = (sum(w for w, y in votes if y) + 0.1 * self.prior) / (sum(w for w, _ in votes) + 0.1), [(s, self.ids[i]) for s, i in near]
+        if not terms and others:
+            self.plain = found
+        return found
 
 
 def training_rows(labels: DataFrame, sample: int = SAMPLE) -> tuple[list[tuple[int, int]], float]:
@@ -145,35 +181,40 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([sorted(set(terms_of(t.as_py()))) for t in batch.column(1)], pa.list_(pa.string()))], ["doc_id", "toxic", "terms"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([sorted(set(all_terms(t.as_py()))) for t in batch.column(1)], pa.list_(pa.string()))], ["doc_id", "toxic", "terms"])
 
     own = texts.mapInArrow(split, "doc_id long, toxic int, terms array<string>")
     n1 = sum(label for _, label in rows)
     n0 = len(rows) - n1
     share1, share0 = (F.col("t1") + 0.5) / (n1 + 1), (F.col("t0") + 0.5) / (n0 + 1)
-    chi = F.pow(F.col("t1") * (n0 - F.col("t0")) - F.col("t0") * (n1 - F.col("t1")), 2) / ((F.col("t1") + F.col("t0")) * (n1 + n0 - F.col("t1") - F.col("t0")) + 1e-9)
+    chi = (n1 + n0) / max(1, n1 * n0) * F.pow(F.col("t1") * (n0 - F.col("t0")) - F.col("t0") * (n1 - F.col("t1")), 2) / ((F.col("t1") + F.col("t0")) * (n1 + n0 - F.col("t1") - F.col("t0")) + 1e-9)
     found = (
         own.select("toxic", F.explode("terms").alias("term"))
         .groupBy("term")
         .agg(F.sum("toxic").alias("t1"), F.sum(1 - F.col("toxic")).alias("t0"))
-        .where((F.col("t1") + F.col("t0") >= 3) & ((share1 >= 3 * share0) | (share0 >= 3 * share1)))
+        .where((share1 >= LIFT * share0) & (chi >= CHI))
         .orderBy(chi.desc(), "term")
         .limit(terms)
         .collect()
     )
-    idf = {r["term"]: math.log((len(rows) + 1) / (r["t1"] + r["t0"])) + 1 for r in found}
-    names = set(idf)
+    share = {r["term"]: (r["t1"], r["t0"]) for r in found}
+    # a beginning that is never met without its next letter says nothing of its own
+    longer = {(t[:-1], c) for t, c in share.items()}
+    idf = {t: math.log((len(rows) + 1) / sum(c)) + 1 for t, c in share.items() if (t, c) not in longer}
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([[t for t in terms_of(x.as_py()) if t in names] for x in batch.column(1)], pa.list_(pa.string()))], ["doc_id", "toxic", "terms"])
-
-    examples = texts.mapInArrow(counted, "doc_id long, toxic int, terms array<string>").where(F.size("terms") > 0)
-    weights = examples.select("doc_id", "toxic", F.explode("terms").alias("term")).groupBy("doc_id", "toxic", "term").count().collect()
-    held: dict[tuple[int, int], list[str]] = {}
+            words = [[[t for t in terms_of(w) if t in idf] for w in (x.as_py() or "").lower().split()] for x in batch.column(1)]
+            own = [[t for w in ws for t in w] for ws in words]
+            others = [sum(not w for w in ws) for ws in words]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(others, pa.int32()), pa.array(own, pa.list_(pa.string()))], ["doc_id", "toxic", "others", "terms"])
+
+    examples = texts.mapInArrow(counted, "doc_id long, toxic int, others int, terms array<string>")
+    weights = examples.select("doc_id", "toxic", "others", F.explode_outer("terms").alias("term")).groupBy("doc_id", "toxic", "others", "term").count().collect()
+    held: dict[tuple[int, int, int], list[str]] = {}
     for r in weights:
-        held.setdefault((r["doc_id"], r["toxic"]), []).extend([r["term"]] * r["count"])
-    return Model(idf, [(d, y, t) for (d, y), t in held.items()], prior)
+        held.setdefault((r["doc_id"], r["toxic"], r["others"]), []).extend([r["term"]] * r["count"] if r["term"] is not None else [])
+    return Model(idf, [(*key, t) for key, t in held.items()], prior)
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
