@@ -7,12 +7,14 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.session import workers_find_package
+
 DEFAULT_SCRATCH = "/tmp/checkpoints"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` below ``sf_dir``, by Spark's own reader."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return workers_find_package(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch_dir(spark: SparkSession) -> str:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import bpe, fingerprints, packing, pii, sharding, toxicity
+from brindle.llm import bpe, fingerprints, minhash, packing, pii, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_bpe": bpe.op4_bpe,
     "op7_fingerprints": fingerprints.op7_fingerprints,
+    "op10_minhash": minhash.op10_minhash,
     "op8_sharding": sharding.op8_sharding,
 }
 
