@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import bpe, fingerprints, minhash, packing, pii, sharding, toxicity
+from brindle.llm import bpe, fingerprints, minhash, neighbours, packing, pii, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
     "op2_pii": pii.op2_pii,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_bpe": bpe.op4_bpe,
+    "op5_embeddings": neighbours.op5_embeddings,
     "op7_fingerprints": fingerprints.op7_fingerprints,
     "op10_minhash": minhash.op10_minhash,
     "op8_sharding": sharding.op8_sharding,
