@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import bpe, fingerprints, minhash, neighbours, packing, pii, sharding, toxicity
+from brindle.llm import bpe, fingerprints, lm, minhash, neighbours, packing, pii, sharding, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
@@ -14,9 +14,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_bpe": bpe.op4_bpe,
     "op5_embeddings": neighbours.op5_embeddings,
+    "op6_lm_scoring": lm.op6_lm_scoring,
     "op7_fingerprints": fingerprints.op7_fingerprints,
+    "op9_warc": warc.op9_warc,
     "op10_minhash": minhash.op10_minhash,
     "op8_sharding": sharding.op8_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_warc": warc.OP9_SQL}
