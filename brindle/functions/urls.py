@@ -1,0 +1,102 @@
+"""URL, host and hash functions as Column expressions; null in, null out unless said otherwise."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Query keys that only track a visit, and second-level public suffixes.
+TRACKING_KEYS = ["fbclid", "gclid", "mc_cid", "mc_eid", "msclkid", "ref"]
+TRACKING_PREFIX = "utm_"
+SECOND_LEVEL = ["co.in", "co.jp", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.mx", "com.sg", "org.uk"]
+
+_HOST = r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)"
+
+
+def authority(url: Column) -> Column:
+    """Host and port in lower case, without user info; a URL without a scheme is read as if it began with //."""
+    low = F.lower(F.trim(url))
+    full = F.when(low.rlike(r"^([a-z][a-z0-9+.-]*:)?//"), low).otherwise(F.concat(F.lit("//"), low))
+    return F.regexp_extract(full, _HOST, 1)
+
+
+def normalize_domain(url: Column) -> Column:
+    """Lower-case host without www. and without the scheme's default port; blank gives ''."""
+    low, host = F.lower(F.trim(url)), authority(url)
+    host = F.when(low.startswith("https://"), F.regexp_replace(host, ":443$", "")).otherwise(F.regexp_replace(host, ":80$", ""))
+    return F.regexp_replace(host, r"^www\.", "")
+
+
+def host_of(url: Column) -> Column:
+    """Host without port and without one leading www."""
+    return F.regexp_replace(F.regexp_replace(authority(url), r":[0-9]+$", ""), r"^www\.", "")
+
+
+def registrable_host(url: Column) -> Column:
+    """The last two labels of the host, three if the last two are a public suffix; an IPv4 address stays."""
+    host = host_of(url)
+    parts = F.split(host, r"\.")
+    two, three = (F.array_join(F.slice(parts, -n, n), ".") for n in (2, 3))
+    return F.when(host.rlike(r"^[0-9]+(\.[0-9]+){3}$") | (F.size(parts) < 3), host).when(two.isin(SECOND_LEVEL), three).otherwise(two)
+
+
+def url_path(url: Column) -> Column:
+    return F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)", 1)
+
+
+def url_query(url: Column) -> Column:
+    return F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
+
+
+def strip_tracking(url: Column) -> Column:
+    """The URL without tracking parameters; the order of the others and the fragment stay."""
+    kept = F.filter(F.split(url_query(url), "&"), lambda p: ~(F.lower(F.substring_index(p, "=", 1)).isin(TRACKING_KEYS) | F.lower(p).startswith(TRACKING_PREFIX) | (p == "")))
+    query = F.array_join(kept, "&")
+    return F.concat(F.regexp_extract(url, r"^[^?#]*", 0), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""), F.regexp_extract(url, r"#.*$", 0))
+
+
+def canonical_url(url: Column) -> Column:
+    """Without tracking parameters, fragment and trailing slash."""
+    bare = F.regexp_replace(strip_tracking(url), r"#.*$", "")
+    return F.regexp_replace(bare, r"/$", "")
+
+
+def record_identity(url: Column) -> Column:
+    """SHA-256 of the trimmed URL; blank gives null."""
+    return F.when(F.trim(url) != "", F.sha2(F.trim(url), 256))
+
+
+def is_special_use(host: Column) -> Column:
+    """Local and reserved names."""
+    return host.rlike(r"^localhost$|(^|\.)(example|invalid|localhost|test)$")
+
+
+def navigation_safe(url: Column, blocked: tuple[str, ...] = ("/login", "/cart", "/checkout", "/account")) -> Column:
+    """An http(s) URL of at most 2048 characters whose path has none of the blocked parts."""
+    path, safe = F.lower(url_path(url)), url.rlike("^https?://") & (F.length(url) <= 2048)
+    for part in blocked:
+        safe = safe & ~F.contains(path, F.lit(part))
+    return safe
+
+
+def is_concatenated(url: Column) -> Column:
+    """Two URLs glued together."""
+    return F.size(F.regexp_extract_all(F.lower(url), F.lit("https?://"), 0)) > 1
+
+
+SQL = {
+    # the same expressions for DuckDB, over a column named url
+    "authority": r"regexp_extract(CASE WHEN regexp_matches(lower(trim(url)), '^([a-z][a-z0-9+.-]*:)?//') THEN lower(trim(url)) ELSE '//' || lower(trim(url)) END, '^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)', 1)",
+}
+SQL["host"] = rf"regexp_replace(regexp_replace({SQL['authority']}, ':[0-9]+$', ''), '^www\.', '')"
+SQL["domain"] = rf"regexp_replace(CASE WHEN lower(trim(url)) LIKE 'https://%' THEN regexp_replace({SQL['authority']}, ':443$', '') ELSE regexp_replace({SQL['authority']}, ':80$', '') END, '^www\.', '')"
+SQL["path"] = r"regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)', 1)"
+SQL["query"] = r"regexp_extract(url, '^[^?#]*\?([^#]*)', 1)"
+SQL["registrable"] = (
+    f"CASE WHEN regexp_matches({SQL['host']}, '^[0-9]+(\\.[0-9]+){{3}}$') OR len(string_split({SQL['host']}, '.')) < 3 THEN {SQL['host']} "
+    f"WHEN array_to_string(string_split({SQL['host']}, '.')[-2:], '.') IN ({', '.join(repr(x) for x in SECOND_LEVEL)}) THEN array_to_string(string_split({SQL['host']}, '.')[-3:], '.') "
+    f"ELSE array_to_string(string_split({SQL['host']}, '.')[-2:], '.') END"
+)
+SQL["kept"] = f"list_filter(string_split({SQL['query']}, '&'), lambda p: NOT (lower(split_part(p, '=', 1)) IN ({', '.join(repr(x) for x in TRACKING_KEYS)}) OR lower(p) LIKE 'utm\\_%' ESCAPE '\\' OR p = ''))"
+SQL["stripped"] = f"regexp_extract(url, '^[^?#]*') || CASE WHEN len({SQL['kept']}) > 0 THEN '?' || array_to_string({SQL['kept']}, '&') ELSE '' END || regexp_extract(url, '#.*$')"
+SQL["canonical"] = f"regexp_replace(regexp_replace({SQL['stripped']}, '#.*$', ''), '/$', '')"

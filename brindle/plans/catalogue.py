@@ -1,10 +1,8 @@
-"""The query catalogue over the driver's tables."""
+"""All queries over the driver's tables, with their SQL; importing a module registers its queries."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from brindle.plans import products, runs, web
+from brindle.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "products", "runs", "web"]
