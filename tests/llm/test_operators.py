@@ -1,0 +1,477 @@
+"""Each operator against brute force on small tables, and on tables of odd rows."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+from itertools import combinations
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from brindle.llm import bpe, common, fingerprints, lm, minhash, neighbours, packing, pii, sharding, toxicity, warc
+from brindle.llm.queries import ORACLE_SQL, QUERIES
+from tests.oracle import rows, sql_rows
+
+SF = "/root/testdata/sf0.001"
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = "The quick brown fox jumps over the lazy dog. " * 600
+ODD = [
+    (1, None, None, None, None), (2, "", "en", "s", 0), (3, "   \n\t ", "en", "s", 6), (4, "one two", "en", "s", 7), (4, "one two", "en", "s", 7), (5, LONG, "en", "s", len(LONG)),
+    (6, LONG + "tail", "en", "s", 1), (None, "no id here at all, none", "en", None, 3), (7, "ümlaut 中国 ́ ￿ 😀 a\u0000b", "de", "s", 9), (8, "x" * 5000, None, None, None), (9, LONG, None, None, None),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and long texts, repeated rows and ids, with columns whose names operators use inside."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(ODD, DOCS)
+    return df.withColumns({c: F.lit("x") for c in ("_sub", "_rank", "length", "key", "size", "shard", "id", "component", "bucket", "spans", "target", "range", "lent", "next_text")})
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def labels(spark, marks):
+    return spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+
+
+# ---- packing
+
+
+def test_pieces_equal_tokenizer(spark, odd):
+    tok = Tokenizer.from_file(WORD_BPE)
+    want = Counter()
+    for doc_id, text, *_ in ODD:
+        ids = tok.encode(text or "", add_special_tokens=False).ids + [1]
+        for piece, at in enumerate(range(0, len(ids), 4096)):
+            part = ids[at : at + 4096]
+            want[doc_id, piece, at, len(part), zlib.crc32(np.asarray(part, dtype="<u4").tobytes())] += 1
+    got = packing.pack_documents(odd, WORD_BPE).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    held = {}
+    for r in got:
+        held.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in held.values():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end
+            end += length
+        assert end <= 4096
+
+
+def test_packing_of_nothing(spark, none):
+    assert packing.pack_documents(none, WORD_BPE).count() == 0
+
+
+def best_packing(items, cap):
+    """The fewest bins, by trying every placement."""
+    best = [len(items)]
+
+    def place(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(bins)
+            return
+        for j in range(len(bins)):
+            if bins[j] + items[i] <= cap and bins[j] not in bins[:j]:
+                bins[j] += items[i]
+                place(i + 1, bins)
+                bins[j] -= items[i]
+        bins.append(items[i])
+        place(i + 1, bins)
+        bins.pop()
+
+    place(0, [])
+    return best[0]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 30), max_size=9))
+def test_packs_as_well_as_brute_force(items):
+    found = packing.pack_lengths(np.bincount(items, minlength=31) if items else np.zeros(31, int))
+    placed = Counter()
+    for times, way in found:
+        assert sum(way) <= 30
+        for x in way:
+            placed[x] += times
+    assert placed == Counter(items)
+    assert sum(t for t, _ in found) == best_packing(sorted(items, reverse=True), 30)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet=st.sampled_from("abcdéÉ ïÑ\n\t12'!?sStTLl.<|>ª÷İ́ \x1c"), max_size=80))
+def test_word_ids_equal_tokenizer(text):
+    words = packing.word_ids(WORD_BPE)
+    assert words.encode(text) == words.ids(text)
+
+
+# ---- personal data
+
+SLOW = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"), "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
+def slow_luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def slow_spans(text):
+    out = []
+    for kind, pattern in SLOW.items():
+        for m in pattern.finditer(text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "email" or kind == "ip" and all(int(p) < 256 for p in m[0].split(".")) or kind == "card" and 14 <= len(digits) <= 19 and slow_luhn(digits) or kind == "phone" and 10 <= len(digits) <= 15:
+                out.append((m.start(), list(SLOW).index(kind), m.end(), kind))
+    return [(a, b, k) for a, _, b, k in sorted(out)]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["a@b.c", "@", "x.y", "1.2.3.4", "300.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 123-4567", "+", "12", ".", "-", " ", "é", "7", "00"]), max_size=12))
+def test_base_spans_equal_patterns(parts):
+    text = "".join(parts)
+    assert [s[:3] for s in pii.find(text) if s[2] in pii.BASE] == slow_spans(text)
+
+
+def test_checksums_and_context():
+    assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB82WEST12345698765433")
+    assert [s[2] for s in pii.find("my iban is GB82 WEST 1234 5698 7654 32.")] == ["iban"]
+    assert [s[2] for s in pii.find("ssn 123-45-6789")] == ["ssn"] and not pii.find("part 123-45-6789")
+    assert pii.redact("a@b.cc and 1.2.3.4", pii.find("a@b.cc and 1.2.3.4")) == "[EMAIL] and [IP]"
+    text = "9" * 200_000 + "." * 100_000 + "@" * 100_000 + "+1" + " " * 100_000
+    assert pii.find(text) == []
+
+
+def test_pii_of_odd_rows(spark, odd, none):
+    assert pii.find_spans(odd).count() == len(ODD) and pii.find_spans(none).count() == 0
+    redacted = pii.redact_documents(odd)
+    assert redacted.columns == odd.columns and redacted.count() == len(ODD)
+    assert pii.redact_documents(none).count() == 0
+
+
+# ---- toxicity
+
+
+def test_block_max_index_is_exact():
+    rng = random.Random(4)
+    vectors = []
+    for _ in range(700):
+        raw = {t: rng.random() for t in rng.sample(range(40), rng.randrange(1, 6))}
+        norm = math.sqrt(sum(w * w for w in raw.values()))
+        vectors.append({t: w / norm for t, w in raw.items()})
+    index = toxicity.BlockMaxIndex(vectors)
+    for q in vectors[:60]:
+        dots = sorted(((sum(w * v.get(t, 0) for t, w in q.items()), -i) for i, v in enumerate(vectors)), reverse=True)[:15]
+        got = index.nearest(q, 15)
+        assert [round(s, 9) for s, _ in got] == [round(s, 9) for s, _ in dots if s > 0]
+
+
+def test_toxicity_learns_and_ignores_held_out(spark):
+    rng = random.Random(1)
+    clean = ["tree", "river", "stone", "cloud", "grass", "light", "house"]
+    rows_, marks = [], []
+    for i in range(400):
+        toxic = i % 5 == 0
+        words = [rng.choice(clean) for _ in range(30)] + (["vileword", "nastyword"] if toxic else [])
+        rng.shuffle(words)
+        rows_.append((i, " ".join(words), "en", "s", 1))
+        held = zlib.crc32(str(i).encode()) % 3 == 1
+        marks.append((i, 1, int(not toxic) if held else int(toxic)))  # held-out labels are wrong, and must not matter
+    docs, marked = spark.createDataFrame(rows_, DOCS), labels(spark, marks)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_documents(docs, toxicity.fit(docs, marked)).collect()}
+    assert all((got[i] >= 0.7) == (i % 5 == 0) for i in range(400))
+    assert toxicity.clean_documents(docs, marked).count() == 320
+
+
+def test_toxicity_of_odd_rows(spark, odd, none):
+    marked = labels(spark, [(4, 1, 1), (5, 1, 0), (None, 1, 1), (6, None, None), (4, 0, 0)])
+    scores = toxicity.score_documents(odd, toxicity.fit(odd, marked)).collect()
+    assert len(scores) == len(ODD) and all(0 <= r["score"] <= 1 for r in scores)
+    assert toxicity.score_documents(none, toxicity.fit(none, marked)).count() == 0
+    assert toxicity.score_documents(odd, toxicity.fit(odd, labels(spark, []))).count() == len(ODD)
+
+
+# ---- byte-level BPE
+
+CODEC = bpe.codec(BYTE_BPE, public_tokenizers.PATTERN)
+ENCODING = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=CODEC.encoder.ranks, special_tokens={})
+
+
+def digests(text):
+    ids = ENCODING.encode_ordinary(text)
+    return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.text(max_size=60), st.text(alphabet=st.sampled_from("ab -'s\n\t é中1!"), max_size=120)))
+def test_encoding_equals_tiktoken(text):
+    assert CODEC.encode(text) == ENCODING.encode_ordinary(text) and CODEC.digest(text) == digests(text) and CODEC.decode(CODEC.encode(text)) == text.encode()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.binary(max_size=60), st.integers(0, 60), st.integers(0, 5), st.binary(max_size=6))
+def test_appends_and_edits_equal_encoding_anew(data, at, removed, added):
+    e = CODEC.encoder
+    at = min(at, len(data))
+    removed = min(removed, len(data) - at)
+    last = e.extend(data, [])
+    new, edited = e.edit(data, last, at, removed, added)
+    assert new == data[:at] + added + data[at + removed :] and edited == e.extend(new, [])
+    assert e.extend(data + added, list(last)) == e.extend(data + added, [])
+
+
+def test_bpe_of_odd_rows(spark, odd, none):
+    got = sorted((str(r["doc_id"]), *r[1:]) for r in bpe.round_trip(odd, BYTE_BPE, public_tokenizers.PATTERN).collect())
+    assert got == sorted((str(d), *digests(t or "")) for d, t, *_ in ODD)
+    assert bpe.round_trip(none, BYTE_BPE, public_tokenizers.PATTERN).count() == 0
+    back = bpe.decode_documents(bpe.encode_documents(odd, BYTE_BPE, public_tokenizers.PATTERN), BYTE_BPE, public_tokenizers.PATTERN)
+    assert Counter(bytes(r["data"]) for r in back.collect()) == Counter((t or "").encode() for _, t, *_ in ODD)
+
+
+# ---- embeddings
+
+
+def test_links_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(40, 16))
+    data = np.concatenate([base, base + 0.15 * rng.normal(size=base.shape), base + 0.3 * rng.normal(size=base.shape), base[:5]])
+    rows_ = [(i, [float(x) for x in v], int(i % 40) % 3) for i, v in enumerate(data)]
+    rows_ += [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, [], 1), (904, [float(x) for x in data[0]], None), (905, [1.0, None], 0), (906, [1.0, 2.0], 0), (None, [float(x) for x in data[0]], 0), (907, [float("inf")] + [1.0] * 15, 0)]
+    got = {r["vec_id"]: r for r in neighbours.link_vectors(spark.createDataFrame(rows_, "vec_id long, embedding array<double>, label int"), 0.93).collect()}
+    unit = data / np.linalg.norm(data, axis=1)[:, None]
+    links = [(i, j) for i, j in combinations(range(len(data)), 2) if rows_[i][2] == rows_[j][2] and unit[i] @ unit[j] >= 0.93]
+    n, root = Counter(), list(range(len(data)))
+    for i, j in links:
+        n[i] += 1
+        n[j] += 1
+    for _ in data:
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
+    assert len(got) == len(rows_)
+    found = sum(got[i]["n_links"] for i in range(len(data)))
+    assert found <= 2 * len(links) and found >= 0.9 * 2 * len(links)
+    if found == 2 * len(links):
+        assert all(got[i]["component_id"] == root[i] and got[i]["n_links"] == n[i] for i in range(len(data)))
+    assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in (900, 901, 902, 903, 904, 905, 906, 907, None))
+
+
+def test_multi_sequence_order():
+    rng = np.random.default_rng(2)
+    a, b = rng.random(7), rng.random(5)
+    got = [a[i] + b[j] for i, j in neighbours.multi_sequence(a, b)]
+    assert got == sorted(got) and len(got) == 35
+
+
+def test_no_vectors(spark):
+    assert neighbours.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+# ---- language models
+
+
+def test_losses_equal_counting(spark):
+    texts = {1: "a b a b a c", 2: "a b c c", 3: "d e d e", 4: "", 5: None, 6: "a b a d"}
+    docs = spark.createDataFrame([(k, v, "en", "s", 1) for k, v in texts.items()], DOCS)
+    got = {r["doc_id"]: r for r in lm.score_documents(docs, labels(spark, [(1, 1, 0), (2, 1, 0), (3, 0, 0), (None, 1, 0)])).collect()}
+    assert got[4]["difference"] is None and got[5]["n_words"] == 0
+    vocabulary = len({w for t in texts.values() for w in (t or "").split()}) + lm.CLASSES
+    sides = {True: [1, 2], False: [3, 4, 5, 6]}
+
+    def loss(doc, side):
+        pairs, history, single = Counter(), Counter(), Counter()
+        total = {s: sum(len((texts[d] or "").split()) for d in sides[s]) for s in sides}
+        scale = min(total.values()) / total[side]
+        for d in sides[side]:
+            if d != doc:
+                w = (texts[d] or "").split()
+                pairs.update(zip([None, *w], w))
+                history.update([None, *w][: len(w)])
+                single.update(w)
+        w = texts[doc].split()
+        out = 0
+        for h, x in zip([None, *w], w):
+            p1 = (scale * single[x] + lm.UNIFORM) / (scale * sum(single.values()) + lm.UNIFORM * vocabulary)
+            out -= math.log((scale * pairs[h, x] + lm.BACKOFF * p1) / (scale * history[h] + lm.BACKOFF))
+        return out / len(w)
+
+    for d in (1, 2, 3, 6):
+        assert got[d]["target_loss"] == pytest.approx(loss(d, True), rel=1e-5) and got[d]["background_loss"] == pytest.approx(loss(d, False), rel=1e-5)
+    assert got[3]["difference"] > got[2]["difference"]
+
+
+def test_lm_of_odd_rows(spark, odd, none):
+    marked = labels(spark, [(4, 1, 0), (4, 1, 0), (5, None, None)])
+    assert lm.score_documents(odd, marked).count() == len(ODD) and lm.score_documents(none, marked).count() == 0
+
+
+# ---- fingerprints
+
+
+def test_edited_texts_and_equal_roots(spark, odd, none):
+    got = fingerprints.compare_edited(odd).collect()
+    assert len(got) == len(ODD) and fingerprints.compare_edited(none).count() == 0
+    texts = {5: LONG, 9: LONG, 6: LONG + "tail"}
+    print_ = {r["doc_id"]: r["fingerprint"] for r in got}
+    assert print_[5] == print_[9] != print_[6] and print_[1] == print_[2]
+    edited = lambda a, b: hashlib.sha256((a[: len(a) - len(a) // 2] + b[: len(a) // 2]).encode()).hexdigest()
+    found = {r["doc_id"]: r["edited_sha256"] for r in got}
+    assert found[9] == edited(LONG, "x" * 5000) and found[6] == edited(texts[6], LONG)
+    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
+
+
+def test_next_over_many_ranges(spark):
+    rows_ = [(i * 7, f"text {i}", "en", "s", 1) for i in range(500)]
+    got = {r["doc_id"]: r["next_text"] for r in fingerprints.with_next(spark.createDataFrame(rows_, DOCS)).collect()}
+    assert got == {i * 7: f"text {(i - 1) % 500}" for i in range(500)}
+
+
+def test_branches_locate_edits(spark):
+    a = spark.createDataFrame([(1, "p one\np two\n\nq one\nq two"), (2, "same")], "doc_id int, text string")
+    b = spark.createDataFrame([(1, "p one\np two\n\nq one\nq 2"), (2, "same")], "doc_id int, text string")
+    both = [fingerprints.fingerprint_documents(x) for x in (a, b)]
+    assert [(r["doc_id"], r["section"], r["paragraph"]) for r in fingerprints.differing_paragraphs(*both).collect()] == [(1, 1, 3)]
+
+
+# ---- sharding
+
+
+def test_differencing_is_whole_and_near_even():
+    rng = random.Random(3)
+    weights = [rng.randrange(1, 1000) for _ in range(500)]
+    sums, parts = sharding.differencing([sharding.single(w, [i], 7) for i, w in enumerate(weights)], 7)
+    held = [[i for (i,) in sharding.leaves(p)] for p in parts]
+    assert sorted(i for p in held for i in p) == list(range(500))
+    own = [sum(weights[i] for i in p) for p in held]
+    assert max(own) - min(own) <= 3
+
+
+def test_shards(spark, odd, none):
+    rows_ = [(i, "t" * (i % 50) + str(i // 2), "en", "s", 1) for i in range(600)] + [(10_000 + i, "hot copy " * 30, "en", "s", 1) for i in range(300)]
+    got = sharding.shard_documents(spark.createDataFrame(rows_, DOCS), 6).collect()
+    text = {d: t for d, t, *_ in rows_}
+    assert len(got) == 900 and all(r["size"] == len(text[r["doc_id"]]) + 8 and r["text_crc32"] == zlib.crc32(text[r["doc_id"]].encode()) for r in got)
+    groups, sizes, slots = {}, Counter(), {}
+    for r in got:
+        groups.setdefault(text[r["doc_id"]], set()).add(r["shard"])
+        sizes[r["shard"]] += r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(len(s) == 1 for s in groups.values()) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    hot = groups["hot copy " * 30].pop()
+    others = [v for k, v in sizes.items() if k != hot]
+    assert len(others) == 5 and max(others) - min(others) <= 0.02 * sum(others)
+    assert sharding.shard_documents(odd, 4).count() == len(ODD) and sharding.shard_documents(none, 4).count() == 0
+
+
+# ---- WARC
+
+
+def test_audit_finds_each_damage(spark):
+    pages = spark.createDataFrame([(i, f"http://h.example/{i}", f"<p>{i}</p>" * (i % 9)) for i in range(300)] + [(None, None, None)], "page_id long, url string, html string")
+    intact = warc.records(pages, 3)
+    a = common.written(warc.layout(intact), "a")
+    assert warc.audit(a, a).count() == 0
+    bad = intact.where("coalesce(page_id, 0) <> 200").selectExpr("page_id", "file", "CASE WHEN page_id = 7 THEN replace(record, '7', '8') ELSE record END AS record")
+    found = {r["page_id"]: r["status"] for r in warc.audit(a, common.written(warc.layout(bad), "b")).collect()}
+    assert found[7] == "corrupt" and found[200] == "missing" and set(found) == {7, 200, *range(203, 300, 3)}
+    assert all(found[i] == "moved" for i in range(203, 300, 3))
+    assert warc.layout(warc.records(pages.limit(0))).count() == 0
+
+
+# ---- near-duplicates
+
+
+def brute_components(texts, percent):
+    sets = {i: set(minhash.shingles(t).tolist()) for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in combinations(texts, 2):
+        both = len(sets[i] & sets[j])
+        if sets[i] and sets[j] and 100 * both >= percent * len(sets[i] | sets[j]):
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    return {i: find(i) for i in texts}
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_components_equal_brute_force(spark, percent):
+    rng = random.Random(percent)
+    words = [f"w{i}" for i in range(400)]
+    base = [rng.choice(words) for _ in range(120)]
+    texts = {}
+    for i in range(160):  # a family of copies, each with edits of its own, and short and odd texts beside it
+        own = list(base)
+        for _ in range(rng.randrange(0, 9)):
+            own[rng.randrange(len(own))] = rng.choice(words)
+        texts[i] = " ".join(own)
+    texts |= {200: "a b c", 201: "A  B\tC", 202: "a b c d", 203: "", 204: " \n", 205: " ".join(base[:7]), 206: " ".join(base[:8]), 207: "a b c"}
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts.items()] + [(300, None, None, None, None)], DOCS)
+    got = {r["doc_id"]: r for r in minhash.near_duplicates(docs, percent).collect()}
+    want = brute_components(texts, percent) | {300: 300}
+    assert {i: r["component_id"] for i, r in got.items()} == want
+    assert all(r["kept"] == (i == want[i]) for i, r in got.items()) and got[300]["n_shingles"] == 0
+    assert {r["doc_id"] for r in minhash.one_of_each(docs, percent).collect()} == {i for i in want if want[i] == i}
+
+
+def test_near_duplicates_of_odd_rows(spark, odd, none):
+    assert minhash.near_duplicates(odd, 85).count() == len(ODD) and minhash.near_duplicates(none, 85).count() == 0
+
+
+def test_components_of_chains(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(100, 101), (None, 5), (7, 7), (100, 101)]
+    got = {r["node"]: r["component"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+
+
+# ---- queries and the pipeline
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_equals_sql(spark, name):
+    assert rows(QUERIES[name](spark, SF)) == sql_rows(ORACLE_SQL[name], SF)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_queries_return_all_rows(spark, name):
+    source = {"op5_embeddings": "embeddings", "op9_warc": "pages"}.get(name, "documents")
+    assert QUERIES[name](spark, SF).count() >= spark.read.parquet(f"{SF}/{source}.parquet").count()
+
+
+def test_pipeline_equals_its_parts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect() if model.score(r["text"])[0] < toxicity.THRESHOLD}
+    kept = {i for i, c in brute_components(texts, 80).items() if i == c}
+    words = packing.word_ids(WORD_BPE)
+    want = Counter()
+    for i in kept:
+        ids = words.ids(pii.redact(texts[i], pii.find(texts[i]))) + b"\x01\0\0\0"
+        for piece, at in enumerate(range(0, len(ids), 4 * 4096)):
+            want[i, piece, zlib.crc32(ids[at : at + 4 * 4096])] += 1
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert Counter((r["doc_id"], r["piece"], r["ids_crc32"]) for r in got) == want
