@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,8 @@ from brindle.llm.common import components, table, written
 WORDS = 5
 #: Bins of a signature; the most a pair at the threshold may be missed by all bands.
 BINS, MISS = 256, 1e-5
-#: How far below the threshold an estimate from ``BINS`` bins may be, five standard deviations, for an exact check.
-MARGIN = 0.11
+#: Bins of the sketches by which members of a bucket that stars left apart are compared, and of their first look.
+SKETCH = 1_024
 #: Members of a bucket that are compared within one task at a time.
 BLOCK = 512
 #: Word hashes a worker keeps.
@@ -25,9 +26,7 @@ CACHE = 400_000
 
 _U = np.uint64
 _ODD = np.asarray([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=_U)
-_PROBES = np.argsort(np.random.default_rng(7).random((BINS, BINS)), axis=1)
 _MIX = np.random.default_rng(11).integers(0, 2**63, BINS, dtype=np.int64).astype(_U) * _U(2) + _U(1)
-_EDGES = np.arange(BINS, dtype=_U) << _U(64 - BINS.bit_length() + 1)
 
 
 class _Hashes(dict):
@@ -64,18 +63,29 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
-def signature(own: np.ndarray) -> np.ndarray:
-    """One permutation: the least hash in each of ``BINS`` ranges; an empty bin takes that of the first full bin in its own random order."""
-    first = np.searchsorted(own, _EDGES)
+@cache
+def _probes(bins: int) -> np.ndarray:
+    """For each bin all bins in a random order of its own."""
+    return np.argsort(np.random.default_rng(bins).random((bins, bins)), axis=1).astype(np.int16)
+
+
+def signature(own: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """One permutation: the least hash in each of ``bins`` ranges; an empty bin takes that of the first full bin in its own random order."""
+    first = np.searchsorted(own, np.arange(bins, dtype=_U) << _U(65 - bins.bit_length()))
     full = first < np.append(first[1:], len(own))
     found = own[np.minimum(first, len(own) - 1)]
     if not full.all():
         empty = np.flatnonzero(~full)
-        probes = _PROBES[empty]
+        probes = _probes(bins)[empty]
         found[empty] = found[probes[np.arange(len(empty)), np.argmax(full[probes], axis=1)]]
     return found
 
 
+def least_estimate(threshold: float, bins: int) -> float:
+    """Five standard deviations below ``threshold`` in an estimate from ``bins`` bins."""
+    return threshold - 5 * (threshold * (1 - threshold) / bins) ** 0.5
+
+
 def rows_per_band(threshold: float) -> int:
     """The most rows with which a pair at ``threshold`` shares no band with a probability of at most ``MISS``."""
     return max((r for r in range(1, 17) if (1 - threshold**r) ** (BINS // r) <= MISS), default=1)
@@ -98,30 +108,27 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def signatures(docs: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, key, bands, sketch): key tells sets apart, bands are bucket numbers, sketch a byte a bin. Null for empty sets."""
+    """(doc_id, n_shingles, key, bands): key tells sets apart, bands are bucket numbers. Null for empty sets."""
     rows = rows_per_band(percent / 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, keys, bands, sketches = [], [], [], []
+            n, keys, bands = [], [], []
             for text in batch.column(1):
                 own = shingles(text.as_py())
                 n.append(len(own))
                 if len(own):
-                    sig = signature(own)
                     keys.append(xxhash.xxh3_128_digest(own.tobytes()))
-                    bands.append(band_keys(sig, rows))
-                    sketches.append((sig & _U(255)).astype(np.uint8).tobytes())
+                    bands.append(band_keys(signature(own), rows))
                 else:
                     keys.append(None)
                     bands.append(None)
-                    sketches.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                ["doc_id", "n_shingles", "key", "bands", "sketch"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "key", "bands"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, key binary, bands array<long>, sketch binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, key binary, bands array<long>")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -145,31 +152,47 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def sketches(texts: DataFrame) -> DataFrame:
+    """(id, n_shingles, sketch) of texts (id, text): a byte a bin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t.as_py()) for t in batch.column("text")]
+            data = [(signature(own, SKETCH) & _U(255)).astype(np.uint8).tobytes() for own in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(own) for own in sets], pa.int64()), pa.array(data, pa.binary())], ["id", "n_shingles", "sketch"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, n_shingles long, sketch binary")
+
+
 def residual_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components within a bucket that their sketches can't rule out.
 
-    ``members``: (bucket, size, id, component, n_shingles, sketch). Buckets beyond ``BLOCK`` members are dealt
+    ``members``: (bucket, size, id, component, n_shingles, bands, sketch). A pair is looked at in the first bucket it
+    shares; where that one isn't among ``members``, a star or its component has settled the pair. Buckets beyond ``BLOCK`` members are dealt
     into blocks and each pair of blocks is a row, so a task holds two blocks at most, whatever the bucket.
     """
-    least = percent / 100 - MARGIN
+    looks = [(n, least_estimate(percent / 100, n)) for n in (BINS, SKETCH)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out_a: list[int] = []
             out_b: list[int] = []
-            for row in batch.column("own").to_pylist():
+            for bucket, row in zip(batch.column("bucket").to_pylist(), batch.column("own").to_pylist()):
+                bands = np.asarray([m["bands"] for m in row], dtype=np.int64)
                 ids, comp, n = (np.asarray([m[c] for m in row], dtype=np.int64) for c in ("id", "component", "n_shingles"))
-                sketch = np.frombuffer(b"".join(m["sketch"] for m in row), dtype=np.uint8).reshape(-1, BINS)
+                sketch = np.frombuffer(b"".join(m["sketch"] for m in row), dtype=np.uint8).reshape(-1, SKETCH)
                 values, inverse, counts = np.unique(comp, return_inverse=True, return_counts=True)
                 main = inverse == np.argmax(counts)
                 order = np.argsort(main, kind="stable")  # the largest component last: its members needn't be compared with each other
                 for i, x in enumerate(order[: len(order) - int(main.sum())]):
                     others = order[i + 1 :]
                     others = others[(comp[others] != comp[x]) & (100 * np.minimum(n[others], n[x]) >= percent * np.maximum(n[others], n[x]))]
-                    if len(others):
-                        near = others[(sketch[others] == sketch[x]).mean(axis=1) >= least]
-                        out_a += np.minimum(ids[near], ids[x]).tolist()
-                        out_b += np.maximum(ids[near], ids[x]).tolist()
+                    same = bands[others] == bands[x]
+                    others = others[bands[x][np.argmax(same, axis=1)] == bucket]
+                    for bins, least in looks:
+                        others = others[(sketch[others, :bins] == sketch[x, :bins]).mean(axis=1) >= least]
+                    out_a += np.minimum(ids[others], ids[x]).tolist()
+                    out_b += np.maximum(ids[others], ids[x]).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -177,8 +200,8 @@ def residual_pairs(members: DataFrame, percent: int) -> DataFrame:
     dealt = members.withColumn("_blocks", blocks).withColumn("_block", block)
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     dealt = dealt.withColumns({"_low": F.least("_block", "_other"), "_high": F.greatest("_block", "_other")})
-    grouped = dealt.groupBy("bucket", "_low", "_high").agg(F.collect_list(F.struct("id", "component", "n_shingles", "sketch")).alias("own"))
-    return grouped.select("own").mapInArrow(run, "a long, b long").distinct()
+    grouped = dealt.groupBy("bucket", "_low", "_high").agg(F.collect_list(F.struct("id", "component", "n_shingles", "bands", "sketch")).alias("own"))
+    return grouped.select("bucket", "own").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -193,7 +216,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """
     sig = written(signatures(docs, percent), "signatures")
     nodes = written(
-        sig.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes"
+        sig.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "nodes"
     )
     buckets = nodes.select("id", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
@@ -208,7 +231,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     # what the stars can't tell: members of one bucket, the hub aside, that are in different components
     placed = starred.where("size > 2 AND id <> hub").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("bucket")
-    rest = placed.join(mixed, "bucket", "left_semi").join(nodes.select("id", "n_shingles", "sketch"), "id")
+    rest = written(placed.join(mixed, "bucket", "left_semi").select("bucket", "size", "id", "component"), "rest")
+    rest = rest.join(nodes.select("id", "bands"), "id").join(sketches(texts.join(rest.select("id"), "id", "left_semi")), "id")
     candidates = written(residual_pairs(rest, percent).join(stars, ["a", "b"], "left_anti"), "candidates")
     more = written(confirm(candidates, texts, percent), "more")
     final = first if more.isEmpty() else components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
