@@ -30,10 +30,12 @@ def scored_pairs(source: DataFrame, candidates: DataFrame, key: str) -> DataFram
     """Scores each candidate of a source, joined on ``key``: (key, source id, candidate id, score, label).
 
     ``source`` has (key, s_id, s_title, s_brand, s_sku, s_price), ``candidates`` the same with c_ and c_authority.
+    Titles are cut to tokens once a row, before the join, not once a pair.
     """
-    pairs = source.join(candidates, key)
+    distinct = lambda title: F.array_distinct(tokens(F.col(title)))
+    pairs = source.withColumn("_s_tokens", distinct("s_title")).join(candidates.withColumn("_c_tokens", distinct("c_title")), key)
     score = match_score(
-        jaccard(tokens(F.col("s_title")), tokens(F.col("c_title"))), F.lower(F.trim("s_brand")) == F.lower(F.trim("c_brand")), F.lower(F.trim("s_sku")) == F.lower(F.trim("c_sku")),
+        jaccard(F.col("_s_tokens"), F.col("_c_tokens")), F.lower(F.trim("s_brand")) == F.lower(F.trim("c_brand")), F.lower(F.trim("s_sku")) == F.lower(F.trim("c_sku")),
         within_band(F.col("s_price"), F.col("c_price")), F.col("c_authority"),
     )
     return pairs.withColumn("score", score).select(key, "s_id", "c_id", "score", match_label(F.col("score")).alias("label"))
