@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.common import table, written
 
-#: Entries of the vocabulary: the most frequent words, and classes that all other words share by a hash.
-WORDS, CLASSES = 768, 256
+#: Places of the vocabulary beside the words of the corpus, for words that it doesn't have.
+CLASSES = 256
 #: Weight of the shorter history in counts: of the unigram model in the bigram's, of the uniform one in the unigram's.
 BACKOFF, UNIFORM = 20.0, 1.0
-#: Words a worker keeps the number of; distinct words it counts before it passes counts on.
-CACHE = 400_000
+#: Words a worker keeps the number of; n-grams it holds before it passes them on.
+CACHE, HELD = 400_000, 1_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -27,122 +25,109 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-class Vocabulary(dict):
-    """Word to number: frequent words first, then the classes, of a fixed size whatever the corpus."""
-
-    def __init__(self, frequent: list[bytes]):
-        super().__init__()
-        self.frequent = {w: i for i, w in enumerate(frequent)}
-        self.size = len(frequent) + CLASSES
+class Numbers(dict):
+    """Word to its number, a 64-bit hash: every word of the corpus has its own."""
 
     def __missing__(self, word: bytes) -> int:
-        found = self.frequent.get(word)
-        if found is None:
-            found = len(self.frequent) + zlib.crc32(word) % CLASSES
         if len(self) >= CACHE:
             self.clear()
-        self[word] = found
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
 
-    def __reduce__(self):
-        return Vocabulary, (sorted(self.frequent, key=self.frequent.get),)
-
-    def bigrams(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the words, and of each word with the one before it; the first word follows the start, number ``size``."""
-        own = words_of(text)
-        w = np.fromiter(map(self.__getitem__, own), dtype=np.int64, count=len(own))
-        before = np.concatenate(([self.size], w[:-1])) if len(w) else w
-        return w, before * self.size + w
-
-
-@dataclass
-class Model:
-    """Bigram counts of the target and of the background, all over one vocabulary."""
-
-    vocabulary: Vocabulary
-    counts: np.ndarray  # [2, (size + 1) * size]
-
-    def __post_init__(self) -> None:
-        v = self.vocabulary.size
-        grid = self.counts.reshape(2, v + 1, v)
-        self.history, self.unigram = grid.sum(axis=2), grid.sum(axis=1)
-        # matched: either model rests on as many words, so that they are smoothed alike
-        total = self.unigram.sum(axis=1)
-        self.scale = np.where(total > 0, total.min() / np.maximum(total, 1), 0.0) if total.min() else np.ones(2)
-        self.losses = np.stack([self._loss(k, np.arange(self.counts.shape[1])) for k in (0, 1)]).astype(np.float32)
-
-    def _loss(self, side: int, pairs: np.ndarray, without: tuple[np.ndarray, ...] | None = None) -> np.ndarray:
-        v, s = self.vocabulary.size, self.scale[side]
-        before, word = pairs // v, pairs % v
-        both, history, unigram, total = self.counts[side][pairs], self.history[side][before], self.unigram[side][word], self.unigram[side].sum()
-        if without:
-            both, history, unigram, total = both - without[0], history - without[1], unigram - without[2], total - len(pairs)
-        single = (s * unigram + UNIFORM) / (s * total + UNIFORM * v)
-        return -np.log((s * both + BACKOFF * single) / (s * history + BACKOFF))
-
-    def score(self, text: str | None, target: bool) -> tuple[int, float | None, float | None]:
-        """Words, and the mean loss a word of the target model and of the background's; null without words.
-
-        A document's own counts are taken out of the model it was counted in, so that none is liked for being known.
-        """
-        w, pairs = self.vocabulary.bigrams(text)
-        if not len(w):
-            return 0, None, None
-        side = 0 if target else 1
-        v = self.vocabulary.size
-        own = []
-        for x in (pairs, pairs // v, w):
-            _, inverse, n = np.unique(x, return_inverse=True, return_counts=True)
-            own.append(n[inverse])
-        losses = [0.0, 0.0]
-        losses[1 - side] = float(self.losses[1 - side][pairs].mean(dtype=np.float64))
-        losses[side] = float(self._loss(side, pairs, tuple(own)).mean())
-        return len(w), losses[0], losses[1]
-
-
-def fit(rows: DataFrame, words: int = WORDS) -> Model:
-    """Counts all of ``rows`` (text, target boolean): first words, then bigrams of the words kept and the classes.
-
-    Each task sends on one row a distinct word or bigram, and Spark adds them up by key; the driver gets ``words``
-    words and at most (words + CLASSES + 1) * (words + CLASSES) sums, whatever the corpus.
+
+#: What comes before the first word; no word has white space.
+START = xxhash.xxh3_64_intdigest(b" ")
+
+
+def ngrams(numbers: Numbers, text: str | None) -> tuple[int, tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Words of a text; its distinct words, START among them, with how often each stands and has a next one; its
+    distinct pairs with their last word, how often each stands and how often that last word does."""
+    own = words_of(text)
+    w = np.fromiter(map(numbers.__getitem__, own), dtype=np.uint64, count=len(own))
+    if not len(w):
+        return 0, (w, w, w), (w, w, w, w)
+    before = np.concatenate((np.asarray([START], np.uint64), w[:-1]))
+    pair = before * np.uint64(0x9E3779B97F4A7C15) + (w << np.uint64(31) | w >> np.uint64(33)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    pair ^= pair >> np.uint64(32)
+    words, inverse, n = np.unique(w, return_inverse=True, return_counts=True)
+    pairs, first, both = np.unique(pair, return_index=True, return_counts=True)
+    followed = n - (words == w[-1])
+    return len(w), (np.append(words, np.uint64(START)), np.append(n, 0), np.append(followed, 1)), (pairs, w[first], both, n[inverse[first]])
+
+
+def count(rows: DataFrame) -> DataFrame:
+    """The written table (key, word, t, b, next_t, next_b) of all n-grams of ``rows`` (text, target), counted in target and background.
+
+    Of a single word ``word`` is null, and next_t, next_b say how often it has a next word; of a pair ``word`` is its last
+    word. All words are held. Of pairs those met once in all are left out: no other document knows them, so they
+    change no loss. Tasks send on sums, and Spark adds them up by key, so no key gathers in a task.
     """
 
-    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, held, size = Numbers(), [], 0
 
         def sent() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], ["word", "n"])
+            out: list[list[np.ndarray]] = [[] for _ in range(7)]
+            for kind in (0, 1):
+                parts = [(h[kind], y) for h, y in held]
+                key = np.concatenate([p[0] for p, _ in parts])
+                key, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+                sums = []
+                for column in ((2,) if kind else (1, 2)):
+                    n = np.concatenate([p[column] for p, _ in parts]).astype(np.float64)
+                    side = np.concatenate([np.full(len(p[0]), y) for p, y in parts])
+                    sums += [np.bincount(inverse, np.where(side, n, 0), len(key)).astype(np.int64), np.bincount(inverse, np.where(side, 0, n), len(key)).astype(np.int64)]
+                zero = np.zeros(len(key), np.int64)
+                word = np.concatenate([p[1] for p, _ in parts])[first] if kind else zero
+                for o, c in zip(out, (key.astype(np.int64), word.astype(np.int64), np.full(len(key), kind == 0), *(sums if kind == 0 else (*sums, zero, zero)))):
+                    o.append(c)
             held.clear()
-            return out
+            key, word, single, *n = map(np.concatenate, out)
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(word, mask=single), *map(pa.array, n)], ["key", "word", "t", "b", "next_t", "next_b"])
 
         for batch in batches:
-            for text in batch.column(0):
-                held.update(words_of(text.as_py()))
-                if len(held) >= CACHE:
+            for text, target in zip(batch.column(0), batch.column(1).to_pylist()):
+                n, words, pairs = ngrams(numbers, text.as_py())
+                if n:
+                    held.append(((words, pairs), target))
+                    size += len(words[0]) + len(pairs[0])
+                if size >= HELD:
                     yield sent()
-        yield sent()
+                    size = 0
+        if held:
+            yield sent()
 
-    counted = rows.select("text").mapInArrow(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    vocabulary = Vocabulary([bytes(r["word"]) for r in counted.orderBy(F.desc("n"), "word").limit(words).collect()])
+    sums = [F.sum(c).alias(c) for c in ("t", "b", "next_t", "next_b")]
+    counted = rows.select("text", "target").mapInArrow(run, "key long, word long, t long, b long, next_t long, next_b long").groupBy("key", "word").agg(*sums)
+    return written(counted.where("word IS NULL OR t + b > 1"), "ngrams")
+
+
+def own_ngrams(rows: DataFrame) -> DataFrame:
+    """(row, target, n_words, key, n, m) of each distinct n-gram of each row; m: of a word how often it has a next one, of a pair how often its last word stands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, held, size = Numbers(), [], 0
+
+        def sent() -> pa.RecordBatch:
+            lengths = [len(key) for *_, key, _, _ in held]
+            once = [np.repeat([h[i] for h in held], lengths) for i in range(3)]
+            many = [np.concatenate([h[i] for h in held]).astype(np.int64) for i in range(3, 6)]
+            held.clear()
+            return pa.RecordBatch.from_arrays(list(map(pa.array, (*once, *many))), ["row", "target", "n_words", "key", "n", "m"])
 
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = (vocabulary.size + 1) * vocabulary.size
-        held = np.zeros((2, size), dtype=np.int64)
         for batch in batches:
-            for text, target in zip(batch.column(0), batch.column(1).to_pylist()):
-                codes, n = np.unique(vocabulary.bigrams(text.as_py())[1], return_counts=True)
-                held[0 if target else 1][codes] += n
-        codes = np.flatnonzero(held.any(axis=0))
-        for at in range(0, len(codes), 100_000):
-            part = codes[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(held[0][part]), pa.array(held[1][part])], ["pair", "t", "b"])
+            for row, target, text in zip(*(batch.column(i).to_pylist() for i in range(2)), batch.column(2)):
+                n, words, pairs = ngrams(numbers, text.as_py())
+                if n:
+                    held.append((row, target, n, *(np.concatenate((words[i], pairs[j])) for i, j in ((0, 0), (1, 2), (2, 3)))))
+                    size += len(held[-1][3])
+                if size >= HELD:
+                    yield sent()
+                    size = 0
+        if held:
+            yield sent()
 
-    pairs = rows.select("text", "target").mapInArrow(count_pairs, "pair int, t long, b long").groupBy("pair").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-    counts = np.zeros((2, (vocabulary.size + 1) * vocabulary.size), dtype=np.int64)
-    found = pairs.toArrow()
-    at = found["pair"].to_numpy()
-    counts[0][at], counts[1][at] = found["t"].to_numpy(), found["b"].to_numpy()
-    return Model(vocabulary, counts)
+    return rows.select("row", "target", "text").mapInArrow(run, "row long, target boolean, n_words long, key long, n long, m long")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -152,20 +137,45 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     documents. difference = target_loss - background_loss in nats a word: the lower, the more like the target.
     Without words losses and difference are null. Repeated rows come out repeated; null ids are background; an empty
     table gives no rows; extra columns are ignored.
+
+    A document's own counts are taken out of the model it was counted in, so that none is liked for being known.
+    A text of words no other knows costs the uniform loss; each n-gram that others know is joined to its counts and
+    corrects it, and corrections are summed by row. A row holds a key once, and Spark's adaptive joins split hot ones.
+    Only three sums reach the driver.
     """
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
-    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(good, "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False))), "marked")
-    sent = docs.sparkSession.sparkContext.broadcast(fit(rows))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [sent.value.score(t.as_py(), y) for t, y in zip(batch.column("text"), batch.column("target").to_pylist())]
-            columns = list(zip(*found)) or [()] * 3
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("target"), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.float64(), pa.float64())))], ["doc_id", "target", "n_words", "target_loss", "background_loss"]
-            )
-
-    out = rows.select("doc_id", "target", "text").mapInArrow(run, "doc_id long, target boolean, n_words long, target_loss double, background_loss double")
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(good, "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
+    n_words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "[ \\t\\n\\x0b\\f\\r]+"), lambda x: x != "")).cast("long")
+    rows = written(marked.select("doc_id", "target", "text", n_words.alias("n_words"), F.monotonically_increasing_id().alias("row")), "marked")
+    counted = count(rows)
+
+    total = {r["target"]: r["n"] for r in rows.groupBy("target").agg(F.sum("n_words").alias("n")).collect()}
+    totals = total.get(True, 0), total.get(False, 0)
+    # matched: either model rests on as many words, so that they are smoothed alike
+    scale = [min(totals) / n if min(totals) else 1.0 for n in totals]
+    words = counted.where("word IS NULL")
+    vocabulary = words.where("t + b > 0").count() + CLASSES
+
+    singles = words.select(F.col("key").alias("word"), F.col("t").alias("more_t"), F.col("b").alias("more_b"))
+    pairs = counted.where("word IS NOT NULL").select("key", "word", "t", "b").join(singles, "word").select("key", "t", "b", "more_t", "more_b", F.lit(True).alias("pair"))
+    model = pairs.unionAll(words.select("key", "t", "b", "next_t", "next_b", F.lit(False)))
+
+    def own(side: int, n: Column) -> Column:
+        return F.when(F.col("target") == F.lit(side == 0), n).otherwise(F.lit(0))
+
+    def uniform(side: int) -> Column:
+        return scale[side] * (F.lit(totals[side]) - own(side, F.col("n_words"))) + F.lit(UNIFORM * vocabulary)
+
+    def correction(side: int) -> Column:
+        counts, more = (scale[side] * (F.col(c) - own(side, F.col(o))) for c, o in ((("t", "b")[side], "n"), (("more_t", "more_b")[side], "m")))
+        single = (more + F.lit(UNIFORM)) / uniform(side)
+        word = F.col("m") * F.log1p(more / BACKOFF) - F.col("n") * F.log1p(counts / UNIFORM)
+        return F.when(F.col("pair"), -F.col("n") * F.log1p(counts / (BACKOFF * single))).otherwise(word)
+
+    sums = own_ngrams(rows).join(model, "key").groupBy("row").agg(*(F.sum(correction(i)).alias(f"sum_{i}") for i in (0, 1)))
+    out = rows.select("row", "doc_id", "target", "n_words").join(sums, "row", "left")
+    loss = lambda side: F.when(F.col("n_words") > 0, F.log(uniform(side) / UNIFORM) + F.coalesce(f"sum_{side}", F.lit(0.0)) / F.col("n_words"))
+    out = out.select("doc_id", "target", "n_words", loss(0).alias("target_loss"), loss(1).alias("background_loss"))
     return out.withColumn("difference", F.col("target_loss") - F.col("background_loss"))
 
 

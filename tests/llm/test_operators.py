@@ -320,6 +320,21 @@ def test_losses_equal_counting(spark):
     assert got[3]["difference"] > got[2]["difference"]
 
 
+def test_lm_keeps_rare_words_apart(spark):
+    fill = [f"w{i}" for i in range(1500)]  # as frequent as the words that matter, and more than a small vocabulary holds
+    texts = {1: "zq zr " * 40, 2: "zq zr " * 40, 3: "zs zt " * 40, 4: "zs zt " * 40, 5: " ".join(fill * 81), 6: "zq zr", 7: "zs zt"}
+    docs = spark.createDataFrame([(k, v, "en", "s", 1) for k, v in texts.items()], DOCS)
+    got = {r["doc_id"]: r for r in lm.score_documents(docs, labels(spark, [(1, 1, 0), (2, 1, 0)])).collect()}
+    vocabulary = 1504 + lm.CLASSES
+    total, scale = 160 + 1500 * 81 + 4, 160 / (160 + 1500 * 81 + 4)
+    # document 7 in the background, its own counts taken out: start zs stands twice there, zs 80 times, zs zt 80 times
+    single = (scale * 80 + lm.UNIFORM) / (scale * (total - 2) + lm.UNIFORM * vocabulary)
+    first = (scale * 2 + lm.BACKOFF * single) / (scale * 4 + lm.BACKOFF)
+    second = (scale * 80 + lm.BACKOFF * single) / (scale * 80 + lm.BACKOFF)
+    assert got[7]["background_loss"] == pytest.approx(-(math.log(first) + math.log(second)) / 2, rel=1e-9)
+    assert got[6]["difference"] < -1 and got[7]["difference"] > 0.1
+
+
 def test_lm_of_odd_rows(spark, odd, none):
     marked = labels(spark, [(4, 1, 0), (4, 1, 0), (5, None, None)])
     assert lm.score_documents(odd, marked).count() == len(ODD) and lm.score_documents(none, marked).count() == 0
