@@ -26,6 +26,16 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: Characters of an IBAN by country.
+_IBAN_LENGTH = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
 _CONTEXT = {
@@ -66,6 +76,22 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", done)
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost non-overlapping IBANs. Capitals and digits may follow one after a space, so a match is tried at the
+    length its country prescribes and then whole; that of an unknown country at each word border, the longest first."""
+    m = _IBAN.search(text)
+    while m:
+        places = [i for i in range(m.start(), m.end()) if text[i] != " "]
+        ends = [n for n in range(len(places), 14, -1) if n == len(places) or places[n] > places[n - 1] + 1]
+        known = _IBAN_LENGTH.get(m[0][:2])
+        if known:
+            ends = [n for n in ends if n == known] + ends[: ends[0] != known]
+        end = next((n for n in ends if mod97("".join(text[i] for i in places[:n]))), None)
+        if end:
+            yield m.start(), places[end - 1] + 1
+        m = _IBAN.search(text, places[end - 1] + 1 if end else m.start() + 1)
+
+
 def find(text: str) -> list[tuple[int, int, str, float]]:
     """(start, end, kind, score) of every span of a whole text, by start, then kind as in ``KINDS``."""
     found = [(a, b, "email") for a, b in emails(text)]
@@ -80,10 +106,7 @@ def find(text: str) -> list[tuple[int, int, str, float]]:
         for m in _PHONE.finditer(text):
             if 10 <= sum(map(str.isdecimal, m[0])) <= 15:
                 found.append((m.start(), m.end(), "phone"))
-    for m in _IBAN.finditer(text):
-        compact = m[0].replace(" ", "")
-        if 15 <= len(compact) <= 34 and mod97(compact):
-            found.append((m.start(), m.end(), "iban"))
+    found += [(a, b, "iban") for a, b in ibans(text)]
     for m in _SSN.finditer(text):
         area, group, serial = m[0].split("-")
         if area not in ("000", "666") and area < "900" and group != "00" and serial != "0000":

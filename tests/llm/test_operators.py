@@ -163,6 +163,24 @@ def test_checksums_and_context():
     assert pii.find(text) == []
 
 
+@pytest.mark.parametrize("text, want", [
+    ("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", ["DE89 3704 0044 0532 0130 00"]),
+    ("IBAN DE89370400440532013000 1234", ["DE89370400440532013000"]),
+    ("DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32 NO93 8601 1117 947 X", ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"]),
+    ("NR AB12 DE89 3704 0044 0532 0130 00 EUR", ["DE89 3704 0044 0532 0130 00"]),
+    ("DE89370400440532013000X DE89 3704 0044 0532 0130 01 BIC", []),
+])
+def test_ibans_among_capitals(text, want):
+    assert [text[a:b] for a, b, kind, _ in pii.find(text) if kind == "iban"] == want
+
+
+def test_iban_of_unknown_country():
+    body = "12345678901234"
+    check = next(c for c in range(2, 99) if pii.mod97(f"ZZ{c:02}{body}"))
+    text = f"account ZZ{check:02}{body} BIC COBADEFFXXX"
+    assert [text[a:b] for a, b in pii.ibans(text)] == [f"ZZ{check:02}{body}"]
+
+
 def test_pii_of_odd_rows(spark, odd, none):
     assert pii.find_spans(odd).count() == len(ODD) and pii.find_spans(none).count() == 0
     redacted = pii.redact_documents(odd)
