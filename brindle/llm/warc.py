@@ -9,12 +9,15 @@ from brindle.llm.common import table, text_or_empty, written
 
 #: Records of a WARC file, about; children of a node; levels over the records, the root included.
 FILE, FANOUT, LEVELS = 1_000, 16, 3
+#: Copies of a page_id that may lie in one file; those of ids with more are dealt out.
+COPIES = 100
 
 
 def records(pages: DataFrame, files: int | None = None) -> DataFrame:
     """(page_id, file, record): each page as a WARC 1.0 response record; a null url or html counts as empty.
 
-    Pages go to files by page_id modulo ``files`` (by default about ``FILE`` records each), null ids to file 0.
+    Pages go to files by page_id modulo ``files`` (by default about ``FILE`` records each); those without an id, or
+    with one that more than ``COPIES`` share, by a hash of the record. Only exact copies of such a record share a file.
     """
     if files is None:
         files = max(1, -(-pages.count() // FILE))
@@ -24,8 +27,13 @@ def records(pages: DataFrame, files: int | None = None) -> DataFrame:
         F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">\r\nWARC-Target-URI: "), url,
         F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"),
     )
-    file = F.coalesce(F.pmod(F.col("page_id"), F.lit(files)), F.lit(0)).cast("int")
-    return pages.select(F.col("page_id").cast("long"), file.alias("file"), F.concat(head, body, F.lit("\r\n\r\n")).alias("record"))
+    rows = pages.select(F.col("page_id").cast("long"), F.concat(head, body, F.lit("\r\n\r\n")).alias("record"))
+    shared = rows.where("page_id IS NOT NULL").groupBy("page_id").count().where(F.col("count") > COPIES).select("page_id", F.lit(True).alias("_shared"))
+    own = F.col("page_id")
+    if not shared.isEmpty():  # at most one id in COPIES rows
+        rows, own = rows.join(F.broadcast(shared), "page_id", "left"), F.when(F.col("_shared").isNull(), own)
+    file = F.pmod(F.coalesce(own, F.xxhash64("record")), F.lit(files)).cast("int")
+    return rows.select("page_id", file.alias("file"), "record")
 
 
 def layout(rows: DataFrame) -> DataFrame:
@@ -64,11 +72,12 @@ def _unlike(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def audit(a: DataFrame, b: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """(page_id, file, status, start, other_start) of the records of replica ``a`` that replica ``b`` doesn't hold alike, and b's extra ones.
+    """(page_id, file, position, status, start, other_start) of the records of replica ``a`` that replica ``b`` doesn't hold alike, and b's extra ones.
 
     ``a`` and ``b`` are written layouts. Roots are compared first; then, level by level, only the children of
     unlike nodes. status: corrupt (other bytes), moved (same bytes, another offset), missing (not in b), extra
-    (not in a). Records are told apart by page_id within a file; repeated ones by their order.
+    (not in a). Records are told apart by page_id within a file; repeated ones by their order. position is that in
+    ``a``, null of extra ones.
     """
     levels_a, levels_b = trees(a, levels), trees(b, levels)
     branches = _unlike(levels_a[-1], levels_b[-1])
@@ -79,11 +88,11 @@ def audit(a: DataFrame, b: DataFrame, levels: int = LEVELS) -> DataFrame:
         below = [x.withColumn("_parent", parent).join(chosen, ["file", "_parent"], "left_semi") for x in below]
         branches = _unlike(*below)
     nth = F.row_number().over(Window.partitionBy("file", "page_id").orderBy("position"))
-    sides = [x.join(branches, ["file", "position"], "left_semi").withColumn("nth", nth).select("file", "page_id", "nth", F.col("start").alias(f"start_{n}"), F.col("record_sha256").alias(f"sha_{n}")) for x, n in ((a, "a"), (b, "b"))]
+    sides = [x.join(branches, ["file", "position"], "left_semi").withColumn("nth", nth).select("file", "page_id", "nth", "position", F.col("start").alias(f"start_{n}"), F.col("record_sha256").alias(f"sha_{n}")) for x, n in ((a, "a"), (b, "b"))]
     x, y = sides[0].alias("x"), sides[1].alias("y")
     joined = x.join(y, (F.col("x.file") == F.col("y.file")) & F.col("x.page_id").eqNullSafe(F.col("y.page_id")) & (F.col("x.nth") == F.col("y.nth")), "full")
     status = F.when(F.col("sha_b").isNull(), "missing").when(F.col("sha_a").isNull(), "extra").when(F.col("sha_a") == F.col("sha_b"), "moved").otherwise("corrupt")
-    return joined.select(F.coalesce("x.page_id", "y.page_id").alias("page_id"), F.coalesce("x.file", "y.file").alias("file"), status.alias("status"), F.col("start_a").alias("start"), F.col("start_b").alias("other_start"))
+    return joined.select(F.coalesce("x.page_id", "y.page_id").alias("page_id"), F.coalesce("x.file", "y.file").alias("file"), F.col("x.position"), status.alias("status"), F.col("start_a").alias("start"), F.col("start_b").alias("other_start"))
 
 
 def damaged(rows: DataFrame) -> DataFrame:
@@ -96,8 +105,8 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record of ``pages`` with its offset, its digest and what the audit against a damaged replica says of it."""
     rows = records(table(spark, sf_dir, "pages"))
     a, b = written(layout(rows), "replica_a"), written(layout(damaged(rows)), "replica_b")
-    found = audit(a, b).where("status <> 'extra'").select("file", "page_id", "status", "other_start")
-    out = a.join(found, ["file", "page_id"], "left")
+    found = audit(a, b).where("status <> 'extra'").select("file", "position", "status", "other_start")
+    out = a.join(found, ["file", "position"], "left")
     return out.select("page_id", "file", "position", "start", "length", "record_sha256", F.coalesce("status", F.lit("intact")).alias("status"), F.when(F.col("status").isNull(), F.col("start")).otherwise(F.col("other_start")).alias("other_start"))
 
 

@@ -431,6 +431,17 @@ def test_audit_finds_each_damage(spark):
     assert warc.layout(warc.records(pages.limit(0))).count() == 0
 
 
+def test_audit_of_repeated_and_missing_ids(spark, tmp_path):
+    # before and among many copies of two ids, records are lost and damaged
+    rows_ = [(7, "u", "first"), *((101, "u", f"copy {i}") for i in range(5)), *((None, "u", f"none {i}") for i in range(2500)), *((5000, "u", f"hot {i}") for i in range(2500)), *((i, "u", "x") for i in range(102, 110))]
+    spark.createDataFrame(rows_, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = warc.op9_warc(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows_) == len({(r["file"], r["position"]) for r in got})
+    assert {r["status"] for r in got if r["page_id"] == 7} == {"missing"}
+    sizes = Counter(r["file"] for r in got)
+    assert len(sizes) == -(-len(rows_) // warc.FILE) and max(sizes.values()) < 1.5 * warc.FILE
+
+
 # ---- near-duplicates
 
 
