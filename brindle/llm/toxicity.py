@@ -1,4 +1,4 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, weighted votes."""
+"""Toxicity by nearest labelled examples: TF-IDF cosine over chosen terms, by a block-max inverted index, weighted votes."""
 
 from __future__ import annotations
 
@@ -169,8 +169,8 @@ def training_rows(labels: DataFrame, sample: int = SAMPLE) -> tuple[list[tuple[i
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS) -> Model:
     """Fits on the texts of ``training_rows``; without any, every score is the prior 0.
 
-    Terms are those in at least 3 of the examples whose share among toxic ones is at least thrice or at
-    most a third of the share among others, and of them the ``terms`` of largest chi-square.
+    Terms are those whose share among toxic examples is at least ``LIFT`` times that among others with a
+    chi-square of at least ``CHI``, and of them the ``terms`` of largest chi-square. All other words are one term.
     """
     spark = docs.sparkSession
     rows, prior = training_rows(labels, sample)
