@@ -1,4 +1,4 @@
-"""What a session needs for this package: its place on the workers' path."""
+"""What a session needs for this package: its place on the workers' path, and Arrow batches of bounded size."""
 
 from __future__ import annotations
 
@@ -8,14 +8,21 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+#: Bytes of an Arrow batch, about, where the session sets none: rows with long texts make batches of few rows.
+BATCH_BYTES = 4 << 20
+
+
 def workers_find_package(spark: SparkSession) -> SparkSession:
     """Puts this package's folder on the path of Python workers that start from now on.
 
     It helps where workers see the driver's folders (local mode, shared installs); elsewhere the package
-    is installed or sent with --py-files, and the entry is without effect.
+    is installed or sent with --py-files, and the entry is without effect. Arrow batches get a limit in bytes,
+    unless the session has its own.
     """
     home, own = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
     paths = [p for p in own.get("PYTHONPATH", "").split(os.pathsep) if p]
     if home not in paths:
         own["PYTHONPATH"] = os.pathsep.join([home, *paths])
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
