@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import table
+from brindle.llm.common import claim, table
 
 #: Entries a worker keeps of chunks, prefixes and token pairs, before it starts anew.
 PIECES = 250_000
@@ -34,6 +34,11 @@ class PrefixEncoder:
         self.ranks = ranks
         self.token = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks))
+        #: The length of the longest token that ends in three bytes; where there is none, a last token has two at most.
+        self.reach: dict[bytes, int] = {}
+        for b in ranks:
+            if len(b) > 2:
+                self.reach[b[-3:]] = max(len(b), self.reach.get(b[-3:], 0))
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.sides: dict[bytes, tuple[list, list] | None] = {}
         self.prefixes: dict[bytes, tuple[bytes, str]] = {}
@@ -99,7 +104,7 @@ class PrefixEncoder:
     def extend(self, data: bytes, last: list[bytes]) -> list[bytes]:
         """Adds to ``last`` (for a prefix of ``data``) the entries of the rest; last[i] ends data[:i + 1]."""
         for end in range(len(last) + 1, len(data) + 1):
-            for start in range(max(0, end - self.longest), end):
+            for start in range(max(0, end - self.reach.get(data[max(0, end - 3) : end], 2)), end):
                 token = data[start:end]
                 if token in self.ranks and (self.adjacent(last[start - 1], token) if start else self.grown(token)):
                     last.append(token)
@@ -115,37 +120,49 @@ class PrefixEncoder:
             end -= len(last[end - 1])
         return out[::-1]
 
-    def spelled(self, data: bytes) -> str:
-        """The ids of ``data`` as text, comma-joined; the entries of short prefixes are kept for other words."""
-        if (known := self.ranks.get(data)) is not None:
-            return str(known)
-        if len(data) > 64:
-            return ",".join(map(str, self.tokens(self.extend(data, []))))
+    def entry(self, data: bytes) -> tuple[bytes, int, str, bytes]:
+        """Of a prefix: its last token, the number of its ids, the ids as text, and the bytes they decode to.
+
+        Asked for from the end backwards, so only those shorter prefixes get an entry whose last token may be
+        followed by one that ends here; entries are kept for other words.
+        """
         table, ranks = self.prefixes, self.ranks
-        if len(table) >= PIECES:
-            table.clear()
-        done = len(data)
-        while done and data[:done] not in table:
-            done -= 1
-        for end in range(done + 1, len(data) + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = data[start:end]
-                if token in ranks:
-                    if not start:
-                        if self.grown(token):
-                            table[token] = token, str(ranks[token])
-                            break
-                    else:
-                        before, ids = table[data[:start]]
-                        if self.adjacent(before, token):
-                            table[data[:end]] = token, f"{ids},{ranks[token]}"
-                            break
+        if (found := table.get(data)) is not None:
+            return found
+        end = len(data)
+        for start in range(max(0, end - self.reach.get(data[-3:], 2)), end):
+            token = data[start:]
+            if (rank := ranks.get(token)) is None:
+                continue
+            if not start:
+                if not self.grown(token):
+                    continue
+                found = token, 1, str(rank), self.token[rank]
             else:
-                raise ValueError(f"no token ends at byte {end}: single bytes are missing from the ranks")
-        return table[data][1] if data else ""
+                head = data[:start]
+                before = table.get(head) or self.entry(head)
+                if not self.adjacent(before[0], token):
+                    continue
+                found = token, before[1] + 1, f"{before[2]},{rank}", before[3] + self.token[rank]
+            table[data] = found
+            return found
+        raise ValueError(f"no token ends at byte {end}: single bytes are missing from the ranks")
+
+    def spelled(self, data: bytes) -> tuple[int, str, bytes]:
+        """Of ``data``: the number of ids, the ids as text, comma-joined, and the bytes they decode to."""
+        if (known := self.ranks.get(data)) is not None:
+            return 1, str(known), self.token[known]
+        if not data:
+            return 0, "", b""
+        if len(data) > 64:
+            ids = self.tokens(self.extend(data, []))
+            return len(ids), ",".join(map(str, ids)), b"".join(map(self.token.__getitem__, ids))
+        if len(self.prefixes) >= PIECES:
+            self.prefixes.clear()
+        return self.entry(data)[1:]
 
     def encode(self, data: bytes) -> list[int]:
-        return [int(x) for x in self.spelled(data).split(",") if x]
+        return [int(x) for x in self.spelled(data)[1].split(",") if x]
 
     def edit(self, data: bytes, last: list[bytes], at: int, removed: int, added: bytes) -> tuple[bytes, list[bytes]]:
         """The bytes and prefix table after an edit; entries before ``at`` are kept, and the tail is kept from where it agrees again."""
@@ -182,9 +199,12 @@ class Codec(dict):
 
     def spelled(self, text: str) -> tuple[int, str, bytes]:
         spell = self.encoder.spelled
-        ids = spell(text.encode()) if text[1:].isalpha() and text[0] == " " else ",".join([spell(m.encode()) for m in self.pattern.findall(text)])
-        own = ids.split(",") if ids else []
-        return len(own), ids, self.decode(map(int, own))
+        if text[1:].isalpha() and text[0] == " ":
+            return spell(text.encode())
+        parts = [spell(m.encode()) for m in self.pattern.findall(text)]
+        if len(parts) == 1:
+            return parts[0]
+        return sum([x[0] for x in parts]), ",".join([x[1] for x in parts]), b"".join([x[2] for x in parts])
 
     def encode(self, text: str) -> list[int]:
         return [i for m in self.pattern.findall(text) for i in self.encoder.encode(m.encode())]
@@ -199,12 +219,12 @@ class Codec(dict):
         is cut there, and the ids of each cut are kept.
         """
         first, *rest = _CUT.split(text) if _SPACES.search(text) else text.split(" ")
-        found = [self.spelled(first), *map(self.__getitem__, rest)]
-        return (
-            sum([x[0] for x in found]),
-            hashlib.sha256(",".join([x[1] for x in found if x[0]]).encode()).hexdigest(),
-            hashlib.sha256(b"".join([x[2] for x in found])).hexdigest(),
-        )
+        found = list(map(self.__getitem__, rest))
+        if first:
+            found.append(self.spelled(first))
+            found = found[-1:] + found[:-1]
+        n, ids, data = zip(*found) if found else ((), (), ())
+        return sum(n), hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256(b"".join(data)).hexdigest()
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -213,6 +233,7 @@ _codecs: dict[tuple[str, str], Codec] = {}
 def codec(path: str, pattern: str) -> Codec:
     if (path, pattern) not in _codecs:
         _codecs[path, pattern] = Codec(path, pattern)
+    claim("bpe", _codecs.clear)
     return _codecs[path, pattern]
 
 

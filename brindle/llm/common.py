@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def claim(name: str, clear: Callable[[], None]) -> None:
+    """Says at a task's start that this worker now keeps entries for ``name``, which ``clear`` empties.
+
+    A worker serves one operator after another; what an earlier one left is emptied, so only one holds a cache.
+    """
+    for other in [x for x in _held if x != name]:
+        _held.pop(other)()
+        pa.default_memory_pool().release_unused()
+    _held[name] = clear
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
