@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import components, table, written
+from brindle.llm.common import claim, components, table, written
 
 WORDS = 5
 #: Bins of a signature; the most a pair at the threshold may be missed by all bands.
@@ -22,7 +22,7 @@ SKETCH = 1_024
 #: Members of a bucket that are compared within one task at a time.
 BLOCK = 512
 #: Word hashes a worker keeps.
-CACHE = 400_000
+CACHE = 150_000
 
 _U = np.uint64
 _ODD = np.asarray([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=_U)
@@ -40,6 +40,10 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+def claim_hashes() -> None:
+    claim("minhash", _hashes.clear)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
@@ -108,13 +112,14 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def signatures(docs: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, key, bands): key tells sets apart, bands are bucket numbers. Null for empty sets."""
+    """(doc_id, digest, n_shingles, key, bands): digest is of the text, key tells sets apart, bands are bucket numbers. Null for empty sets."""
     rows = rows_per_band(percent / 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_hashes()
         for batch in batches:
             n, keys, bands = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 own = shingles(text.as_py())
                 n.append(len(own))
                 if len(own):
@@ -124,17 +129,22 @@ def signatures(docs: DataFrame, percent: int) -> DataFrame:
                     keys.append(None)
                     bands.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "key", "bands"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                ["doc_id", "digest", "n_shingles", "key", "bands"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, key binary, bands array<long>")
+    return _identified(docs).mapInArrow(run, "doc_id long, digest long, n_shingles long, key binary, bands array<long>")
+
+
+def _identified(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are similar on the full sets of their texts (id, text); hot ids are split by AQE's skewed joins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_hashes()
         held: OrderedDict[int, np.ndarray] = OrderedDict()
         for batch in batches:
             a, b, text_a, text_b = (batch.column(c) for c in ("a", "b", "text_a", "text_b"))
@@ -156,6 +166,7 @@ def sketches(texts: DataFrame) -> DataFrame:
     """(id, n_shingles, sketch) of texts (id, text): a byte a bin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_hashes()
         for batch in batches:
             sets = [shingles(t.as_py()) for t in batch.column("text")]
             data = [(signature(own, SKETCH) & _U(255)).astype(np.uint8).tobytes() for own in sets]
@@ -167,9 +178,11 @@ def sketches(texts: DataFrame) -> DataFrame:
 def residual_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components within a bucket that their sketches can't rule out.
 
-    ``members``: (bucket, size, id, component, n_shingles, bands, sketch). A pair is looked at in the first bucket it
-    shares; where that one isn't among ``members``, a star or its component has settled the pair. Buckets beyond ``BLOCK`` members are dealt
-    into blocks and each pair of blocks is a row, so a task holds two blocks at most, whatever the bucket.
+    ``members``: (bucket, size, minors, minor, id, component, n_shingles, bands, sketch); minor are those outside
+    the bucket's largest component, and ``minors`` is how many there are. Only they need be compared with the others. A pair
+    is looked at in the first bucket it shares; where that one isn't among ``members``, a star or its component
+    has settled the pair. Minor ones and all are dealt into blocks of ``BLOCK`` that meet one by one, so
+    a task holds two blocks, whatever the bucket.
     """
     looks = [(n, least_estimate(percent / 100, n)) for n in (BINS, SKETCH)]
 
@@ -181,12 +194,10 @@ def residual_pairs(members: DataFrame, percent: int) -> DataFrame:
                 bands = np.asarray([m["bands"] for m in row], dtype=np.int64)
                 ids, comp, n = (np.asarray([m[c] for m in row], dtype=np.int64) for c in ("id", "component", "n_shingles"))
                 sketch = np.frombuffer(b"".join(m["sketch"] for m in row), dtype=np.uint8).reshape(-1, SKETCH)
-                values, inverse, counts = np.unique(comp, return_inverse=True, return_counts=True)
-                main = inverse == np.argmax(counts)
-                order = np.argsort(main, kind="stable")  # the largest component last: its members needn't be compared with each other
-                for i, x in enumerate(order[: len(order) - int(main.sum())]):
-                    others = order[i + 1 :]
-                    others = others[(comp[others] != comp[x]) & (100 * np.minimum(n[others], n[x]) >= percent * np.maximum(n[others], n[x]))]
+                asking = np.asarray([m["asking"] for m in row])
+                every = np.flatnonzero(~asking)
+                for x in np.flatnonzero(asking):
+                    others = every[(comp[every] != comp[x]) & (100 * np.minimum(n[every], n[x]) >= percent * np.maximum(n[every], n[x]))]
                     same = bands[others] == bands[x]
                     others = others[bands[x][np.argmax(same, axis=1)] == bucket]
                     for bins, least in looks:
@@ -195,48 +206,61 @@ def residual_pairs(members: DataFrame, percent: int) -> DataFrame:
                     out_b += np.maximum(ids[others], ids[x]).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    dealt = members.withColumn("_blocks", blocks).withColumn("_block", block)
-    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    dealt = dealt.withColumns({"_low": F.least("_block", "_other"), "_high": F.greatest("_block", "_other")})
-    grouped = dealt.groupBy("bucket", "_low", "_high").agg(F.collect_list(F.struct("id", "component", "n_shingles", "bands", "sketch")).alias("own"))
-    return grouped.select("bucket", "own").mapInArrow(run, "a long, b long").distinct()
+    rows, columns = F.ceil(F.col("minors") / BLOCK).cast("int"), F.ceil(F.col("size") / BLOCK).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    put = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    own = lambda asking: F.struct(F.lit(asking).alias("asking"), "id", "component", "n_shingles", "bands", "sketch").alias("own")
+    asking = members.where("minor").select("bucket", put(rows).alias("x"), every(columns).alias("y"), own(True))
+    asked = members.select("bucket", every(rows).alias("x"), put(columns).alias("y"), own(False))
+    met = asking.unionByName(asked).groupBy("bucket", "x", "y").agg(F.collect_list("own").alias("own"))
+    return met.select("bucket", "own").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row, linking texts whose shingle sets are similar by ``percent``.
 
-    Equal sets are one node, its smallest doc_id. In each bucket of a band the node with most company is
+    Equal sets are one node, known by a hash of the set. In each bucket of a band the node with most company is
     the hub, and each other node is a candidate of the hub only (a star). Links are confirmed on full
     sets and joined to components. Where a bucket still holds several components, its members
-    are compared by sketches in blocks and what may be a link is confirmed too, so stars lose none.
-    Null and empty texts have no shingles and are linked with nothing; a null doc_id is no node. An empty
-    table gives no rows; extra columns are ignored; repeated rows come out repeated.
+    are compared by sketches in blocks and what may be a link is confirmed too, so stars lose none. Large buckets
+    meet their hub in parts of ``BLOCK`` nodes.
+    Null and empty texts have no shingles and are linked with nothing; a null doc_id is no node. A repeated doc_id
+    with another text is another node, with the same id. An empty table gives no rows; extra columns are ignored;
+    repeated rows come out repeated.
     """
     sig = written(signatures(docs, percent), "signatures")
-    nodes = written(
-        sig.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "nodes"
-    )
+    first_of = F.min(F.struct("doc_id", "digest"))
+    nodes = sig.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(first_of.alias("first"), F.first("bands").alias("bands"))
+    nodes = written(nodes.select("key", F.xxhash64("key").alias("id"), "first.doc_id", "first.digest", "bands"), "nodes")
     buckets = nodes.select("id", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = written(buckets.join(shared, "bucket"), "members")
     company = members.groupBy("id").agg(F.sum("size").alias("company"))
-    hubs = members.join(company, "id").groupBy("bucket").agg((-F.max(F.struct("company", (-F.col("id")).alias("id")))["id"]).alias("hub"))
-    starred = written(members.join(hubs, "bucket"), "starred")
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(company.select("id"), "id", "left_semi").dropDuplicates(["id"]), "texts")
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    every_part = F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")
+    hubs = members.join(company, "id").groupBy("bucket").agg(F.min(F.struct((-F.col("company")).alias("company"), "id"))["id"].alias("hub"), F.max("size").alias("size"))
+    in_parts = members.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
+    starred = written(in_parts.join(hubs.select("bucket", "hub", every_part), ["bucket", "part"]), "starred")
+    linked = nodes.join(company.select("id"), "id", "left_semi").select("id", "doc_id", "digest")
+    texts = written(_identified(docs).join(linked, ["doc_id", "digest"]).select("id", "text").dropDuplicates(["id"]), "texts")
     stars = starred.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     links = written(confirm(stars, texts, percent), "links")
     first = components(links)
     # what the stars can't tell: members of one bucket, the hub aside, that are in different components
     placed = starred.where("size > 2 AND id <> hub").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("bucket")
-    rest = written(placed.join(mixed, "bucket", "left_semi").select("bucket", "size", "id", "component"), "rest")
+    held = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+    mixed = held.groupBy("bucket").agg(F.count("*").alias("components"), F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("size").alias("size")).where("components > 1")
+    mixed = mixed.select("bucket", F.col("main.component").alias("main"), (F.col("n") - F.col("main.n")).alias("minors"), every_part)
+    rest = placed.join(mixed, ["bucket", "part"]).select("bucket", "size", "minors", (F.col("component") != F.col("main")).alias("minor"), "id", "component")
+    rest = written(rest, "rest")
     rest = rest.join(nodes.select("id", "bands"), "id").join(sketches(texts.join(rest.select("id"), "id", "left_semi")), "id")
-    candidates = written(residual_pairs(rest, percent).join(stars, ["a", "b"], "left_anti"), "candidates")
+    candidates = residual_pairs(rest, percent)
+    candidates = written(candidates.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti"), "candidates")
     more = written(confirm(candidates, texts, percent), "more")
     final = first if more.isEmpty() else components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    of_key = nodes.select("key", "id").join(final.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("component", "id").alias("found"))
+    in_component = nodes.select("key", "id", "doc_id").join(final.withColumnRenamed("node", "id"), "id")
+    least = in_component.groupBy("component").agg(F.min("doc_id").alias("least"))
+    of_key = nodes.select("key", F.col("doc_id").alias("own")).join(in_component.join(least, "component").select("key", "least"), "key", "left").select("key", F.coalesce("least", "own").alias("found"))
     out = sig.select("doc_id", "n_shingles", "key").join(of_key, "key", "left")
     component = F.coalesce("found", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -12,10 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import ranked, table, written
+from brindle.llm.common import claim, ranked, table, written
 
 #: Distinct words a worker keeps ids of, before it starts anew.
-WORDS = 400_000
+WORDS = 150_000
 #: Nodes the branch and bound may open; beyond them the best packing so far stands.
 NODES = 2_000
 #: Fillings tried at a node.
@@ -73,6 +73,7 @@ _tables: dict[str, WordIds] = {}
 def word_ids(path: str) -> WordIds:
     if path not in _tables:
         _tables[path] = WordIds(path)
+    claim("packing", _tables.clear)
     return _tables[path]
 
 

@@ -32,7 +32,7 @@ THRESHOLD = 0.7
 
 _TERM = re.compile(r"\w+")
 #: Letters of the longest beginning of a word that is a term, since languages inflect; words whose terms a worker keeps.
-LONGEST, WORDS = 8, 200_000
+LONGEST, WORDS = 8, 100_000
 
 
 def terms_of(word: str) -> list[str]:

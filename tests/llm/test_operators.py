@@ -25,6 +25,7 @@ SF = "/root/testdata/sf0.001"
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = [a + b + c for a in "bdfgklmn" for b in "aeiou" for c in "lnrst"]
 LONG = "The quick brown fox jumps over the lazy dog. " * 600
 ODD = [
     (1, None, None, None, None), (2, "", "en", "s", 0), (3, "   \n\t ", "en", "s", 6), (4, "one two", "en", "s", 7), (4, "one two", "en", "s", 7), (5, LONG, "en", "s", len(LONG)),
@@ -308,34 +309,46 @@ def test_no_vectors(spark):
 # ---- language models
 
 
-def test_losses_equal_counting(spark):
-    texts = {1: "a b a b a c", 2: "a b c c", 3: "d e d e", 4: "", 5: None, 6: "a b a d"}
-    docs = spark.createDataFrame([(k, v, "en", "s", 1) for k, v in texts.items()], DOCS)
-    got = {r["doc_id"]: r for r in lm.score_documents(docs, labels(spark, [(1, 1, 0), (2, 1, 0), (3, 0, 0), (None, 1, 0)])).collect()}
-    assert got[4]["difference"] is None and got[5]["n_words"] == 0
-    vocabulary = len({w for t in texts.values() for w in (t or "").split()}) + lm.CLASSES
-    sides = {True: [1, 2], False: [3, 4, 5, 6]}
-
-    def loss(doc, side):
-        pairs, history, single = Counter(), Counter(), Counter()
-        total = {s: sum(len((texts[d] or "").split()) for d in sides[s]) for s in sides}
-        scale = min(total.values()) / total[side]
-        for d in sides[side]:
-            if d != doc:
-                w = (texts[d] or "").split()
-                pairs.update(zip([None, *w], w))
-                history.update([None, *w][: len(w)])
+def slow_losses(texts, targets, doc):
+    """(target loss, background loss) of a document by counting, its own counts left out."""
+    side = {d: d in targets for d in texts}
+    words = {d: [*t.lower().split(), None] if (t or "").split() else [] for d, t in texts.items()}
+    total = {s: sum(len(w) for d, w in words.items() if side[d] == s) for s in (True, False)}
+    out = []
+    for s in (True, False):
+        scale = min(total.values()) / total[s]
+        pairs, single, history, n = Counter(), Counter(), Counter(), 0
+        for d, w in words.items():
+            if side[d] == s and d != doc:
+                pairs.update(zip(["", *w], w))
+                history.update(["", *w][: len(w)])
                 single.update(w)
-        w = texts[doc].split()
-        out = 0
-        for h, x in zip([None, *w], w):
-            p1 = (scale * single[x] + lm.UNIFORM) / (scale * sum(single.values()) + lm.UNIFORM * vocabulary)
-            out -= math.log((scale * pairs[h, x] + lm.BACKOFF * p1) / (scale * history[h] + lm.BACKOFF))
-        return out / len(w)
-
-    for d in (1, 2, 3, 6):
-        assert got[d]["target_loss"] == pytest.approx(loss(d, True), rel=1e-5) and got[d]["background_loss"] == pytest.approx(loss(d, False), rel=1e-5)
-    assert got[3]["difference"] > got[2]["difference"]
+                n += len(w)
+        loss = 0
+        for h, x in zip(["", *words[doc]], words[doc]):
+            p = (scale * single[x] + lm.BACKOFF * lm.UNIFORM) / (scale * n + lm.BACKOFF)
+            loss -= math.log((scale * pairs[h, x] + lm.BACKOFF * p) / (scale * history[h] + lm.BACKOFF))
+        out.append(loss / len(words[doc]))
+    return out
+
+
+@pytest.mark.parametrize("batch, bucket", [(lm.BATCH, lm.BUCKET), (7, 11)])
+def test_losses_equal_counting(spark, monkeypatch, batch, bucket):
+    monkeypatch.setattr(lm, "BATCH", batch)
+    monkeypatch.setattr(lm, "BUCKET", bucket)
+    rng = random.Random(8)
+    texts = {1: "a b a b a c", 2: "a b c c", 3: "d e d e", 4: "", 5: None, 6: "A b a d", 7: "x", 8: "x"}
+    texts |= {10 + i: " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 30))) for i in range(30)}
+    docs = spark.createDataFrame([(k, v, "en", "s", 1) for k, v in texts.items()], DOCS).repartition(3)
+    targets = {1, 2, *range(10, 18)}
+    got = {r["doc_id"]: r for r in lm.score_documents(docs, labels(spark, [*((d, 1, 0) for d in targets), (3, 0, 0), (None, 1, 0)])).collect()}
+    assert len(got) == len(texts) and got[4]["difference"] is None and got[5]["n_words"] == 0
+    for d, t in texts.items():
+        assert got[d]["target"] == (d in targets) and got[d]["n_words"] == len((t or "").split())
+        if t:
+            want = slow_losses(texts, targets, d)
+            assert (got[d]["target_loss"], got[d]["background_loss"]) == pytest.approx(want, rel=1e-9)
+            assert got[d]["difference"] == pytest.approx(want[0] - want[1], abs=1e-9)
 
 
 def test_lm_keeps_rare_words_apart(spark):
@@ -343,16 +356,19 @@ def test_lm_keeps_rare_words_apart(spark):
     texts = {1: "zq zr " * 40, 2: "zq zr " * 40, 3: "zs zt " * 40, 4: "zs zt " * 40, 5: " ".join(fill * 81), 6: "zq zr", 7: "zs zt"}
     docs = spark.createDataFrame([(k, v, "en", "s", 1) for k, v in texts.items()], DOCS)
     got = {r["doc_id"]: r for r in lm.score_documents(docs, labels(spark, [(1, 1, 0), (2, 1, 0)])).collect()}
-    vocabulary = 1504 + lm.CLASSES
-    total, scale = 160 + 1500 * 81 + 4, 160 / (160 + 1500 * 81 + 4)
-    # document 7 in the background, its own counts taken out: start zs stands twice there, zs 80 times, zs zt 80 times
-    single = (scale * 80 + lm.UNIFORM) / (scale * (total - 2) + lm.UNIFORM * vocabulary)
-    first = (scale * 2 + lm.BACKOFF * single) / (scale * 4 + lm.BACKOFF)
-    second = (scale * 80 + lm.BACKOFF * single) / (scale * 80 + lm.BACKOFF)
-    assert got[7]["background_loss"] == pytest.approx(-(math.log(first) + math.log(second)) / 2, rel=1e-9)
     assert got[6]["difference"] < -1 and got[7]["difference"] > 0.1
 
 
+def test_lm_tells_texts_that_stand_twice(spark):
+    rng = random.Random(2)
+    texts = {i: " ".join(rng.choice(WORDS) for _ in range(60)) for i in range(200)}
+    texts |= {500 + i: texts[i] for i in range(20)}
+    docs = spark.createDataFrame([(k, v, "en", "s", 1) for k, v in texts.items()], DOCS)
+    got = {r["doc_id"]: r["background_loss"] for r in lm.score_documents(docs, labels(spark, [(i, 1, 0) for i in range(100, 150)])).collect()}
+    twice = [got[i] for i in got if i < 20 or i >= 500]
+    assert max(twice) < min(v for i, v in got.items() if 20 <= i < 500)
+
+
 def test_lm_of_odd_rows(spark, odd, none):
     marked = labels(spark, [(4, 1, 0), (4, 1, 0), (5, None, None)])
     assert lm.score_documents(odd, marked).count() == len(ODD) and lm.score_documents(none, marked).count() == 0
@@ -482,6 +498,28 @@ def test_components_equal_brute_force(spark, percent):
     assert {r["doc_id"] for r in minhash.one_of_each(docs, percent).collect()} == {i for i in want if want[i] == i}
 
 
+def test_repeated_id_with_other_texts(spark):
+    a, b = " ".join(WORDS[:60]), " ".join(WORDS[60:120])
+    rows_ = [(1, a), (1, b), (2, a), (3, f"{b} more"), (4, f"{a} more"), (5, " ".join(WORDS[120:180])), (5, " ".join(WORDS[120:180]))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows_, "doc_id long, text string"), 85).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 1, False), (5, 5, True), (5, 5, True)]
+
+
+def test_large_bucket_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    rng = random.Random(3)
+    texts = {}
+    for family in range(3):  # families that share bands, far larger than a block
+        base = [rng.choice(WORDS) for _ in range(80)]
+        for i in range(60):
+            own = list(base)
+            for _ in range(rng.randrange(0, 5)):
+                own[rng.randrange(len(own))] = rng.choice(WORDS)
+            texts[family * 100 + i] = " ".join(own)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 85).collect()}
+    assert got == brute_components(texts, 85)
+
+
 def test_near_duplicates_of_odd_rows(spark, odd, none):
     assert minhash.near_duplicates(odd, 85).count() == len(ODD) and minhash.near_duplicates(none, 85).count() == 0
 
