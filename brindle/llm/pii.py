@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
+import ipaddress
+import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from brindle.llm.common import table
 
 #: Kinds in the order of ties: the base ones, then those the checksums add.
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "ipv6", "secret")
 BASE = KINDS[:4]
 #: Characters before and after a span in which context words count.
 WINDOW = 48
@@ -37,6 +39,15 @@ _IBAN_LENGTH = {
     for country in countries.split()
 }
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+_IPV6 = re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:])")
+#: A value after : or =, and the names before them that make it a secret.
+_VALUE = re.compile(r"""["' \t]{0,3}[:=][ \t]{0,3}["']?([A-Za-z0-9+/_.~-]{8,}={0,2})""")
+_NAME = re.compile(r"(?:key|token|secret|passw(?:or)?d|pwd|passphrase|credentials?|bearer)$", re.I)
+#: Forms that tell a secret by themselves: cloud and service keys, signed web tokens; and where a private key begins.
+_KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|AIza[0-9A-Za-z_-]{35}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+)")
+_PRIVATE = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----")
+#: Bits a character of an assigned value must hold, in the mean: words and repeated characters hold less.
+ENTROPY = 2.5
 
 _CONTEXT = {
     "email": re.compile(r"e-?mail|contact|write to|@", re.I),
@@ -45,8 +56,10 @@ _CONTEXT = {
     "phone": re.compile(r"phone|call|tel|mobile|fax|llam", re.I),
     "iban": re.compile(r"iban|account|bank|konto|compte|cuenta", re.I),
     "ssn": re.compile(r"ssn|social|security|insurance", re.I),
+    "ipv6": re.compile(r"\bip\b|ipv6|address|host|server|login", re.I),
+    "secret": re.compile(r"key|token|secret|passw|pwd|credential|bearer|auth", re.I),
 }
-_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.4}
+_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.4, "ipv6": 0.6, "secret": 0.6}
 #: Added where a context word is near; an added kind must reach its least score to be reported.
 CONTEXT_BONUS, LEAST = 0.3, {"iban": 0.8, "ssn": 0.6}
 
@@ -92,6 +105,38 @@ def ibans(text: str) -> Iterator[tuple[int, int]]:
         m = _IBAN.search(text, places[end - 1] + 1 if end else m.start() + 1)
 
 
+def entropy(value: str) -> float:
+    """Bits a character of ``value`` holds."""
+    return -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
+
+
+def secrets(text: str) -> Iterator[tuple[int, int]]:
+    """Keys of a known form, private keys up to their end line, and values assigned to a name that says so, by start."""
+    found = [m.span() for m in _KEY.finditer(text)]
+    for m in _PRIVATE.finditer(text):
+        end = text.find("-----END", m.end())
+        close = text.find("-----", end + 8) if end >= 0 else -1
+        found.append((m.start(), close + 5 if close >= 0 else m.end()))
+    for m in _VALUE.finditer(text):
+        if _NAME.search(text[max(0, m.start() - 12) : m.start()]) and entropy(m[1]) >= ENTROPY:
+            found.append(m.span(1))
+    done = 0
+    for start, end in sorted(found):
+        if start >= done:
+            yield start, end
+            done = end
+
+
+def ipv6s(text: str) -> Iterator[tuple[int, int]]:
+    for m in _IPV6.finditer(text):
+        try:
+            ipaddress.IPv6Address(m[0])
+        except ValueError:
+            continue
+        if len(m[0]) > 5:
+            yield m.span()
+
+
 def find(text: str) -> list[tuple[int, int, str, float]]:
     """(start, end, kind, score) of every span of a whole text, by start, then kind as in ``KINDS``."""
     found = [(a, b, "email") for a, b in emails(text)]
@@ -111,6 +156,9 @@ def find(text: str) -> list[tuple[int, int, str, float]]:
         area, group, serial = m[0].split("-")
         if area not in ("000", "666") and area < "900" and group != "00" and serial != "0000":
             found.append((m.start(), m.end(), "ssn"))
+    if ":" in text:
+        found += [(a, b, "ipv6") for a, b in ipv6s(text)]
+    found += [(a, b, "secret") for a, b in secrets(text)]
     scored = []
     for start, end, kind in found:
         near = text[max(0, start - WINDOW) : start] + " " + text[end : end + WINDOW]
@@ -175,4 +223,6 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     counts = [F.size(F.filter("spans", _is(k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return spans.select("doc_id", *counts[:4], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), *counts[4:])
+    score = F.coalesce(F.array_max(F.transform("spans", lambda s: s["score"])), F.lit(0.0)).alias("score")
+    n_spans = F.size("spans").cast("long").alias("n_spans")
+    return spans.select("doc_id", *counts[:4], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), *counts[4:], n_spans, score)
