@@ -18,7 +18,9 @@ SAMPLE, PROBES = 20_000, 1_000
 #: Vectors of one label that a cell of the grid should hold; codewords of a half, at most.
 OCCUPANCY, CODEWORDS = 256, 512
 #: Share of neighbours just at the threshold that the visited cells must hold.
-RECALL = 0.97
+RECALL = 0.98
+#: Cells of a grid that every search visits all of.
+FEW = 9
 #: Rows of a cell that meet in one task at a time: searching and held ones.
 QUERIES, ENTRIES = 2_048, 512
 
@@ -64,13 +66,25 @@ class MultiIndex:
         return distances(unit[:, : self.half], self.books[0]), distances(unit[:, self.half :], self.books[1])
 
     def _visits(self, sample: np.ndarray, threshold: float) -> int:
-        """Measured: vectors turned away just to the threshold in random directions, and the rank of their cells."""
+        """Measured on probes of the sample: the rank of the cells of their neighbours in it, and of vectors turned
+        away just to the threshold in random directions; the larger number. All of a grid of few cells."""
+        cells = len(self.books[0]) * len(self.books[1])
+        if cells <= FEW:
+            return cells
         rng = np.random.default_rng(3)
         x = sample[np.linspace(0, len(sample) - 1, min(PROBES, len(sample))).astype(int)]
         away = rng.normal(size=x.shape)
         away -= (away * x).sum(axis=1)[:, None] * x
         away /= np.maximum(np.linalg.norm(away, axis=1), 1e-12)[:, None]
         y = threshold * x + np.sqrt(max(0.0, 1 - threshold**2)) * away
+        probe, other = np.nonzero(x @ sample.T >= threshold)
+        apart = np.abs(x[probe] - sample[other]).max(axis=1) > 0
+        probe, other = (v[apart][:: max(1, int(apart.sum()) // (4 * PROBES))] for v in (probe, other))
+        most = self._rank(x, y)
+        return max(most, self._rank(x[probe], sample[other]) if len(probe) else 0)
+
+    def _rank(self, x: np.ndarray, y: np.ndarray) -> int:
+        """How many cells from x on must be visited until that of y is among them, for ``RECALL`` of the pairs."""
         (a, b), (ya, yb) = self.parts(x), self.parts(y)
         rows = np.arange(len(x))
         at = a[rows, ya.argmin(axis=1)] + b[rows, yb.argmin(axis=1)]
@@ -88,7 +102,7 @@ class MultiIndex:
 
 
 def _valid(vectors: DataFrame) -> DataFrame:
-    """(vec_id, label, dim, key, vector binary) of the rows that can link: finite, not zero, with a label."""
+    """(vec_id, label, dim, key, vector binary) of every row; key is null where it can't link: not finite, zero, or without label or id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,7 +118,8 @@ def _valid(vectors: DataFrame) -> DataFrame:
             )
 
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), "embedding")
-    return rows.mapInArrow(run, "vec_id long, label long, dim int, key binary, vector binary").where("key IS NOT NULL AND label IS NOT NULL AND vec_id IS NOT NULL")
+    out = rows.mapInArrow(run, "vec_id long, label long, dim int, key binary, vector binary")
+    return out.withColumn("key", F.expr("CASE WHEN label IS NOT NULL AND vec_id IS NOT NULL THEN key END"))
 
 
 def _units(data: list[bytes], dim: int) -> np.ndarray:
@@ -143,14 +158,15 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     of different lengths. Repeated vec_ids count as other vectors. An empty table gives no rows.
     """
     spark = vectors.sparkSession
-    valid = written(_valid(vectors), "vectors")
+    rows = written(_valid(vectors), "vectors")
+    valid = rows.where("key IS NOT NULL")
     nodes = written(valid.groupBy("label", "dim", "key").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("vector").alias("vector")), "nodes")
     size = nodes.agg(F.count("*").alias("n"), F.max("dim").alias("dim"), F.count_distinct("label").alias("labels")).first()
     if size["n"]:
         dim = size["dim"] + size["dim"] % 2
         sample = _units([r["vector"] for r in nodes.orderBy(F.xxhash64("id")).limit(SAMPLE).select("vector").collect()], dim)
         cells = size["n"] / size["labels"] / OCCUPANCY
-        sent = spark.sparkContext.broadcast(MultiIndex(sample, int(min(CODEWORDS, max(2, np.ceil(np.sqrt(cells))))), threshold))
+        sent = spark.sparkContext.broadcast(MultiIndex(sample, int(min(CODEWORDS, max(1, np.ceil(np.sqrt(cells))))), threshold))
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -207,8 +223,7 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
         .select("label", "dim", "key", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("component", "id").alias("component"))
     )
     linked = valid.select("vec_id", "label", "dim", "key").join(of_node, ["label", "dim", "key"]).select("vec_id", "n", "component")
-    rows = vectors.select(F.col("vec_id").cast("long"))
-    alone = rows.join(linked.select("vec_id").distinct(), "vec_id", "left_anti").select("vec_id", F.lit(0).cast("long").alias("n"), F.col("vec_id").alias("component"))
+    alone = rows.where("key IS NULL").select("vec_id", F.lit(0).cast("long").alias("n"), F.col("vec_id").alias("component"))
     return linked.unionByName(alone).select(
         "vec_id", F.col("n").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("component"), F.lit(True)).alias("kept")
     )
