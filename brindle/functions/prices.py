@@ -5,44 +5,53 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Availability words by state, the longest to be tried first; currency signs and their codes.
+# Phrases by state, tried from the longest on; whole values of schema.org and the like; currency signs and codes; words beside prices.
 AVAILABILITY = {
-    "currently unavailable": "out_of_stock", "out of stock": "out_of_stock", "limited stock": "limited_stock", "unavailable": "out_of_stock", "back order": "preorder",
-    "pre order": "preorder", "available": "in_stock", "in stock": "in_stock", "preorder": "preorder", "sold out": "out_of_stock",
-}
+    "in_stock": ["in stock", "instock", "available", "ready to ship"],
+    "limited_stock": ["limited stock", "limitedstock", "low stock", "lowstock", "only", "left in stock"],
+    "out_of_stock": ["out of stock", "outofstock", "oos", "sold out", "unavailable"],
+    "preorder": ["pre-order", "preorder", "backorder", "back-order"],
+}
+AVAILABILITY_NAMES = {"instock": "in_stock", "outofstock": "out_of_stock", "limitedavailability": "limited_stock", "preorder": "pre_order"}
 SIGNS = {"$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY", "₹": "INR"}
+CODES = ["AED", "AUD", "BRL", "CAD", "CHF", "CNY", "DKK", "EUR", "GBP", "HKD", "INR", "JPY", "KRW", "MXN", "NOK", "NZD", "PLN", "SEK", "SGD", "USD", "ZAR"]
+BESIDE_PRICES = ["cost", "from", "mrp", "msrp", "now", "price", "sale", "starting", "starting at"]
 
-_MONEY = r"(?i)[$€£¥₹]|\b(?:price|usd|eur|gbp|inr|jpy|cost)\b"
+_CODE = "|".join(CODES)
+_MONEY = rf"(?i)[$€£¥₹]|\b(?:{'|'.join(BESIDE_PRICES)}|{_CODE}|rs\.?)\b"
+_NEGATIVE = rf"(?i)^-\s*(?:[$€£¥₹]|rs\.?|\b(?:{_CODE}))?\s*[0-9]"
 
 
 def canonical_number(number: Column) -> Column:
-    """A number with grouping marks in plain notation: of two kinds of marks the later is the decimal one."""
+    """A number with grouping marks in plain notation: of two kinds of marks the later is the decimal one; a last comma
+    is decimal before one or two digits; dots before groups of three are grouping marks."""
     last_comma, last_dot = F.length(F.substring_index(number, ",", -1)), F.length(F.substring_index(number, ".", -1))
     comma, dot = F.contains(number, F.lit(",")), F.contains(number, F.lit("."))
-    european = F.regexp_replace(F.regexp_replace(number, r"\.", ""), ",", ".")
+    bare = F.regexp_replace(number, "[.,]", "")
+    decimal_comma = F.concat(F.regexp_replace(F.regexp_replace(number, ",[^,]*$", ""), "[.,]", ""), F.lit("."), F.substring_index(number, ",", -1))
     plain = F.regexp_replace(number, ",", "")
     grouped = number.rlike(r"^[-+]?[0-9]+(\.[0-9]{3})+$")
     return (
-        F.when(comma & dot, F.when(last_comma < last_dot, european).otherwise(plain))
-        .when(comma, F.when(last_comma.between(1, 2), european).otherwise(plain))
-        .when(grouped, F.regexp_replace(number, r"\.", ""))
+        F.when(comma & dot, F.when(last_comma < last_dot, F.regexp_replace(F.regexp_replace(number, r"\.", ""), ",", ".")).otherwise(plain))
+        .when(comma, F.when(last_comma.between(1, 2), decimal_comma).otherwise(plain))
+        .when(grouped, bare)
         .otherwise(number)
     )
 
 
 def decimal_price(value: Column) -> Column:
-    """A price text as a plain decimal text. Null if it is blank or negative, or a whole number of up to three digits
-    without any sign of money."""
+    """A price text as a plain decimal text. Null if it is blank, negative or no number, or a whole number of up to three
+    digits without any sign of money."""
     text = F.trim(F.regexp_replace(value, r"\s+", " "))
     first = F.regexp_replace(F.regexp_extract(text, r"[-+]?[0-9][0-9.,]*", 0), r"[.,]+$", "")
-    number = canonical_number(first)
-    bare = ~F.contains(number, F.lit(".")) & (F.length(F.regexp_replace(number, r"[^0-9]", "")) <= 3) & ~text.rlike(_MONEY)
-    return F.when((text == "") | (first == "") | text.rlike(r"^-\s*[^0-9]?\s*[0-9]") | number.startswith("-") | bare, F.lit(None)).otherwise(F.regexp_replace(number, r"^\+", ""))
+    number = F.regexp_replace(canonical_number(first), r"^\+?0*(?=[0-9])", "")
+    unmarked = ~F.contains(number, F.lit(".")) & (F.length(F.regexp_replace(number, r"[^0-9]", "")) <= 3) & ~text.rlike(_MONEY)
+    return F.when(number.rlike(r"^[0-9]+(\.[0-9]+)?$") & ~text.rlike(_NEGATIVE) & ~unmarked, number)
 
 
 def currency_of(value: Column) -> Column:
     """The code of the first currency sign met, else an ISO code written out, else null."""
-    out = F.upper(F.regexp_extract(value, r"(?i)\b(USD|EUR|GBP|INR|JPY)\b", 1))
+    out = F.upper(F.regexp_extract(value, rf"(?i)\b({_CODE})\b", 1))
     found = F.when(out != "", out)
     for sign, code in reversed(SIGNS.items()):
         found = F.when(F.contains(value, F.lit(sign)), code).otherwise(found)
@@ -56,10 +65,38 @@ def price_range(value: Column) -> Column:
 
 
 def availability(value: Column) -> Column:
-    """in_stock, limited_stock, out_of_stock or preorder by the longest phrase contained; other text stays as it is."""
-    text = F.trim(F.regexp_replace(F.regexp_replace(F.lower(value), r"^https?://schema\.org/", ""), r"[-_\s]+", " "))
-    squeezed = F.regexp_replace(text, " ", "")
-    found = value
-    for phrase, state in sorted(AVAILABILITY.items(), key=lambda x: (len(x[0]), x[0])):
-        found = F.when(F.contains(text, F.lit(phrase)) | F.contains(squeezed, F.lit(phrase.replace(" ", ""))), state).otherwise(found)
-    return F.when(text.isin("true", "1", "yes"), "in_stock").when(text.isin("false", "0", "no"), "out_of_stock").otherwise(found)
+    """in_stock, limited_stock, out_of_stock or preorder: by schema.org's name (which gives pre_order), the state itself, yes
+    or no, or the longest phrase contained; other text stays, trimmed."""
+    text = F.trim(F.regexp_replace(value, r"\s+", " "))
+    low = F.lower(text)
+    name = F.regexp_replace(F.regexp_replace(low, "/+$", ""), r"^(https?://)?schema\.org/", "")
+    state = F.regexp_replace(low, "[- ]", "_")
+    found = text
+    for phrase, own in sorted(((p, s) for s, ps in AVAILABILITY.items() for p in ps), key=lambda x: len(x[0])):
+        found = F.when(F.contains(low, F.lit(phrase)), own).otherwise(found)
+    found = F.when(low.isin("true", "1", "yes"), "in_stock").when(low.isin("false", "0", "no"), "out_of_stock").otherwise(found)
+    found = F.when(state.isin(list(AVAILABILITY)), state).otherwise(found)
+    for whole, own in AVAILABILITY_NAMES.items():
+        found = F.when(name == whole, own).otherwise(found)
+    return found
+
+
+def amount_usd(amount: Column, currency: Column, rates: dict[str, float]) -> Column:
+    """An amount in dollars by a fixed table of rates; null without a rate."""
+    rate = F.lit(None).cast("double")
+    for code, one in rates.items():
+        rate = F.when(F.upper(currency) == code, one).otherwise(rate)
+    return amount * rate
+
+
+def barcode(value: Column) -> Column:
+    """The digits of a code of 8, 12, 13 or 14 digits, written with blanks and hyphens at most."""
+    digits = F.regexp_replace(value, r"[\s-]", "")
+    return F.when(value.rlike(r"^[0-9\s-]+$") & F.length(digits).isin(8, 12, 13, 14), digits)
+
+
+def sku(value: Column) -> Column:
+    """A stock code; none of structured text, nor of long runs of letters and digits that only track a visit."""
+    text = F.trim(value)
+    tracking = (F.length(text) > 20) & text.rlike("^[A-Za-z0-9]+$") & text.rlike("[A-Za-z]") & text.rlike("[0-9]")
+    return F.when((text != "") & ~text.rlike(r"^[{\[]") & ~tracking, text)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words without meaning of their own in keywords.
 STOPWORDS = ["and", "for", "from", "the", "with"]
+# Phrases of titles that lead to a shop's service pages.
+UTILITY_TITLES = ["about us", "cart", "checkout", "contact us", "customer service", "gift card", "help", "log in", "login", "my account", "privacy policy", "returns", "shipping", "sign in", "size guide", "store locator", "terms", "wishlist"]
 
 
 def collapsed(text: Column) -> Column:
@@ -26,25 +30,33 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def field_key(name: Column) -> Column:
-    """camelCase, spaces and symbols to snake_case."""
-    out = F.regexp_replace(F.regexp_replace(collapsed(name), "&", " "), "([A-Z]+)([A-Z][a-z])", "$1_$2")
-    out = F.lower(F.regexp_replace(out, "([a-z0-9])([A-Z])", "$1_$2"))
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(out, "[^a-z0-9_.]+", "_"), "_+", "_"), "^[_.]+|[_.]+$", "")
+    """camelCase, spaces and symbols to snake_case; dots stay inside."""
+    humps = F.regexp_replace(name, "(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_")
+    parts = F.filter(F.split(F.lower(humps), "[^a-z0-9.]+"), lambda x: x != "")
+    return F.regexp_replace(F.array_join(parts, "_"), "^[._]+|[._]+$", "")
 
 
 def seo_keywords(text: Column, most: int = 20) -> Column:
     """Words of three letters or more that aren't stop words, then pairs of neighbours; distinct, at most ``most``."""
     words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: (F.length(t) >= 3) & ~t.isin(STOPWORDS))
-    pairs = F.transform(F.arrays_zip(words.alias("a"), F.slice(words, 2, 1000).alias("b")), lambda p: F.concat(p["a"], F.lit(" "), p["b"]))
+    pairs = F.transform(F.arrays_zip(words.alias("a"), F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))).alias("b")), lambda p: F.concat(p["a"], F.lit(" "), p["b"]))
     return F.slice(F.array_distinct(F.concat(words, F.filter(pairs, lambda p: p.isNotNull()))), 1, most)
 
 
 def term_present(text: Column, term: str) -> Column:
     """Whether ``term`` stands in the text with no letter or digit beside it."""
-    return F.lower(text).rlike(rf"(^|[^a-z0-9]){term}([^a-z0-9]|$)")
+    return F.lower(collapsed(text)).rlike(rf"(^|[^a-z0-9]){re.escape(' '.join(term.lower().split()))}([^a-z0-9]|$)")
 
 
 def distinct_ignoring_case(values: Column) -> Column:
     """The first of each value but for case, in order."""
     start = F.array().cast("array<string>")
     return F.aggregate(values, start, lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.array_append(acc, x)))
+
+
+def utility_title(title: Column) -> Column:
+    """Whether a title is that of a service page."""
+    found = F.lit(False)
+    for phrase in UTILITY_TITLES:
+        found = found | term_present(title, phrase)
+    return F.coalesce(found, F.lit(False))

@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Query keys that only track a visit, and second-level public suffixes.
+# Query keys that only track a visit, and labels that with a country make a public suffix.
 TRACKING_KEYS = ["fbclid", "gclid", "mc_cid", "mc_eid", "msclkid", "ref"]
 TRACKING_PREFIX = "utm_"
-SECOND_LEVEL = ["co.in", "co.jp", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.mx", "com.sg", "org.uk"]
+SECOND_LEVEL = ["ac", "co", "com", "edu", "gob", "gov", "net", "ne", "or", "org"]
+# Sellers by kind.
+MARKETPLACES = ["amazon.ca", "amazon.co.jp", "amazon.co.uk", "amazon.com", "amazon.com.au", "amazon.com.mx", "amazon.de", "amazon.fr", "amazon.in", "amazon.it", "ebay.ca", "ebay.co.uk", "ebay.com", "ebay.com.au", "ebay.de", "ebay.fr", "ebay.in", "ebay.it", "etsy.com", "flipkart.com"]
+# Fixed value: what may stand between two addresses of one text.
+BEFORE_URL = [" ", "\t", "\n", ",", ";", ")", "]", "}", ">"]
 
+_SUFFIX = rf"^({'|'.join(SECOND_LEVEL)})\.[a-z]{{2}}$"
 _HOST = r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)"
 
 
@@ -37,7 +42,7 @@ def registrable_host(url: Column) -> Column:
     host = host_of(url)
     parts = F.split(host, r"\.")
     two, three = (F.array_join(F.slice(parts, -n, n), ".") for n in (2, 3))
-    return F.when(host.rlike(r"^[0-9]+(\.[0-9]+){3}$") | (F.size(parts) < 3), host).when(two.isin(SECOND_LEVEL), three).otherwise(two)
+    return F.when(host.rlike(r"^[0-9]+(\.[0-9]+){3}$") | (F.size(parts) < 3), host).when(two.rlike(_SUFFIX), three).otherwise(two)
 
 
 def url_path(url: Column) -> Column:
@@ -80,8 +85,56 @@ def navigation_safe(url: Column, blocked: tuple[str, ...] = ("/login", "/cart",
 
 
 def is_concatenated(url: Column) -> Column:
-    """Two URLs glued together."""
-    return F.size(F.regexp_extract_all(F.lower(url), F.lit("https?://"), 0)) > 1
+    """Two URLs glued together: a second scheme with none of ``BEFORE_URL`` before it, as a URL in a query has."""
+    before = F.regexp_extract_all(F.lower(F.trim(url)), F.lit("(?s)(.)https?:/+"), 1)
+    return F.exists(before, lambda c: ~c.isin(BEFORE_URL))
+
+
+def absolute_url(base: Column, link: Column) -> Column:
+    """A link resolved against the URL it stands in (RFC 3986); a blank one gives ''."""
+    text = F.trim(link)
+    origin = F.regexp_extract(base, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0)
+    folder = F.regexp_extract(url_path(base), "^.*/", 0)
+    path = F.regexp_extract(text, "^[^?#]*", 0)
+    tail = F.substring(text, F.length(path) + 1, F.lit(1 << 20))
+    merged = F.when(path.startswith("/"), path).otherwise(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), path))
+    kept = F.aggregate(
+        F.split(merged, "/"), F.array().cast("array<string>"),
+        lambda acc, x: F.when(x == "..", F.when(F.size(acc) > 1, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc)).when(x == ".", acc).otherwise(F.array_append(acc, x)),
+    )
+    clean = F.concat(F.array_join(kept, "/"), F.when(merged.rlike(r"/\.\.?$"), F.lit("/")).otherwise(F.lit("")))
+    bare = F.regexp_replace(base, "#.*$", "")
+    return (
+        F.when(text == "", F.lit("")).when(text.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), text).when(text.startswith("//"), F.concat(F.regexp_extract(base, "^[^:]*:", 0), text))
+        .when(text.startswith("#"), F.concat(bare, text)).when(text.startswith("?"), F.concat(F.regexp_replace(bare, r"[?].*$", ""), text)).otherwise(F.concat(origin, clean, tail))
+    )
+
+
+def same_host(url: Column, other: Column) -> Column:
+    """Whether two URLs have one host, ports aside."""
+    host = lambda u: F.regexp_replace(authority(u), ":[0-9]+$", "")
+    return (host(other) != "") & (host(url) == host(other))
+
+
+def target_url(value: Column) -> Column:
+    """A pasted address: entities read, tracking removed; '' if it is blank or has white space inside."""
+    text = F.trim(value)
+    for entity, sign in (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(sign))
+    return F.when(text.rlike(r"\s"), F.lit("")).otherwise(strip_tracking(text))
+
+
+def source_type(host: Column, brand_domain: Column, aggregators: list[str], retailers: list[str]) -> Column:
+    """brand_dtc, marketplace, aggregator, retailer or unknown: the first list with the host or a domain above it."""
+    host = F.regexp_replace(F.lower(host), r"^www\.", "")
+
+    def under(names: list[str]) -> Column:
+        labels = F.split(host, r"\.")
+        tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+        return F.arrays_overlap(tails, F.array(*map(F.lit, names)))
+
+    own = (host == brand_domain) | host.endswith(F.concat(F.lit("."), brand_domain))
+    return F.when(own, "brand_dtc").when(under(MARKETPLACES), "marketplace").when(under(aggregators), "aggregator").when(under(retailers), "retailer").otherwise("unknown")
 
 
 SQL = {
@@ -94,7 +147,7 @@ SQL["path"] = r"regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?
 SQL["query"] = r"regexp_extract(url, '^[^?#]*\?([^#]*)', 1)"
 SQL["registrable"] = (
     f"CASE WHEN regexp_matches({SQL['host']}, '^[0-9]+(\\.[0-9]+){{3}}$') OR len(string_split({SQL['host']}, '.')) < 3 THEN {SQL['host']} "
-    f"WHEN array_to_string(string_split({SQL['host']}, '.')[-2:], '.') IN ({', '.join(repr(x) for x in SECOND_LEVEL)}) THEN array_to_string(string_split({SQL['host']}, '.')[-3:], '.') "
+    f"WHEN regexp_matches(array_to_string(string_split({SQL['host']}, '.')[-2:], '.'), '{_SUFFIX}') THEN array_to_string(string_split({SQL['host']}, '.')[-3:], '.') "
     f"ELSE array_to_string(string_split({SQL['host']}, '.')[-2:], '.') END"
 )
 SQL["kept"] = f"list_filter(string_split({SQL['query']}, '&'), lambda p: NOT (lower(split_part(p, '=', 1)) IN ({', '.join(repr(x) for x in TRACKING_KEYS)}) OR lower(p) LIKE 'utm\\_%' ESCAPE '\\' OR p = ''))"

@@ -29,7 +29,7 @@ def box_clusters(elements: DataFrame) -> DataFrame:
         (F.col("ox") <= F.col("x") + F.col("w") + SIDE) & (F.col("ox") + F.col("ow") >= F.col("x") - SIDE) & (F.col("oy") <= bottom) & (F.col("oy") + F.col("oh") >= top)
         & (F.col("_stripe") == F.greatest("_from", "_ofrom"))
     )
-    own = F.when(F.col("ohref").isNull(), F.col("oy") + F.col("oh") > F.col("y")).otherwise(F.col("ohref") == F.col("href"))
+    own = F.when(F.col("ohref").isNull(), F.col("oy") + F.col("oh") >= F.col("y")).otherwise(F.col("ohref") == F.col("href"))
     return anchors.join(others, ["page", "_stripe"]).where(touch & own).select("page", "id", "other")
 
 

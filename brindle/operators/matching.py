@@ -23,7 +23,7 @@ def match_score(title: Column, same_brand: Column, same_identifier: Column, in_b
 
 
 def match_label(score: Column) -> Column:
-    return F.when(score >= 0.7, "match").when(score >= 0.45, "possible").otherwise("none")
+    return F.when(score >= 0.85, "high").when(score >= 0.6, "medium").when(score >= 0.4, "low").otherwise("uncertain")
 
 
 def scored_pairs(source: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
@@ -65,3 +65,35 @@ def filled(rows: DataFrame, by_id: DataFrame, by_title: DataFrame, id_column: st
     for f in fields:
         out = out.withColumn(f, F.coalesce(f, f"_i_{f}", f"_t_{f}")).drop(f"_i_{f}", f"_t_{f}")
     return out
+
+
+def brand_key(brand: Column, aliases: dict[str, str]) -> Column:
+    """A brand's letters and digits in lower case, under its main name."""
+    key = F.trim(F.regexp_replace(F.lower(brand), "[^a-z0-9]+", " "))
+    for alias, name in aliases.items():
+        key = F.when(key == alias, name).otherwise(key)
+    return key
+
+
+def search_queries(brand: Column, title: Column, identifier: Column, brand_domain: Column, source_domain: Column) -> Column:
+    """At most five search texts of a product, the most telling first; the source's own site is left out of each."""
+    some = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    out = F.when(some(source_domain), F.concat(F.lit("-site:"), source_domain))
+    ways = [
+        (some(brand) & some(title) & some(brand_domain), [quoted(brand), quoted(title), F.concat(F.lit("site:"), brand_domain)]), (some(brand) & some(title) & some(identifier), [quoted(brand), quoted(title), quoted(identifier)]),
+        (some(brand) & some(title), [quoted(brand), quoted(title), F.lit("buy")]), (some(title) & some(identifier), [quoted(title), quoted(identifier)]), (some(title), [quoted(title), F.lit("buy")]),
+    ]
+    return F.array_distinct(F.array_compact(F.array(*(F.when(when, F.concat_ws(" ", *parts, out)) for when, parts in ways))))
+
+
+def exact_category(products: DataFrame, taxonomy: DataFrame, key: str) -> DataFrame:
+    """(key, category, score) of products (key, value): the category (category, leaf) whose path is the value, scored 1, else the only one
+    whose leaf it is, scored 0.92. Two equi-joins; case and blanks don't count."""
+    from brindle.functions.text import collapsed
+
+    own = products.select(key, collapsed(F.lower("value")).alias("_value"))
+    paths = taxonomy.groupBy(collapsed(F.lower("category")).alias("_value")).agg(F.min("category").alias("_path"))
+    leaves = taxonomy.groupBy(collapsed(F.lower("leaf")).alias("_value")).agg(F.min("category").alias("_leaf"), F.count("*").alias("_n")).where("_n = 1").drop("_n")
+    found = own.join(paths, "_value", "left").join(leaves, "_value", "left").where("_path IS NOT NULL OR _leaf IS NOT NULL")
+    return found.select(key, F.coalesce("_path", "_leaf").alias("category"), F.when(F.col("_path").isNotNull(), 1.0).otherwise(0.92).alias("score"))

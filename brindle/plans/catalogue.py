@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brindle.plans import documents, products, runs, web
+from brindle.plans import documents, products, runs, values, web
 from brindle.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "documents", "products", "runs", "web"]
+__all__ = ["ORACLE_SQL", "QUERIES", "documents", "products", "runs", "values", "web"]

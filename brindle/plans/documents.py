@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.functions import urls
+from brindle.functions import prices, urls
 from brindle.operators import links
 from brindle.plans.registry import query, table
 from brindle.sources import structured
@@ -75,7 +75,7 @@ _BOX = "SELECT p_brand AS page, p_partkey AS id, (p_partkey % 7) * 150 AS x, (p_
 
 
 @query("visual_clusters", f"""WITH e AS ({_BOX}) SELECT a.page, a.id, count(*) AS n, min(o.id) AS first FROM e a JOIN e o ON a.page = o.page AND a.href IS NOT NULL AND o.x <= a.x + a.w + 80 AND o.x + o.w >= a.x - 80 AND o.y <= a.y + a.h + 180 AND o.y + o.h >= a.y - 80
- AND CASE WHEN o.href IS NULL THEN o.y + o.h > a.y ELSE o.href = a.href END GROUP BY a.page, a.id""")
+ AND CASE WHEN o.href IS NULL THEN o.y + o.h >= a.y ELSE o.href = a.href END GROUP BY a.page, a.id""")
 def visual_clusters(spark, sf_dir) -> DataFrame:
     key = F.col("p_partkey")
     boxes = table(spark, sf_dir, "part").select(
@@ -164,8 +164,10 @@ def stale_runs(spark, sf_dir) -> DataFrame:
     return rows.where(((key % 5 == 0) & (key % 2 == 0)) | F.col("seen").isNull() | old)
 
 
-@query("barcodes_checked", """SELECT p_partkey, CASE WHEN length(d) IN (8, 12, 13, 14) THEN d END AS barcode FROM (SELECT p_partkey, lpad(CAST(p_partkey AS VARCHAR), CAST(6 + p_partkey % 9 AS INTEGER), '0') AS d FROM part)""")
+@query("barcodes_checked", """SELECT p_partkey, CASE WHEN p_partkey % 4 <> 0 AND length(d) IN (8, 12, 13, 14) THEN d END AS barcode FROM (SELECT p_partkey, lpad(CAST(p_partkey AS VARCHAR), CAST(6 + p_partkey % 9 AS INTEGER), '0') AS d FROM part)""")
 def barcodes_checked(spark, sf_dir) -> DataFrame:
-    raw = F.concat(F.lit("EAN-"), F.lpad(F.col("p_partkey").cast("string"), F.lit(6) + (F.col("p_partkey") % 9).cast("int"), F.lit("0")))
-    digits = F.regexp_replace(raw, "[^0-9]", "")
-    return table(spark, sf_dir, "part").select("p_partkey", F.when(F.length(digits).isin(8, 12, 13, 14), digits).alias("barcode"))
+    """Codes with blanks and hyphens count, those with letters don't."""
+    key = F.col("p_partkey")
+    digits = F.lpad(key.cast("string"), F.lit(6) + (key % 9).cast("int"), F.lit("0"))
+    raw = F.when(key % 4 == 0, F.concat(F.lit("EAN-"), digits)).when(key % 4 == 1, F.concat(F.left(digits, F.lit(3)), F.lit(" - "), F.substring(digits, 4, 99))).otherwise(digits)
+    return table(spark, sf_dir, "part").select("p_partkey", prices.barcode(raw).alias("barcode"))

@@ -64,17 +64,17 @@ def backfill_left_lookup(spark, sf_dir) -> DataFrame:
 
 
 _PAIR = f"""SELECT s.p_brand, s.p_partkey AS s_id, c.p_partkey AS c_id, round(least(1, greatest(0, 0.34 * ({_jaccard(_tok('s.p_name'), _tok('c.p_name'))}) + 0.24 + CASE WHEN s.p_size = c.p_size THEN 0.25 ELSE 0 END + CASE WHEN s.p_retailprice > 0 AND c.p_retailprice > 0 AND abs(s.p_retailprice - c.p_retailprice) / s.p_retailprice <= 0.25 THEN 0.05 ELSE 0 END + CASE WHEN c.p_type = 'PROMO' THEN 0.12 ELSE 0.04 END)), 4) AS score
- FROM part s JOIN part c ON s.p_brand = c.p_brand AND s.p_partkey % 20 = 0 AND c.p_partkey % 20 <> 0"""
+ FROM part s JOIN part c ON s.p_brand = c.p_brand AND s.p_partkey % 100 = 0 AND c.p_partkey <> s.p_partkey"""
 
 
-@query("match_score", f"SELECT p_brand, s_id, c_id, score, CASE WHEN score >= 0.7 THEN 'match' WHEN score >= 0.45 THEN 'possible' ELSE 'none' END AS label FROM ({_PAIR})")
+@query("match_score", f"SELECT p_brand, s_id, c_id, score, CASE WHEN score >= 0.85 THEN 'high' WHEN score >= 0.6 THEN 'medium' WHEN score >= 0.4 THEN 'low' ELSE 'uncertain' END AS label FROM ({_PAIR})")
 def match_score(spark, sf_dir) -> DataFrame:
-    """Sources (a twentieth of the parts) against the candidates of their brand."""
+    """The query set, parts whose key is divisible by 100, against all other parts of their brand."""
     part = table(spark, sf_dir, "part")
     side = lambda p: [F.col("p_partkey").alias(f"{p}_id"), F.col("p_name").alias(f"{p}_title"), F.col("p_brand").alias(f"{p}_brand"), F.col("p_size").cast("string").alias(f"{p}_sku"), F.col("p_retailprice").alias(f"{p}_price")]
-    source = part.where("p_partkey % 20 = 0").select("p_brand", *side("s"))
-    candidates = part.where("p_partkey % 20 <> 0").select("p_brand", *side("c"), F.when(F.col("p_type") == "PROMO", 0.12).otherwise(0.04).alias("c_authority"))
-    return matching.scored_pairs(source, candidates, "p_brand")
+    source = part.where("p_partkey % 100 = 0").select("p_brand", *side("s"))
+    candidates = part.select("p_brand", *side("c"), F.when(F.col("p_type") == "PROMO", 0.12).otherwise(0.04).alias("c_authority"))
+    return matching.scored_pairs(source, candidates, "p_brand").where("s_id <> c_id")
 
 
 _TAX = "SELECT DISTINCT lower(p_type) || ' ' || split_part(p_name, ' ', 2) AS category FROM part"

@@ -12,13 +12,13 @@ def one(spark, column, value):
 
 @pytest.mark.parametrize(
     ("raw", "price"),
-    [("126", None), ("$126", "126"), ("INR 499", "499"), ("price 126", "126"), ("59.99", "59.99"), ("62,99 €", "62.99"), ("€17.000", "17000"), ("-5.00", None), ("- $5", None), ("", None), (None, None), ("1.234,56 €", "1234.56"), ("1,234.56", "1234.56"), ("1.234.567", "1234567"), ("no price", None)],
+    [("84", None), ("£84", "84"), ("Rs. 310", "310"), ("Rs 310", "310"), ("SEK 7", "7"), ("only 4", None), ("19.75", "19.75"), ("31,40 kr", "31.40"), ("8,125", "8125"), ("€23.000", "23000"), ("2.345,60 €", "2345.60"), ("2,345.60", "2345.60"), ("4.567.890", "4567890"), ("3,2,1 $", "32.1"), ("1.22.3", None), ("-USD900.25", None), ("- £3", None), ("", None), (None, None), ("ask", None)],
 )
 def test_decimal_price(spark, raw, price):
     assert one(spark, prices.decimal_price, raw) == price
 
 
-@pytest.mark.parametrize(("raw", "state"), [("https://schema.org/InStock", "in_stock"), ("Unavailable", "out_of_stock"), ("available", "in_stock"), ("yes", "in_stock"), ("pre-order", "preorder"), ("soon", "soon"), (None, None)])
+@pytest.mark.parametrize(("raw", "state"), [("http://schema.org/OutOfStock/", "out_of_stock"), ("schema.org/PreOrder", "pre_order"), ("only 2 left in stock", "limited_stock"), ("Low Stock", "limited_stock"), ("oos", "out_of_stock"), ("ready to ship now", "in_stock"), ("Unavailable today", "out_of_stock"), ("no", "out_of_stock"), ("back-order", "preorder"), ("next week", "next week"), (None, None)])
 def test_availability(spark, raw, state):
     assert one(spark, prices.availability, raw) == state
 
@@ -31,7 +31,7 @@ def test_normalize_domain(spark, url, domain):
     assert one(spark, urls.normalize_domain, url) == domain
 
 
-@pytest.mark.parametrize(("url", "host"), [("http://a.b.example.com/", "example.com"), ("http://shop.foo.co.uk/", "foo.co.uk"), ("http://10.0.0.1/", "10.0.0.1"), ("http://example.com", "example.com")])
+@pytest.mark.parametrize(("url", "host"), [("http://a.b.example.com/", "example.com"), ("http://shop.foo.co.uk/", "foo.co.uk"), ("http://10.0.0.1/", "10.0.0.1"), ("https://a.b.com.cn/x", "b.com.cn"), ("https://y.x.co.kr", "x.co.kr"), ("https://tax.service.gov.uk", "service.gov.uk"), ("http://example.com", "example.com")])
 def test_registrable_host(spark, url, host):
     assert one(spark, urls.registrable_host, url) == host
 
@@ -41,6 +41,15 @@ def test_strip_tracking(spark):
     assert one(spark, urls.strip_tracking, "http://a.example/x?ref=z") == "http://a.example/x"
 
 
+def test_glued_addresses(spark):
+    given = {"https://a.example/xhttps://b.example": True, "https://a.example/?u=https://b.example": True, "https://a.example, https://b.example": False, "https://a.example": False, "": False}
+    assert {u: one(spark, urls.is_concatenated, u) for u in given} == given
+
+
+def test_term_is_no_pattern(spark):
+    assert [one(spark, lambda c: text.term_present(c, "c++ (new)"), x) for x in ("learn C++  (new) today", "cc (new)")] == [True, False]
+
+
 def test_field_key(spark):
     assert [one(spark, text.field_key, x) for x in ("OriginalPrice", "image URL", "a & b", "ABCDef")] == ["original_price", "image_url", "a_b", "abc_def"]
 
