@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import partitions, ranked, table, text_or_empty, written
 
-#: Groups over 1 / (SHARE * shards) of all bytes are placed first; so there are at most SHARE * shards of them.
+#: Groups over 1 / (SHARE * shards) of all bytes are placed as they are; so there are at most SHARE * shards of them.
 SHARE = 8
-#: Groups differenced at once within a task.
+#: Groups differenced at once within a task; what a step leaves is differenced with the next step's.
 CHUNK = 10_000
+#: Parts of each kind a task makes of its groups, for each shard; parts of all tasks, at most, unless there are more tasks.
+PARTS, ALL_PARTS = 4, 50_000
+#: How much of a task's bytes, from its largest groups on, goes to large parts, and to large and middle ones; the rest goes to small ones.
+SCALES = (0.75, 0.95, 1.0)
 
 
 def differencing(partials: Iterable[tuple[list[int], list]], k: int) -> tuple[list[int], list]:
@@ -59,64 +63,45 @@ def single(weight: int, leaf, k: int) -> tuple[list[int], list]:
     return [weight] + [0] * (k - 1), [leaf] + [None] * (k - 1)
 
 
-def water_level(heavy: list[int], light: int) -> list[int]:
-    """How many of ``light`` bytes each shard should take so that heavy + light is as level as it can be."""
-    order, fill, left = sorted(range(len(heavy)), key=lambda j: heavy[j]), [0] * len(heavy), light
-    level, n = heavy[order[0]], 0
-    while n < len(order):
-        n += 1
-        nxt = heavy[order[n]] if n < len(order) else None
-        room = None if nxt is None else (nxt - level) * n
-        if room is None or room >= left:
-            level += left // n
-            break
-        left -= room
-        level = nxt
-    for j in order[:n]:
-        fill[j] = max(0, level - heavy[j])
-    return fill
-
-
-def _deal(fill: list[int], light: int, k: int):
-    """Arrow mapper: groups (key, w) of a task to bins 0..k-1, so that the bins' sums go with ``fill``."""
-
-    class Label(int):
-        pass
+def _deal(parts: int):
+    """Arrow mapper: groups (key, w) of a task to ``parts`` bins of near-equal sums for each of ``SCALES``.
 
-    top = max(fill)
-    uneven = top - min(fill) > k
+    The small parts hold the smallest groups: they level what the large ones leave.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid = TaskContext.get().partitionId()
-        held: list[tuple[list, list[int], list[int]]] = []
-        sums: list[list[int]] = []
+        held: list[tuple[int, list, list[int], list[int]]] = []
+        sums: list[list[list[int]]] = [[] for _ in SCALES]
         for batch in batches:
-            keys, w = batch.column("key").to_pylist(), batch.column("w").to_pylist()
-            for at in range(0, len(keys), CHUNK):
-                ks, ws = keys[at : at + CHUNK], w[at : at + CHUNK]
-                f = sum(ws) / light if light else 0
-                seed = [int((top - x) * f) for x in fill] if uneven else [0] * k
-                _, found = differencing([(seed, [Label(j) for j in range(k)]), *(single(x, [i], k) for i, x in enumerate(ws))], k)
-                bins, own = [0] * len(ks), [0] * k
-                for content in found:
-                    members = list(leaves(content))
-                    label = next(int(x) for x in members if isinstance(x, Label))
-                    for x in members:
-                        if isinstance(x, list):
-                            bins[x[0]] = label
-                            own[label] += ws[x[0]]
-                held.append((ks, bins, ws))
-                sums.append(own)
-        # the chunks of this task are combined by differencing too; labelled bins stay where they are
-        place = [list(range(k)) for _ in sums]
-        if not uneven and len(sums) > 1:
-            _, found = differencing([(s, [[(c, j)] for j in range(k)]) for c, s in enumerate(sums)], k)
+            rows = list(zip(batch.column("w").to_pylist(), batch.column("key").to_pylist()))
+            for at in range(0, len(rows), CHUNK):
+                own = sorted(rows[at : at + CHUNK], reverse=True)
+                total, before, kinds = sum(w for w, _ in own), 0, [[] for _ in SCALES]
+                for w, key in own:
+                    kinds[next(i for i, share in enumerate(SCALES) if before < share * total or share == 1.0)].append((w, key))
+                    before += w
+                for kind, some in enumerate(kinds):
+                    part_sums, found = differencing((single(w, [i], parts) for i, (w, _) in enumerate(some)), parts)
+                    bins = [0] * len(some)
+                    for j, content in enumerate(found):
+                        for (i,) in leaves(content):
+                            bins[i] = j
+                    held.append((kind, [key for _, key in some], bins, [w for w, _ in some]))
+                    sums[kind].append(part_sums)
+        # the bins of all chunks are differenced in turn
+        place = []
+        for own in sums:
+            to_bin = [[0] * parts for _ in own]
+            _, found = differencing([(s, [[(c, j)] for j in range(parts)]) for c, s in enumerate(own)], parts)
             for to, content in enumerate(found):
                 for ((c, j),) in leaves(content):
-                    place[c][j] = to
-        for c, (ks, bins, ws) in enumerate(held):
+                    to_bin[c][j] = to
+            place.append(iter(to_bin))
+        for kind, ks, bins, ws in held:
+            to_bin = next(place[kind])
             yield pa.RecordBatch.from_pydict(
-                {"key": pa.array(ks, pa.string()), "pid": pa.array([pid] * len(ks), pa.int32()), "bin": pa.array([place[c][b] for b in bins], pa.int32()), "w": pa.array(ws, pa.int64())}
+                {"key": pa.array(ks, pa.string()), "pid": pa.array([pid] * len(ks), pa.int32()), "bin": pa.array([kind * parts + to_bin[b] for b in bins], pa.int32()), "w": pa.array(ws, pa.int64())}
             )
 
     return run
@@ -125,36 +110,24 @@ def _deal(fill: list[int], light: int, k: int):
 def shard_groups(groups: DataFrame, shards: int) -> DataFrame:
     """(key string, w long) to (key, shard): each key whole in one shard, sums of w as equal as it can be.
 
-    Every task differences its own groups to one k-part partial partition; the driver sees only k
-    sums a task and the at most ``SHARE * shards`` groups too heavy to balance within a task. ``groups``
-    should be a written table with unique keys. No groups give no rows.
+    Every task differences its own groups to parts; the driver differences the sums of all parts and the at most
+    ``SHARE * shards`` heavy groups to shards, whatever their sizes. It sees ``ALL_PARTS`` sums at most, or one a task if
+    there are more tasks. ``groups`` should be a written table with unique keys. No groups give no rows.
     """
     spark = groups.sparkSession
     total = groups.agg(F.sum("w")).first()[0] or 0
     limit = max(1, total // (SHARE * shards))
     heavy = [(r["key"], r["w"]) for r in groups.where(F.col("w") > limit).collect()]
-    heavy_sums, found = differencing((single(w, [key], shards) for key, w in heavy), shards)
-    placed = [(key, j) for j, content in enumerate(found) for (key,) in leaves(content)]
-    light = total - sum(w for _, w in heavy)
-    fill = water_level(heavy_sums, light)
-    dealt = written(
-        groups.where(F.col("w") <= limit).select("key", "w").repartition(partitions(spark), "key").mapInArrow(_deal(fill, light, shards), "key string, pid int, bin int, w long"), "shards"
-    )
-    # one row a task and bin; the last differencing runs over them
-    sums: dict[int, list[int]] = {}
-    for r in dealt.groupBy("pid", "bin").agg(F.sum("w").alias("w")).collect():
-        sums.setdefault(r["pid"], [0] * shards)[r["bin"]] = r["w"]
-    place = [(pid, j, j) for pid in sums for j in range(shards)]
-    if max(fill) - min(fill) <= shards:
-        _, found = differencing([(heavy_sums, [[(-1, j)] for j in range(shards)]), *((s, [[(pid, j)] for j in range(shards)]) for pid, s in sorted(sums.items()))], shards)
-        place = []
-        for content in found:
-            members = [x[0] for x in leaves(content)]
-            shard = next(j for pid, j in members if pid == -1)
-            place += [(pid, j, shard) for pid, j in members if pid >= 0]
-    where = spark.createDataFrame(place, "pid int, bin int, shard int")
+    tasks = partitions(spark)
+    parts = max(1, min(PARTS * shards, ALL_PARTS // (len(SCALES) * tasks)))
+    dealt = groups.where(F.col("w") <= limit).select("key", "w").repartition(tasks, "key").mapInArrow(_deal(parts), "key string, pid int, bin int, w long")
+    dealt = written(dealt, "shards")
+    sums = [(r["w"], (r["pid"], r["bin"])) for r in dealt.groupBy("pid", "bin").agg(F.sum("w").alias("w")).orderBy("pid", "bin").collect()]
+    _, found = differencing((single(w, [what], shards) for w, what in [*((w, (-1, key)) for key, w in sorted(heavy)), *sums]), shards)
+    placed = [(pid, what, shard) for shard, content in enumerate(found) for ((pid, what),) in leaves(content)]
+    where = spark.createDataFrame([x for x in placed if x[0] >= 0], "pid int, bin int, shard int")
     own = dealt.join(F.broadcast(where), ["pid", "bin"]).select("key", "shard")
-    return own.unionByName(spark.createDataFrame(placed, "key string, shard int"))
+    return own.unionByName(spark.createDataFrame([(key, shard) for pid, key, shard in placed if pid < 0], "key string, shard int"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
