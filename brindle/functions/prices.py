@@ -100,3 +100,12 @@ def sku(value: Column) -> Column:
     text = F.trim(value)
     tracking = (F.length(text) > 20) & text.rlike("^[A-Za-z0-9]+$") & text.rlike("[A-Za-z]") & text.rlike("[0-9]")
     return F.when((text != "") & ~text.rlike(r"^[{\[]") & ~tracking, text)
+
+
+def salary_text(value: Column) -> Column:
+    """A JSON salary as "currency least - most unit", with what of it there is; null without an amount."""
+    at = lambda path: F.nullif(F.trim(F.get_json_object(value, path)), F.lit(""))
+    currency = F.coalesce(at("$.currency"), at("$.salaryCurrency"), at("$.currencyCode"))
+    numbers = F.coalesce(F.nullif(F.concat_ws(" - ", at("$.value.minValue"), at("$.value.maxValue")), F.lit("")), at("$.value.value"))
+    plain = F.when(~at("$.value").startswith("{"), at("$.value"))
+    return F.when(numbers.isNotNull(), F.concat_ws(" ", currency, numbers, at("$.value.unitText"))).when(plain.isNotNull(), F.concat_ws(" ", currency, plain))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # Words without meaning of their own in keywords.
 STOPWORDS = ["and", "for", "from", "the", "with"]
+#: Words of a brand, at most.
+BRAND_WORDS = 6
 # Phrases of titles that lead to a shop's service pages.
 UTILITY_TITLES = ["about us", "cart", "checkout", "contact us", "customer service", "gift card", "help", "log in", "login", "my account", "privacy policy", "returns", "shipping", "sign in", "size guide", "store locator", "terms", "wishlist"]
 
@@ -60,3 +62,11 @@ def utility_title(title: Column) -> Column:
     for phrase in UTILITY_TITLES:
         found = found | term_present(title, phrase)
     return F.coalesce(found, F.lit(False))
+
+
+def marked_brand(title: Column) -> Column:
+    """What stands before the first trade mark sign, with it, or the word after a sign that begins the title; null of more
+    than ``BRAND_WORDS`` words or without a sign."""
+    text = collapsed(title)
+    brand = F.when(text.rlike("^[™®]"), F.regexp_extract(text, r"^[™®]\s*[^ ]+", 0)).otherwise(F.trim(F.regexp_extract(text, "^[^™®]*[™®]", 0)))
+    return F.when((brand != "") & (F.size(tokens(brand, 1)) <= BRAND_WORDS), brand)

@@ -114,11 +114,12 @@ def ops_duration_metrics(spark, sf_dir) -> DataFrame:
 @query("export_fill_rate", """SELECT field, count(*) AS n, count(v) AS filled, round(count(v) / count(*), 4) AS fill_rate, round(count(v) / count(*), 4) >= 0.8 AS passes FROM (
  SELECT unnest(['quality', 'toxic', 'lang', 'text']) AS field, unnest([CAST(quality AS VARCHAR), CAST(toxic AS VARCHAR), nullif(lang, ''), nullif(text, '')]) AS v FROM documents LEFT JOIN labels USING (doc_id)) GROUP BY field""")
 def export_fill_rate(spark, sf_dir) -> DataFrame:
-    """Share of filled values per field, in one row of counters; unpivoted after the sum, not before."""
-    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    fields = {"quality": F.col("quality"), "toxic": F.col("toxic"), "lang": F.nullif("lang", F.lit("")), "text": F.nullif("text", F.lit(""))}
-    sums = rows.agg(F.count("*").alias("n"), *(F.count(c).alias(k) for k, c in fields.items()))
-    out = sums.unpivot("n", list(fields), "field", "filled").withColumn("fill_rate", F.round(F.col("filled") / F.col("n"), 4))
+    """Share of filled values per field, in one row of counters; only ids and flags are joined, never values."""
+    filled = lambda c: (F.coalesce(F.col(c).cast("string"), F.lit("")) != "").alias(c)
+    rows = table(spark, sf_dir, "documents").select("doc_id", filled("lang"), filled("text")).join(table(spark, sf_dir, "labels").select("doc_id", filled("quality"), filled("toxic")), "doc_id", "left")
+    fields = ["quality", "toxic", "lang", "text"]
+    sums = rows.agg(F.count("*").alias("n"), *(F.count_if(f).alias(f) for f in fields))
+    out = sums.unpivot("n", fields, "field", "filled").withColumn("fill_rate", F.round(F.col("filled") / F.col("n"), 4))
     return out.select("field", "n", "filled", "fill_rate", (F.col("fill_rate") >= 0.8).alias("passes"))
 
 
