@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from brindle.functions.text import jaccard, tokens
 
@@ -26,18 +30,30 @@ def match_label(score: Column) -> Column:
     return F.when(score >= 0.85, "high").when(score >= 0.6, "medium").when(score >= 0.4, "low").otherwise("uncertain")
 
 
-def scored_pairs(source: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
+@F.pandas_udf(DoubleType())
+def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Share of two texts in matching blocks, on Arrow batches; no built-in function has it."""
+    return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)])
+
+
+def scored_pairs(source: DataFrame, candidates: DataFrame, key: str, sequence: bool = False) -> DataFrame:
     """Scores each candidate of a source, joined on ``key``: (key, source id, candidate id, score, label).
 
-    ``source`` has (key, s_id, s_title, s_brand, s_sku, s_price), ``candidates`` the same with c_ and c_authority.
-    Titles are cut to tokens once a row, before the join, not once a pair.
+    ``source`` has (key, s_id, s_title, s_brand, s_sku, s_price) and perhaps s_gtin and s_mpn, ``candidates`` the same with c_ and c_authority.
+    Titles are cut to tokens once a row, before the join, not once a pair. With ``sequence``, titles are as similar
+    as the better of their shared tokens and the matching blocks of their sorted tokens says.
     """
-    distinct = lambda title: F.array_distinct(tokens(F.col(title)))
+    distinct = lambda title: F.array_sort(F.array_distinct(tokens(F.col(title))))
     pairs = source.withColumn("_s_tokens", distinct("s_title")).join(candidates.withColumn("_c_tokens", distinct("c_title")), key)
-    score = match_score(
-        jaccard(F.col("_s_tokens"), F.col("_c_tokens")), F.lower(F.trim("s_brand")) == F.lower(F.trim("c_brand")), F.lower(F.trim("s_sku")) == F.lower(F.trim("c_sku")),
-        within_band(F.col("s_price"), F.col("c_price")), F.col("c_authority"),
-    )
+    same = lambda c: F.coalesce((F.lower(F.trim(f"s_{c}")) == F.lower(F.trim(f"c_{c}"))) & (F.trim(f"s_{c}") != ""), F.lit(False))
+    identifier = F.lit(False)
+    for c in ("gtin", "mpn", "sku"):
+        if f"s_{c}" in source.columns and f"c_{c}" in candidates.columns:
+            identifier = identifier | same(c)
+    title = jaccard(F.col("_s_tokens"), F.col("_c_tokens"))
+    if sequence:
+        title = F.greatest(title, sequence_ratio(F.array_join("_s_tokens", " "), F.array_join("_c_tokens", " ")))
+    score = match_score(title, same("brand"), identifier, within_band(F.col("s_price"), F.col("c_price")), F.col("c_authority"))
     return pairs.withColumn("score", score).select(key, "s_id", "c_id", "score", match_label(F.col("score")).alias("label"))
 
 

@@ -69,12 +69,23 @@ _PAIR = f"""SELECT s.p_brand, s.p_partkey AS s_id, c.p_partkey AS c_id, round(le
 
 @query("match_score", f"SELECT p_brand, s_id, c_id, score, CASE WHEN score >= 0.85 THEN 'high' WHEN score >= 0.6 THEN 'medium' WHEN score >= 0.4 THEN 'low' ELSE 'uncertain' END AS label FROM ({_PAIR})")
 def match_score(spark, sf_dir) -> DataFrame:
-    """The query set, parts whose key is divisible by 100, against all other parts of their brand."""
+    """The query set, parts whose key is divisible by 100, against all other parts of their brand; titles by shared tokens."""
+    return _matched(spark, sf_dir, False)
+
+
+@query("match_score_whole")
+def match_score_whole(spark, sf_dir) -> DataFrame:
+    """As match_score, with the whole rule for titles and identifiers; tested against brute force, for SQL has no matching blocks."""
+    return _matched(spark, sf_dir, True)
+
+
+def _matched(spark, sf_dir, whole: bool) -> DataFrame:
     part = table(spark, sf_dir, "part")
     side = lambda p: [F.col("p_partkey").alias(f"{p}_id"), F.col("p_name").alias(f"{p}_title"), F.col("p_brand").alias(f"{p}_brand"), F.col("p_size").cast("string").alias(f"{p}_sku"), F.col("p_retailprice").alias(f"{p}_price")]
-    source = part.where("p_partkey % 100 = 0").select("p_brand", *side("s"))
-    candidates = part.select("p_brand", *side("c"), F.when(F.col("p_type") == "PROMO", 0.12).otherwise(0.04).alias("c_authority"))
-    return matching.scored_pairs(source, candidates, "p_brand").where("s_id <> c_id")
+    more = lambda p: [F.when(F.col("p_partkey") % 3 == 0, F.col("p_type")).alias(f"{p}_gtin"), F.lit(" ").alias(f"{p}_mpn")] if whole else []
+    source = part.where("p_partkey % 100 = 0").select("p_brand", *side("s"), *more("s"))
+    candidates = part.select("p_brand", *side("c"), *more("c"), F.when(F.col("p_type") == "PROMO", 0.12).otherwise(0.04).alias("c_authority"))
+    return matching.scored_pairs(source, candidates, "p_brand", whole).where("s_id <> c_id")
 
 
 _TAX = "SELECT DISTINCT lower(p_type) || ' ' || split_part(p_name, ' ', 2) AS category FROM part"

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +114,22 @@ def test_json_sitemap_csv_tables(spark):
     assert [r["url"] for r in pages.csv_urls(lines).orderBy("line").collect()] == ["http://a.example", "https://b.example"]
     traced = spark.createDataFrame([(1, [(["a", ""], [["1", "2"], ["", "4"]])])], "record_id int, tables array<struct<headers:array<string>,rows:array<array<string>>>>")
     assert [(r["row_index"], r["column"], r["value"]) for r in pages.table_rows(traced).collect()] == [(1, "a", "1"), (1, "column_2", "2"), (2, "column_2", "4")]
+
+
+def test_whole_match_rule(spark):
+    from difflib import SequenceMatcher
+
+    from brindle.plans import catalogue
+
+    part = {r["p_partkey"]: r for r in spark.read.parquet("/root/testdata/sf0.001/part.parquet").collect()}
+    got = catalogue.QUERIES["match_score_whole"](spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == sum(r["p_brand"] == s["p_brand"] and r is not s for k, s in part.items() if k % 100 == 0 for r in part.values())
+    for r in got:
+        s, c = part[r["s_id"]], part[r["c_id"]]
+        a, b = ({t for t in re.split("[^a-z0-9]+", x["p_name"].lower()) if len(t) > 1} for x in (s, c))
+        title = max(len(a & b) / len(a | b), SequenceMatcher(None, " ".join(sorted(a)), " ".join(sorted(b))).ratio())
+        same = s["p_size"] == c["p_size"] or r["s_id"] % 3 == r["c_id"] % 3 == 0 and s["p_type"] == c["p_type"]
+        near = abs(s["p_retailprice"] - c["p_retailprice"]) / s["p_retailprice"] <= 0.25
+        score = 0.34 * title + 0.24 + 0.25 * same + 0.05 * near + (0.12 if c["p_type"] == "PROMO" else 0.04)
+        assert r["score"] == pytest.approx(score, abs=1e-4)
+        assert r["label"] == ("high" if r["score"] >= 0.85 else "medium" if r["score"] >= 0.6 else "low" if r["score"] >= 0.4 else "uncertain")
