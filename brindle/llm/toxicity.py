@@ -1,8 +1,7 @@
-"""Toxicity by nearest labelled examples: TF-IDF cosine over chosen terms, by a block-max inverted index, weighted votes."""
+"""Toxicity by nearest labelled examples: TF-IDF cosine over all their words, by a block-max inverted index, weighted votes."""
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 from collections import Counter
@@ -10,38 +9,45 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import table
+from brindle.llm.common import claim, table
 
 #: Labelled rows of each class the classifier is fitted on, at most.
-SAMPLE = 6_000
-#: Terms of the examples' vectors, at most: those whose share in the two classes differs most.
-TERMS = 2_000
-#: How much likelier a term is in a toxic example than in another, at least.
-LIFT, CHI = 4, 20
-NEIGHBOURS, POWER = 15, 8
-#: How much more a vote of the rarer class can weigh.
-BALANCE = 8.0
+SAMPLE = 2_000
+#: Standard deviations by which a word must be oftener in toxic examples than chance has it before it weighs more than others, the weight
+#: that each further one adds, and that of all other words. No word has the weight 0.
+CHANCE, STEP, FLOOR = 3.0, 0.1, 0.02
+NEIGHBOURS = 15
+#: What the prior counts beside votes that weigh as their similarity.
+PRIOR_VOTE = 0.01
 #: Examples in a block of the index.
-BLOCK = 64
+BLOCK = 32
 #: Blocks scored before any is ruled out.
-FIRST = 8
+FIRST = 4
 THRESHOLD = 0.7
+#: Words whose numbers a worker keeps.
+WORDS = 150_000
 
 _TERM = re.compile(r"\w+")
-#: Letters of the longest beginning of a word that is a term, since languages inflect; words whose terms a worker keeps.
-LONGEST, WORDS = 8, 100_000
 
 
-def terms_of(word: str) -> list[str]:
-    """The terms of a run of characters without white space, in lower case: its words, ended by $, and how they begin."""
-    return [t for w in _TERM.findall(word) for t in (f"{w}$", *(w[:n] for n in range(3, min(len(w), LONGEST) + 1)))]
+def word_counts(text: str | None) -> Counter[str]:
+    """How often each word, in lower case, stands in the whole text; a null text has none."""
+    return Counter(_TERM.findall((text or "").lower()))
 
 
-def all_terms(text: str | None) -> list[str]:
-    return [t for w in (text or "").lower().split() for t in terms_of(w)]
+def word_hash(word: str) -> int:
+    """The 63 bits a word is known by."""
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) >> 1
+
+
+def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of all given spans, one span after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
 
 
 class BlockMaxIndex:
@@ -53,104 +59,109 @@ class BlockMaxIndex:
 
     def __init__(self, vectors: list[dict[int, float]]):
         self.size = len(vectors)
-        held: dict[int, list[tuple[int, float]]] = {}
-        for i, vector in enumerate(vectors):
-            for term, weight in vector.items():
-                held.setdefault(term, []).append((i, weight))
-        self.postings = {}
-        for term, rows in held.items():
-            ids, weights = np.asarray([r[0] for r in rows]), np.asarray([r[1] for r in rows])
-            blocks, starts = np.unique(ids // BLOCK, return_index=True)
-            self.postings[term] = ids, weights, ids // BLOCK, blocks, np.maximum.reduceat(weights, starts)
+        lengths = [len(v) for v in vectors]
+        term = np.fromiter((t for v in vectors for t in v), dtype=np.int64, count=sum(lengths))
+        weight = np.fromiter((w for v in vectors for w in v.values()), dtype=np.float64, count=sum(lengths))
+        example = np.repeat(np.arange(self.size), lengths)
+        order = np.lexsort((example, term))
+        term, self.weight, self.example = term[order], weight[order], example[order].astype(np.int32)
+        block = self.example // BLOCK
+        new = np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])) if len(term) else np.zeros(0, dtype=bool)
+        at = np.flatnonzero(new)
+        #: Of each run of postings with one term and block: its block, largest weight, start and length.
+        self.run_block, self.run_most = block[at], np.maximum.reduceat(self.weight, at) if len(at) else self.weight
+        self.run_start, self.run_length = at, np.diff(np.append(at, len(term)))
+        self.run_of_term = np.searchsorted(term[at], np.arange(term[-1] + 2 if len(term) else 1))
 
     def nearest(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
         """The k most similar examples with a similarity above 0, as (similarity, example), best first."""
-        own = [(w, *self.postings[t]) for t, w in sorted(query.items()) if t in self.postings]
-        if not own:
+        terms = np.fromiter(query, dtype=np.int64, count=len(query))
+        return self.nearest_of(terms, np.fromiter(query.values(), dtype=np.float64, count=len(query)), k)
+
+    def nearest_of(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """As ``nearest``, of a query as arrays of its terms and their weights."""
+        known = (terms >= 0) & (terms < len(self.run_of_term) - 1)
+        terms, weights = terms[known], weights[known]
+        first = self.run_of_term[terms]
+        count = self.run_of_term[terms + 1] - first
+        runs, weight = _spans(first, count), np.repeat(weights, count)
+        if not len(runs):
             return []
-        bounds, scores = np.zeros(-(-self.size // BLOCK)), np.zeros(self.size)
-        for w, _, _, _, blocks, most in own:
-            bounds[blocks] += w * most
-        scored = np.zeros(len(bounds), dtype=bool)
-        scored[np.argsort(-bounds, kind="stable")[:FIRST]] = True
+        blocks = self.run_block[runs]
+        bounds = np.bincount(blocks, weights=self.run_most[runs] * weight, minlength=-(-self.size // BLOCK))
 
-        def score(chosen: np.ndarray) -> None:
-            for w, ids, weights, block, _, _ in own:
-                take = chosen[block]
-                scores[ids[take]] += w * weights[take]
+        def score(chosen: np.ndarray) -> np.ndarray:
+            take = chosen[blocks]
+            length = self.run_length[runs[take]]
+            at = _spans(self.run_start[runs[take]], length)
+            return np.bincount(self.example[at], weights=self.weight[at] * np.repeat(weight[take], length), minlength=self.size)
 
-        score(scored)
+        scored = np.zeros(len(bounds), dtype=bool)
+        scored[np.argpartition(-bounds, FIRST)[:FIRST] if len(bounds) > FIRST else slice(None)] = True
+        scores = score(scored)
         least = np.partition(scores, -k)[-k] if self.size > k else 0.0
-        score(~scored & (bounds >= max(least - 1e-9, 1e-12)))
-        found = np.flatnonzero(scores > 0)
+        more = ~scored & (bounds >= max(least - 1e-9, 1e-12))
+        if more.any():
+            scores += score(more)
+        if self.size > k:
+            found = np.flatnonzero(scores >= max(np.partition(scores, -k)[-k], 1e-300))
+        else:
+            found = np.flatnonzero(scores > 0)
         best = found[np.lexsort((found, -scores[found]))[:k]]
-        return [(float(scores[i]), int(i)) for i in best]
+        return list(zip(scores[best].tolist(), best.tolist()))
 
 
 class Model:
-    """The index of labelled examples with the weights of terms, and the share of toxic ones among all labelled.
+    """The index of labelled examples, the weights of all their words, and the share of toxic ones among all labelled.
 
-    Words without a weighted term count together as one more term, so that one weighted term means more in a
-    short text than in a long one.
+    A word weighs its inverse document frequency times its lean: ``FLOOR``, and ``STEP`` for each standard deviation beyond
+    ``CHANCE`` by which more toxic examples hold it than chance has it. A vector holds all words that any example has; others
+    can meet none, and are left out of a query's length too.
     """
 
-    def __init__(self, idf: dict[str, float], examples: list[tuple[int, int, int, list[str]]], prior: float):
-        self.number = {t: i for i, t in enumerate(sorted(idf))}
-        self.rest = len(self.number)
-        self.idf = {self.number[t]: w for t, w in idf.items()} | {self.rest: 1.0}
-        self.prior = prior
-        self.words: dict[str, tuple[int, ...]] = {}
+    def __init__(self, vocabulary: np.ndarray, weight: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], prior: float):
+        self.vocabulary, self.weight, self.prior = vocabulary, weight, prior
+        self.words: dict[str, int] = {}
+        held = np.bincount(np.concatenate([np.zeros(0, dtype=np.int64), *(e[2] for e in examples)]), minlength=len(vocabulary))
         rows = []
-        for doc_id, label, others, terms in examples:
-            if vector := self.vector([self.number[t] for t in terms], others):
-                rows.append((max(vector, key=lambda t: (vector[t], t)), doc_id, label, vector))
-        rows.sort(key=lambda r: r[:3])  # examples with the same main term share blocks
-        self.ids, self.labels = [r[1] for r in rows], [r[2] for r in rows]
+        for doc_id, label, own, counts in examples:
+            terms, weights = self.vector(own, counts)
+            if len(terms):
+                rows.append((label, int(terms[np.argmax(weights * held[terms])]), doc_id, dict(zip(terms.tolist(), weights.tolist()))))
+        rows.sort(key=lambda r: r[:3])  # examples of one class that share their main word share blocks
+        self.ids, self.labels = [r[2] for r in rows], [r[0] for r in rows]
         self.index = BlockMaxIndex([r[3] for r in rows])
-        toxic = sum(self.labels)
-        self.balance = min(BALANCE, max(1.0, (len(rows) - toxic) / toxic)) if toxic else 1.0
-        self.plain: tuple[float, list[tuple[float, int]]] | None = None
-
-    def vector(self, terms: list[int], others: int) -> dict[int, float]:
-        """The unit vector of a text with these weighted terms and so many words without any; {} without words."""
-        counts = Counter(terms)
-        if others:
-            counts[self.rest] = others
-        raw = {t: (1 + math.log(n)) * self.idf[t] for t, n in sorted(counts.items())}
-        norm = math.sqrt(sum(w * w for w in raw.values()))
-        return {t: w / norm for t, w in raw.items()} if norm else {}
-
-    def numbers(self, text: str | None) -> tuple[list[int], int]:
-        """The numbers of all weighted terms of a text, and its words without any; those of a word are kept for its next place."""
-        out: list[int] = []
-        others = 0
-        for word in (text or "").lower().split():
-            found = self.words.get(word)
-            if found is None:
-                if len(self.words) > WORDS:
-                    self.words.clear()
-                found = self.words[word] = tuple(self.number[t] for t in terms_of(word) if t in self.number)
-            if found:
-                out.extend(found)
-            else:
-                others += 1
-        return out, others
+
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The terms, by number, and their weights in the unit vector of a text with so many of each."""
+        raw = (1 + np.log(counts)) * self.weight[terms]
+        return terms, raw / math.sqrt(float(raw @ raw)) if len(raw) else raw
+
+    def numbers(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers and counts of all words of a text that an example has."""
+        counts = word_counts(text)
+        if new := [w for w in counts if w not in self.words]:
+            if len(self.words) + len(new) > WORDS:
+                self.words.clear()
+                new = list(counts)
+            hashes = np.fromiter(map(word_hash, new), dtype=np.int64, count=len(new))
+            at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+            self.words.update(zip(new, np.where(self.vocabulary[at] == hashes, at, -1).tolist()))
+        terms = np.fromiter(map(self.words.__getitem__, counts), dtype=np.int64, count=len(counts))
+        known = terms >= 0
+        return terms[known], np.fromiter(counts.values(), dtype=np.float64, count=len(counts))[known]
 
     def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
         """A score from 0 to 1 and its evidence: (similarity, doc_id) of the nearest examples.
 
-        Votes weigh as a power of the similarity, those of the rarer class by how much rarer it is; the prior counts as a tenth of a vote. A text
-        without words has no neighbours and gets the prior.
+        Votes weigh as their similarity, the prior as ``PRIOR_VOTE``. A text without words that an example has gets the prior.
         """
-        terms, others = self.numbers(text)
-        if not terms and others and self.plain:
-            return self.plain
-        near = self.index.nearest(self.vector(terms, others), NEIGHBOURS)
-        votes = [(s**POWER * (self.balance if self.labels[i] else 1), self.labels[i]) for s, i in near]
-        found = (sum(w for w, y in votes if y) + 0.1 * self.prior) / (sum(w for w, _ in votes) + 0.1), [(s, self.ids[i]) for s, i in near]
-        if not terms and others:
-            self.plain = found
-        return found
+        if not len(self.vocabulary):
+            return self.prior, []
+        near = self.index.nearest_of(*self.vector(*self.numbers(text)), NEIGHBOURS)
+        toxic = sum(s for s, i in near if self.labels[i])
+        found = (toxic + PRIOR_VOTE * self.prior) / (sum(s for s, _ in near) + PRIOR_VOTE)
+        return min(1.0, max(0.0, found)), [(s, self.ids[i]) for s, i in near]
 
 
 def training_rows(labels: DataFrame, sample: int = SAMPLE) -> tuple[list[tuple[int, int]], float]:
@@ -166,55 +177,71 @@ def training_rows(labels: DataFrame, sample: int = SAMPLE) -> tuple[list[tuple[i
     return rows, count.get(1, 0) / max(1, sum(count.values()))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS) -> Model:
-    """Fits on the texts of ``training_rows``; without any, every score is the prior 0.
-
-    Terms are those whose share among toxic examples is at least ``LIFT`` times that among others with a
-    chi-square of at least ``CHI``, and of them the ``terms`` of largest chi-square. All other words are one term.
-    """
-    spark = docs.sparkSession
-    rows, prior = training_rows(labels, sample)
-    if not rows:
-        return Model({}, [], prior)
-    chosen = F.broadcast(spark.createDataFrame(rows, "doc_id long, toxic int"))
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(chosen, "doc_id")
+def _examples(docs: DataFrame, rows: list[tuple[int, int]]) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(doc_id, toxic, word hashes, counts) of the whole texts of the chosen rows; of several texts of a doc_id the smallest."""
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(rows, "doc_id long, toxic int"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([sorted(set(all_terms(t.as_py()))) for t in batch.column(1)], pa.list_(pa.string()))], ["doc_id", "toxic", "terms"])
-
-    own = texts.mapInArrow(split, "doc_id long, toxic int, terms array<string>")
-    n1 = sum(label for _, label in rows)
-    n0 = len(rows) - n1
-    share1, share0 = (F.col("t1") + 0.5) / (n1 + 1), (F.col("t0") + 0.5) / (n0 + 1)
-    chi = (n1 + n0) / max(1, n1 * n0) * F.pow(F.col("t1") * (n0 - F.col("t0")) - F.col("t0") * (n1 - F.col("t1")), 2) / ((F.col("t1") + F.col("t0")) * (n1 + n0 - F.col("t1") - F.col("t0")) + 1e-9)
-    found = (
-        own.select("toxic", F.explode("terms").alias("term"))
-        .groupBy("term")
-        .agg(F.sum("toxic").alias("t1"), F.sum(1 - F.col("toxic")).alias("t0"))
-        .where((share1 >= LIFT * share0) & (chi >= CHI))
-        .orderBy(chi.desc(), "term")
-        .limit(terms)
-        .collect()
-    )
-    share = {r["term"]: (r["t1"], r["t0"]) for r in found}
-    # a beginning that is never met without its next letter says nothing of its own
-    longer = {(t[:-1], c) for t, c in share.items()}
-    idf = {t: math.log((len(rows) + 1) / sum(c)) + 1 for t, c in share.items() if (t, c) not in longer}
+            own = [word_counts(t.as_py()) for t in batch.column(2)]
+            words = [np.fromiter(map(word_hash, c), dtype=np.int64, count=len(c)).tobytes() for c in own]
+            counts = [np.fromiter(c.values(), dtype=np.int32, count=len(c)).tobytes() for c in own]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "toxic", "words", "counts"])
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = texts.mapInArrow(counted, "doc_id long, toxic int, words binary, counts binary").orderBy("doc_id").collect()
+    return [(r["doc_id"], r["toxic"], np.frombuffer(r["words"], dtype=np.int64), np.frombuffer(r["counts"], dtype=np.int32)) for r in found]
+
+
+def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
+    """In how many of all documents each word of ``vocabulary``, sorted hashes, stands, and how many documents there are.
+
+    A task keeps one counter a word of the vocabulary and sends those above 0 once, whatever its rows.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        total = np.zeros(len(known) + 1, dtype=np.int64)
+        numbers: dict[str, int] = {}
+        claim("toxicity", numbers.clear)
         for batch in batches:
-            words = [[[t for t in terms_of(w) if t in idf] for w in (x.as_py() or "").lower().split()] for x in batch.column(1)]
-            own = [[t for w in ws for t in w] for ws in words]
-            others = [sum(not w for w in ws) for ws in words]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(others, pa.int32()), pa.array(own, pa.list_(pa.string()))], ["doc_id", "toxic", "others", "terms"])
-
-    examples = texts.mapInArrow(counted, "doc_id long, toxic int, others int, terms array<string>")
-    weights = examples.select("doc_id", "toxic", "others", F.explode_outer("terms").alias("term")).groupBy("doc_id", "toxic", "others", "term").count().collect()
-    held: dict[tuple[int, int, int], list[str]] = {}
-    for r in weights:
-        held.setdefault((r["doc_id"], r["toxic"], r["others"]), []).extend([r["term"]] * r["count"] if r["term"] is not None else [])
-    return Model(idf, [(*key, t) for key, t in held.items()], prior)
+            for text in batch.column(0):
+                words = set(_TERM.findall((text.as_py() or "").lower()))
+                if new := [w for w in words if w not in numbers]:
+                    if len(numbers) + len(new) > WORDS:
+                        numbers.clear()
+                        new = list(words)
+                    hashes = np.fromiter(map(word_hash, new), dtype=np.int64, count=len(new))
+                    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                    numbers.update(zip(new, np.where(known[at] == hashes, at, len(known)).tolist()))
+                total[np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words))] += 1
+        at = np.flatnonzero(total[:-1])
+        for start in range(0, len(at), 65_536):
+            part = at[start : start + 65_536]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part], pa.int64())], ["word", "n"])
+
+    counts = docs.select("text").mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(vocabulary), dtype=np.int64)
+    out[counts.column("word").to_numpy()] = counts.column("n").to_numpy()
+    return out, docs.count()
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """Fits on the whole texts of ``training_rows``, with document frequencies from all of ``docs``; without any, every score is the prior 0."""
+    rows, prior = training_rows(labels, sample)
+    examples = _examples(docs, rows) if rows else []
+    if not any(len(words) for _, _, words, _ in examples):
+        return Model(np.zeros(0, dtype=np.int64), np.zeros(0), [], prior)
+    vocabulary = np.unique(np.concatenate([e[2] for e in examples]))
+    numbered = [(doc_id, toxic, np.searchsorted(vocabulary, words), counts.astype(np.float64)) for doc_id, toxic, words, counts in examples]
+    held = lambda chosen: np.bincount(np.concatenate([np.zeros(0, dtype=np.int64), *chosen]), minlength=len(vocabulary))
+    every, toxic = held([e[2] for e in numbered]), held([e[2] for e in numbered if e[1]])
+    share = sum(e[1] for e in numbered) / len(numbered)
+    deviations = (toxic - every * share) / np.sqrt(np.maximum(every * share * (1 - share), 1e-9))
+    n, total = document_frequencies(docs, vocabulary)
+    idf = np.log((total + 1) / (np.maximum(n, 1) + 1)) + 1
+    return Model(vocabulary, idf * (FLOOR + STEP * np.maximum(deviations - CHANCE, 0)), numbered, prior)
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:

@@ -240,6 +240,40 @@ def test_toxicity_learns_and_ignores_held_out(spark):
     assert toxicity.clean_documents(docs, marked).count() == 320
 
 
+def test_toxicity_score_is_that_of_all_words(spark):
+    """Scores and evidence against a plain computation with every word of every example, texts without a toxic word included."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(80)]
+    rows_ = [(i, " ".join(rng.choices(words, k=rng.randrange(0, 40)) + ["vile"] * (i % 4 == 0)), "en", "s", 1) for i in range(300)] + [(900, None, "en", "s", 1)]
+    marks = [(i, 1, int(i % 4 == 0)) for i in range(300)]
+    docs = spark.createDataFrame(rows_, DOCS)
+    got = {r["doc_id"]: r for r in toxicity.score_documents(docs, toxicity.fit(docs, labels(spark, marks))).collect()}
+    learnt = [i for i in range(300) if zlib.crc32(str(i).encode()) % 3 != 1]
+    counts = {r[0]: Counter((r[1] or "").split()) for r in rows_}
+    share = sum(i % 4 == 0 for i in learnt) / len(learnt)
+    weight = {}
+    for w in {w for i in learnt for w in counts[i]}:
+        own = [i for i in learnt if w in counts[i]]
+        z = (sum(i % 4 == 0 for i in own) - len(own) * share) / math.sqrt(len(own) * share * (1 - share))
+        weight[w] = (math.log((len(rows_) + 1) / (sum(w in c for c in counts.values()) + 1)) + 1) * (toxicity.FLOOR + toxicity.STEP * max(0, z - toxicity.CHANCE))
+
+    def unit(c):
+        v = {w: (1 + math.log(n)) * weight[w] for w, n in c.items() if w in weight}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    examples = {i: unit(counts[i]) for i in learnt}
+    for i, c in counts.items():
+        q = unit(c)
+        near = sorted(((sum(x * v.get(w, 0) for w, x in q.items()), j) for j, v in examples.items()), reverse=True)
+        near = [(s, j) for s, j in near[: toxicity.NEIGHBOURS] if s > 0]
+        assert [round(e["similarity"], 9) for e in got[i]["evidence"]] == [round(s, 9) for s, _ in near]
+        if not near or near[-1][0] == 0:
+            assert got[i]["score"] == pytest.approx(share)
+        elif len({round(s, 9) for s, _ in near}) == len(near):
+            assert got[i]["score"] == pytest.approx((sum(s for s, j in near if j % 4 == 0) + toxicity.PRIOR_VOTE * share) / (sum(s for s, _ in near) + toxicity.PRIOR_VOTE))
+
+
 def test_toxicity_of_odd_rows(spark, odd, none):
     marked = labels(spark, [(4, 1, 1), (5, 1, 0), (None, 1, 1), (6, None, None), (4, 0, 0)])
     scores = toxicity.score_documents(odd, toxicity.fit(odd, marked)).collect()
