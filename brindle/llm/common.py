@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from brindle.session import workers_find_package
 
 DEFAULT_SCRATCH = "/tmp/checkpoints"
+#: A key with more than one in so many of the rows is looked up by broadcast.
+HEAVY = 4_096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +53,21 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def looked_up(rows: DataFrame, found: DataFrame, key: str, n: str) -> DataFrame:
+    """``rows`` with the columns of ``found`` (one row per ``key``) or nulls; ``n`` there says how many rows have that key.
+
+    Keys of more than one in ``HEAVY`` of all rows, so fewer than ``HEAVY`` of them, are broadcast and their rows
+    stay where they are; the others are joined by a shuffle. Null keys find nothing and aren't shuffled either.
+    Both should be written tables, because each is read twice.
+    """
+    total = found.agg(F.sum(n)).first()[0] or 0
+    is_heavy = F.col(n) * HEAVY > total
+    heavy = F.broadcast(found.where(is_heavy).drop(n).withColumn("_heavy", F.lit(True)))
+    near = rows.join(heavy, key, "left").where(F.col("_heavy").isNotNull() | F.col(key).isNull()).drop("_heavy")
+    far = rows.where(F.col(key).isNotNull()).join(heavy.select(key), key, "left_anti").join(found.where(~is_heavy).drop(n), key, "left")
+    return near.unionByName(far)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

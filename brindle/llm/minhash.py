@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import claim, components, table, written
+from brindle.llm.common import claim, components, looked_up, table, written
 
 WORDS = 5
 #: Bins of a signature; the most a pair at the threshold may be missed by all bands.
@@ -223,15 +223,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     the hub, and each other node is a candidate of the hub only (a star). Links are confirmed on full
     sets and joined to components. Where a bucket still holds several components, its members
     are compared by sketches in blocks and what may be a link is confirmed too, so stars lose none. Large buckets
-    meet their hub in parts of ``BLOCK`` nodes.
+    meet their hub in parts of ``BLOCK`` nodes; a text with very many copies and a very large component are looked up by broadcast.
     Null and empty texts have no shingles and are linked with nothing; a null doc_id is no node. A repeated doc_id
     with another text is another node, with the same id. An empty table gives no rows; extra columns are ignored;
     repeated rows come out repeated.
     """
     sig = written(signatures(docs, percent), "signatures")
     first_of = F.min(F.struct("doc_id", "digest"))
-    nodes = sig.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(first_of.alias("first"), F.first("bands").alias("bands"))
-    nodes = written(nodes.select("key", F.xxhash64("key").alias("id"), "first.doc_id", "first.digest", "bands"), "nodes")
+    nodes = sig.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(first_of.alias("first"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
+    nodes = written(nodes.select("key", F.xxhash64("key").alias("id"), "first.doc_id", "first.digest", "bands", "copies"), "nodes")
     buckets = nodes.select("id", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = written(buckets.join(shared, "bucket"), "members")
@@ -258,10 +258,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     candidates = written(candidates.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti"), "candidates")
     more = written(confirm(candidates, texts, percent), "more")
     final = first if more.isEmpty() else components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    in_component = nodes.select("key", "id", "doc_id").join(final.withColumnRenamed("node", "id"), "id")
-    least = in_component.groupBy("component").agg(F.min("doc_id").alias("least"))
-    of_key = nodes.select("key", F.col("doc_id").alias("own")).join(in_component.join(least, "component").select("key", "least"), "key", "left").select("key", F.coalesce("least", "own").alias("found"))
-    out = sig.select("doc_id", "n_shingles", "key").join(of_key, "key", "left")
+    in_component = written(nodes.select("key", "id", "doc_id", "copies").join(final.withColumnRenamed("node", "id"), "id").drop("id"), "in_component")
+    least = written(in_component.groupBy("component").agg(F.min("doc_id").alias("found"), F.count("*").alias("n")), "least")
+    of_key = looked_up(in_component.select("key", "component", "copies"), least, "component", "n").select("key", "found", "copies")
+    alone = nodes.join(in_component, "key", "left_anti").select("key", F.col("doc_id").alias("found"), "copies")
+    of_key = written(of_key.unionByName(alone), "of_key")
+    out = looked_up(sig.select("doc_id", "n_shingles", "key"), of_key, "key", "copies")
     component = F.coalesce("found", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

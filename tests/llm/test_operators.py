@@ -647,3 +647,15 @@ def test_pipeline_equals_its_parts(spark):
             want[i, piece, zlib.crc32(ids[at : at + 4 * 4096])] += 1
     got = corpus_pipeline.run(spark, SF).collect()
     assert Counter((r["doc_id"], r["piece"], r["ids_crc32"]) for r in got) == want
+
+
+def test_looked_up_finds_the_same_for_heavy_usual_missing_and_null_keys(spark):
+    own = lambda i: None if i % 10 == 9 else 0 if i < 6_000 else i
+    ids = list(range(12_000))
+    counts = Counter(own(i) for i in ids if own(i) is not None and own(i) % 7 != 1)
+    rows = spark.createDataFrame([(i, own(i)) for i in ids], "id long, key long")
+    found = spark.createDataFrame([(k, k * 2, n) for k, n in counts.items()], "key long, twice long, n long")
+    got = {r.id: r.twice for r in common.looked_up(rows, found, "key", "n").collect()}
+    assert len(got) == len(ids)
+    assert got == {i: own(i) * 2 if own(i) in counts else None for i in ids}
+    assert common.looked_up(rows.limit(0), found.limit(0), "key", "n").count() == 0
