@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import bpe, fingerprints, lm, minhash, neighbours, packing, pii, sharding, toxicity, warc
+from brindle.llm import bpe, codes, fingerprints, lm, minhash, neighbours, packing, periods, pii, quality, sharding, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": warc.op9_warc,
     "op10_minhash": minhash.op10_minhash,
     "op8_sharding": sharding.op8_sharding,
+    "op11_periods": periods.op11_periods,
+    "op12_quality": quality.op12_quality,
+    "op13_codes": codes.op13_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {"op9_warc": warc.OP9_SQL}
