@@ -216,8 +216,10 @@ def residual_pairs(members: DataFrame, percent: int) -> DataFrame:
     return met.select("bucket", "own").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row, linking texts whose shingle sets are similar by ``percent``.
+def placed(docs: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, digest, n_shingles, found, chosen) of every row: found and chosen are doc_id and text digest of its component's least row.
+
+    Rows are linked whose texts' shingle sets are similar by ``percent``; found is null where a row is no node.
 
     Equal sets are one node, known by a hash of the set. In each bucket of a band the node with most company is
     the hub, and each other node is a candidate of the hub only (a star). Links are confirmed on full
@@ -225,8 +227,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     are compared by sketches in blocks and what may be a link is confirmed too, so stars lose none. Large buckets
     meet their hub in parts of ``BLOCK`` nodes; a text with very many copies and a very large component are looked up by broadcast.
     Null and empty texts have no shingles and are linked with nothing; a null doc_id is no node. A repeated doc_id
-    with another text is another node, with the same id. An empty table gives no rows; extra columns are ignored;
-    repeated rows come out repeated.
+    with another text is another node. An empty table gives no rows; extra columns are ignored; repeated rows come out repeated.
     """
     sig = written(signatures(docs, percent), "signatures")
     first_of = F.min(F.struct("doc_id", "digest"))
@@ -258,20 +259,38 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     candidates = written(candidates.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti"), "candidates")
     more = written(confirm(candidates, texts, percent), "more")
     final = first if more.isEmpty() else components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    in_component = written(nodes.select("key", "id", "doc_id", "copies").join(final.withColumnRenamed("node", "id"), "id").drop("id"), "in_component")
-    least = written(in_component.groupBy("component").agg(F.min("doc_id").alias("found"), F.count("*").alias("n")), "least")
-    of_key = looked_up(in_component.select("key", "component", "copies"), least, "component", "n").select("key", "found", "copies")
-    alone = nodes.join(in_component, "key", "left_anti").select("key", F.col("doc_id").alias("found"), "copies")
+    in_component = written(nodes.select("key", "id", "doc_id", "digest", "copies").join(final.withColumnRenamed("node", "id"), "id").drop("id"), "in_component")
+    least = in_component.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.count("*").alias("n"))
+    least = written(least.select("component", F.col("first.doc_id").alias("found"), F.col("first.digest").alias("chosen"), "n"), "least")
+    of_key = looked_up(in_component.select("key", "component", "copies"), least, "component", "n").select("key", "found", "chosen", "copies")
+    alone = nodes.join(in_component, "key", "left_anti").select("key", F.col("doc_id").alias("found"), F.col("digest").alias("chosen"), "copies")
     of_key = written(of_key.unionByName(alone), "of_key")
-    out = looked_up(sig.select("doc_id", "n_shingles", "key"), of_key, "key", "copies")
+    return looked_up(sig.select("doc_id", "digest", "n_shingles", "key"), of_key, "key", "copies").drop("key")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row, as ``placed`` links them; a row that is no node is its own component.
+
+    A repeated doc_id with another text has the same id in another component.
+    """
     component = F.coalesce("found", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return placed(docs, percent).select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` without those near-duplicate rows that aren't the smallest doc_id of their component."""
-    gone = near_duplicates(docs, percent).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` but for near-duplicates: of each component one row stays, of the smallest doc_id, then text digest.
+
+    Rows are told by doc_id and text, so of a repeated doc_id each text has its own place, and of repeated rows one stays.
+    Rows without shingles or doc_id are linked with nothing and all stay.
+    """
+    own = F.struct("doc_id", "digest").eqNullSafe(F.struct(F.col("found").alias("doc_id"), F.col("chosen").alias("digest")))
+    rows = placed(docs, percent).where("found IS NOT NULL").groupBy(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"))
+    marks = written(rows.agg(F.first(own).alias("_stays"), F.count("*").alias("_n")).where("NOT _stays OR _n > 1").drop("_n"), "marks")
+    told = docs.withColumns({"_doc": F.col("doc_id").cast("long"), "_digest": F.xxhash64("text")}).join(marks, ["_doc", "_digest"], "left")
+    if marks.where("_stays").isEmpty():
+        return told.where("_stays IS NULL").select(*docs.columns)
+    once = told.where("_stays").dropDuplicates(["_doc", "_digest"])
+    return told.where("_stays IS NULL").unionByName(once).select(*docs.columns)
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
