@@ -21,6 +21,8 @@ BINS, MISS = 256, 1e-5
 SKETCH = 1_024
 #: Members of a bucket that are compared within one task at a time.
 BLOCK = 512
+#: Rows that are broadcast to say which rows go; more are joined by a shuffle.
+MARKS = 2_000_000
 #: Word hashes a worker keeps.
 CACHE = 150_000
 
@@ -281,12 +283,13 @@ def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` but for near-duplicates: of each component one row stays, of the smallest doc_id, then text digest.
 
     Rows are told by doc_id and text, so of a repeated doc_id each text has its own place, and of repeated rows one stays.
-    Rows without shingles or doc_id are linked with nothing and all stay.
+    Rows without shingles or doc_id are linked with nothing and all stay. Texts aren't shuffled for up to ``MARKS`` rows to drop.
     """
     own = F.struct("doc_id", "digest").eqNullSafe(F.struct(F.col("found").alias("doc_id"), F.col("chosen").alias("digest")))
     rows = placed(docs, percent).where("found IS NOT NULL").groupBy(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"))
     marks = written(rows.agg(F.first(own).alias("_stays"), F.count("*").alias("_n")).where("NOT _stays OR _n > 1").drop("_n"), "marks")
-    told = docs.withColumns({"_doc": F.col("doc_id").cast("long"), "_digest": F.xxhash64("text")}).join(marks, ["_doc", "_digest"], "left")
+    sent = F.broadcast(marks) if marks.count() <= MARKS else marks
+    told = docs.withColumns({"_doc": F.col("doc_id").cast("long"), "_digest": F.xxhash64("text")}).join(sent, ["_doc", "_digest"], "left")
     if marks.where("_stays").isEmpty():
         return told.where("_stays IS NULL").select(*docs.columns)
     once = told.where("_stays").dropDuplicates(["_doc", "_digest"])
