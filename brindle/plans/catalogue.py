@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brindle.plans import documents, jobs, products, runs, values, web
+from brindle.plans import captured, documents, jobs, products, runs, values, web
 from brindle.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "documents", "jobs", "products", "runs", "values", "web"]
+__all__ = ["ORACLE_SQL", "QUERIES", "captured", "documents", "jobs", "products", "runs", "values", "web"]
