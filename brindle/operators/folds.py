@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.operators import prefix
+
 GOOD = ("success", "partial")
 
 
@@ -39,9 +41,11 @@ def merge_summaries(parts: DataFrame, key: str, expected: int) -> DataFrame:
 
 
 def paced(rows: DataFrame, key: str, order: str, now: str, apart: int) -> DataFrame:
-    """(key, order, slot, wait): each request's slot, at least ``apart`` after the one before of its key and not before ``now``."""
-    own = Window.partitionBy(key).orderBy(order)
-    n = F.row_number().over(own)
-    numbered = rows.withColumn("_n", n)
-    slot = F.max(F.col(now) - apart * F.col("_n")).over(own) + apart * F.col("_n")
-    return numbered.select(key, order, slot.alias("slot"), (slot - F.col(now)).alias("wait"))
+    """(key, order, slot, wait): each request's slot, at least ``apart`` after the one before of its key and not before ``now``.
+
+    slot_n = max(now_n, slot_(n-1) + apart) unrolls to apart * n + max over k <= n of (now_k - apart * k), a running maximum.
+    """
+    numbered = prefix.running(rows, key, [order], {"_n": (prefix.SUM, F.lit(1))})
+    most = prefix.running(numbered, key, [order], {"_most": (prefix.MAX, F.col(now) - apart * F.col("_n"))})
+    slot = F.col("_most") + apart * F.col("_n")
+    return most.select(key, order, slot.alias("slot"), (slot - F.col(now)).alias("wait"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions import prices, urls
-from brindle.operators import links
+from brindle.operators import links, prefix
 from brindle.plans.registry import query, table
 from brindle.sources import structured
 
@@ -148,8 +148,8 @@ def values_reduced(spark, sf_dir) -> DataFrame:
 
 @query("adjacent_distinct", "SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE before IS DISTINCT FROM event_type")
 def adjacent_distinct(spark, sf_dir) -> DataFrame:
-    own = Window.partitionBy("user_id").orderBy("event_id")
-    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.lag("event_type").over(own).alias("before"))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    rows = prefix.running(rows, "user_id", ["event_id"], {"before": (prefix.PREVIOUS, F.col("event_type"))})
     return rows.where(~F.col("before").eqNullSafe(F.col("event_type"))).drop("before")
 
 

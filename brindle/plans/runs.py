@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.operators import folds
+from brindle.operators import folds, prefix
 from brindle.plans.registry import query, table
 
 VERDICT = {"purchase": "success", "signup": "success", "click": "partial", "view": "partial", "error": "error"}
@@ -141,32 +141,34 @@ def summary_merge(spark, sf_dir) -> DataFrame:
 @query("log_sampling", "SELECT event_id, user_id, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) WHERE n % 4 = 1 AND n <= 1000")
 def log_sampling(spark, sf_dir) -> DataFrame:
     """Every fourth log line of a run, up to its thousandth (the feature's sampling)."""
-    own = Window.partitionBy("user_id").orderBy("event_id")
-    return table(spark, sf_dir, "events").select("event_id", "user_id", F.row_number().over(own).alias("n")).where("n % 4 = 1 AND n <= 1000")
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id")
+    return prefix.running(rows, "user_id", ["event_id"], {"n": (prefix.SUM, F.lit(1))}).where("n % 4 = 1 AND n <= 1000")
 
 
 @query("status_transitions", """SELECT before, event_type AS after, count(*) AS n, NOT (before = 'purchase' AND event_type = 'signup') AS legal FROM (
  SELECT event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE before IS NOT NULL GROUP BY before, event_type""")
 def status_transitions(spark, sf_dir) -> DataFrame:
-    own = Window.partitionBy("user_id").orderBy("event_id")
-    steps = table(spark, sf_dir, "events").select(F.lag("event_type").over(own).alias("before"), F.col("event_type").alias("after")).where("before IS NOT NULL")
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("after"))
+    steps = prefix.running(rows, "user_id", ["event_id"], {"before": (prefix.PREVIOUS, F.col("after"))}).where("before IS NOT NULL")
     return steps.groupBy("before", "after").agg(F.count("*").alias("n")).withColumn("legal", ~((F.col("before") == "purchase") & (F.col("after") == "signup")))
 
 
 @query("stale_gaps", """SELECT event_id, user_id, gap FROM (SELECT event_id, user_id, date_diff('second', date_trunc('second', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)), date_trunc('second', ts)) AS gap FROM events) WHERE gap > 86400""")
 def stale_gaps(spark, sf_dir) -> DataFrame:
-    own = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.timestamp_diff("SECOND", F.date_trunc("second", F.lag("ts").over(own)), F.date_trunc("second", "ts"))
-    return table(spark, sf_dir, "events").select("event_id", "user_id", gap.alias("gap")).where("gap > 86400")
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    place = F.unix_micros(F.col("ts").cast("timestamp"))
+    told = prefix.running(rows, "user_id", ["ts", "event_id"], {"last": (prefix.PREVIOUS, F.col("ts"))}, place)
+    gap = F.timestamp_diff("SECOND", F.date_trunc("second", "last"), F.date_trunc("second", "ts"))
+    return told.select("event_id", "user_id", gap.alias("gap")).where("gap > 86400")
 
 
 @query("breaker_state", """SELECT user_id, max(streak) AS longest, count(*) FILTER (streak >= 2) AS opened FROM (SELECT user_id, grp, count(*) AS streak FROM (SELECT user_id, event_type, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS grp FROM events)
  WHERE event_type = 'error' GROUP BY user_id, grp) GROUP BY user_id""")
 def breaker_state(spark, sf_dir) -> DataFrame:
     """Streaks of failures by gaps and islands: a run of errors shares the count of the successes before it."""
-    own = Window.partitionBy("user_id").orderBy("event_id")
-    island = F.sum(F.when(F.col("event_type") != "error", 1).otherwise(0)).over(own)
-    streaks = table(spark, sf_dir, "events").select("user_id", "event_type", island.alias("grp")).where("event_type = 'error'").groupBy("user_id", "grp").agg(F.count("*").alias("streak"))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    islands = prefix.running(rows, "user_id", ["event_id"], {"grp": (prefix.SUM, F.when(F.col("event_type") != "error", 1).otherwise(0))})
+    streaks = islands.where("event_type = 'error'").groupBy("user_id", "grp").agg(F.count("*").alias("streak"))
     return streaks.groupBy("user_id").agg(F.max("streak").alias("longest"), F.count_if(F.col("streak") >= 2).alias("opened"))
 
 
@@ -174,8 +176,7 @@ def breaker_state(spark, sf_dir) -> DataFrame:
  p AS (SELECT user_id, event_id, n, now, now AS slot FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.event_id, e.n, e.now, greatest(e.now, p.slot + 2000) FROM p JOIN e ON e.user_id = p.user_id AND e.n = p.n + 1)
  SELECT user_id, event_id, slot, slot - now AS wait FROM p""")
 def host_pacing(spark, sf_dir) -> DataFrame:
-    """Slots of a host at least 2000 ms apart. slot_n = max(now_n, slot_(n-1) + d) unrolls to d * n + max over k <= n of
-    (now_k - d * k), a running maximum: no Python and no recursion."""
+    """Slots of a host at least 2000 ms apart, by two running folds: no Python, no recursion, no host's rows in one task."""
     events = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") * 100).alias("now"))
     return folds.paced(events, "user_id", "event_id", "now", 2000)
 
@@ -213,8 +214,16 @@ def status_rollup(spark, sf_dir) -> DataFrame:
 
 @query("asof_previous_purchase", """SELECT event_id, user_id, last_purchase FROM (SELECT event_id, user_id, event_type, max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_purchase FROM events) WHERE event_type = 'error'""")
 def asof_previous_purchase(spark, sf_dir) -> DataFrame:
-    """An as-of join of errors to purchases without a join: one window over their union."""
-    before = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = table(spark, sf_dir, "events").where(F.col("event_type").isin("error", "purchase"))
-    last = F.max(F.when(F.col("event_type") == "purchase", F.col("event_id"))).over(before)
-    return rows.select("event_id", "user_id", "event_type", last.alias("last_purchase")).where("event_type = 'error'").drop("event_type")
+    """An as-of join of errors to purchases without a join of both: one running fold over their union."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type").where(F.col("event_type").isin("error", "purchase"))
+    last = {"last_purchase": (prefix.MAX_BEFORE, F.when(F.col("event_type") == "purchase", F.col("event_id")))}
+    return prefix.running(rows, "user_id", ["event_id"], last).where("event_type = 'error'").drop("event_type")
+
+
+@query("steps_processed", """SELECT event_id, user_id, gathered, CASE WHEN before >= 300 THEN 'enough' WHEN stop = 1 THEN 'halted' ELSE 'done' END AS outcome FROM (SELECT *, gathered - event_id % 7 AS before FROM (
+ SELECT event_id, user_id, CAST(sum(event_id % 7) OVER w AS BIGINT) AS gathered, max(CASE WHEN event_type = 'purchase' AND event_id % 11 = 0 THEN 1 ELSE 0 END) OVER w AS stop FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)))""")
+def steps_processed(spark, sf_dir) -> DataFrame:
+    """Which steps of a run are done before it is halted or has enough records."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    halted = (F.col("event_type") == "purchase") & (F.col("event_id") % 11 == 0)
+    return prefix.processed(rows, "user_id", "event_id", F.col("event_id") % 7, halted, 300).select("event_id", "user_id", "gathered", "outcome")
