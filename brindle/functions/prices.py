@@ -19,34 +19,43 @@ BESIDE_PRICES = ["cost", "from", "mrp", "msrp", "now", "price", "sale", "startin
 
 _CODE = "|".join(CODES)
 _MONEY = rf"(?i)[$€£¥₹]|\b(?:{'|'.join(BESIDE_PRICES)}|{_CODE}|rs\.?)\b"
-_NEGATIVE = rf"(?i)^-\s*(?:[$€£¥₹]|rs\.?|\b(?:{_CODE}))?\s*[0-9]"
+_CURRENCY = rf"(?i)^(?:[{''.join(SIGNS)}]|rs\.?|{_CODE})\s*"
+# Words that mark the stock code of a draft.
+DRAFTS = ["copy", "draft", "temp", "test", "tmp"]
 
 
 def canonical_number(number: Column) -> Column:
-    """A number with grouping marks in plain notation: of two kinds of marks the later is the decimal one; a last comma
-    is decimal before one or two digits; dots before groups of three are grouping marks."""
-    last_comma, last_dot = F.length(F.substring_index(number, ",", -1)), F.length(F.substring_index(number, ".", -1))
-    comma, dot = F.contains(number, F.lit(",")), F.contains(number, F.lit("."))
-    bare = F.regexp_replace(number, "[.,]", "")
-    decimal_comma = F.concat(F.regexp_replace(F.regexp_replace(number, ",[^,]*$", ""), "[.,]", ""), F.lit("."), F.substring_index(number, ",", -1))
-    plain = F.regexp_replace(number, ",", "")
-    grouped = number.rlike(r"^[-+]?[0-9]+(\.[0-9]{3})+$")
-    return (
-        F.when(comma & dot, F.when(last_comma < last_dot, F.regexp_replace(F.regexp_replace(number, r"\.", ""), ",", ".")).otherwise(plain))
-        .when(comma, F.when(last_comma.between(1, 2), decimal_comma).otherwise(plain))
-        .when(grouped, bare)
-        .otherwise(number)
-    )
+    """An unsigned number with marks in plain notation, or null if its marks can't be told apart.
+
+    Its marks part it into groups; the question is which mark, if any, stands before the fraction. Of two kinds it is the kind of
+    the last one, which must be alone of its kind. Commas only: the last, before a group of one or two. Dots only: none if all groups
+    behind dots have three digits, else the dot, which must be the only one.
+    """
+    groups, marks = F.split(number, "[.,]"), F.regexp_replace(number, "[^.,]", "")
+    last, tail = F.right(marks, F.lit(1)), F.element_at(groups, -1)
+    both = F.contains(marks, F.lit(",")) & F.contains(marks, F.lit("."))
+    thousands = F.forall(F.slice(groups, F.lit(2), F.size(groups)), lambda g: F.length(g) == 3)
+    whole = (marks == "") | (~both & F.when(last == ",", ~F.length(tail).between(1, 2)).otherwise(thousands))
+    alone = (last == ",") & ~both | (F.length(F.replace(marks, last)) == F.length(marks) - 1)
+    head = F.array_join(F.slice(groups, F.lit(1), F.size(groups) - 1), "")
+    return F.when(whole, F.array_join(groups, "")).when(alone, F.concat(head, F.lit("."), tail))
+
+
+def _negative(text: Column) -> Column:
+    """Whether a text begins with a minus sign and then, a currency aside, a digit."""
+    behind = F.ltrim(F.substring(text, F.lit(2), F.length(text)))
+    return text.startswith("-") & F.regexp_replace(behind, _CURRENCY, "").rlike("^[0-9]")
 
 
 def decimal_price(value: Column) -> Column:
     """A price text as a plain decimal text. Null if it is blank, negative or no number, or a whole number of up to three
     digits without any sign of money."""
     text = F.trim(F.regexp_replace(value, r"\s+", " "))
-    first = F.regexp_replace(F.regexp_extract(text, r"[-+]?[0-9][0-9.,]*", 0), r"[.,]+$", "")
-    number = F.regexp_replace(canonical_number(first), r"^\+?0*(?=[0-9])", "")
-    unmarked = ~F.contains(number, F.lit(".")) & (F.length(F.regexp_replace(number, r"[^0-9]", "")) <= 3) & ~text.rlike(_MONEY)
-    return F.when(number.rlike(r"^[0-9]+(\.[0-9]+)?$") & ~text.rlike(_NEGATIVE) & ~unmarked, number)
+    met = F.regexp_extract(text, r"[-+]?[0-9][0-9.,]*", 0)
+    number = F.regexp_replace(canonical_number(F.regexp_replace(met, r"^[-+]|[.,]+$", "")), "^0+(?=[0-9])", "")
+    small = ~F.contains(number, F.lit(".")) & (F.length(number) <= 3)
+    money = text.rlike(_MONEY)
+    return F.when(number.rlike(r"^[0-9]+(\.[0-9]+)?$") & ~met.startswith("-") & ~_negative(text) & (~small | money), number)
 
 
 def currency_of(value: Column) -> Column:
@@ -96,10 +105,13 @@ def barcode(value: Column) -> Column:
 
 
 def sku(value: Column) -> Column:
-    """A stock code; none of structured text, nor of long runs of letters and digits that only track a visit."""
+    """A stock code without a draft's prefix; none of structured text, of a draft's long number, nor of long runs of letters and
+    digits that only track a visit."""
     text = F.trim(value)
-    tracking = (F.length(text) > 20) & text.rlike("^[A-Za-z0-9]+$") & text.rlike("[A-Za-z]") & text.rlike("[0-9]")
-    return F.when((text != "") & ~text.rlike(r"^[{\[]") & ~tracking, text)
+    code = F.trim(F.regexp_replace(text, "(?i)^(?:" + "|".join(DRAFTS) + ")[-_]+", ""))
+    tracking = (F.length(code) > 20) & code.rlike("^[A-Za-z0-9]+$") & code.rlike("[A-Za-z]") & code.rlike("[0-9]")
+    drafted = (code != text) & code.rlike("^[0-9]{10,}$")
+    return F.when((code != "") & ~code.rlike(r"^[{\[]") & ~drafted & ~tracking, code)
 
 
 def salary_text(value: Column) -> Column:

@@ -65,8 +65,9 @@ def utility_title(title: Column) -> Column:
 
 
 def marked_brand(title: Column) -> Column:
-    """What stands before the first trade mark sign, with it, or the word after a sign that begins the title; null of more
+    """What stands before the first trade mark sign, with it, or a sign that begins the title and the word after it, as one; null of more
     than ``BRAND_WORDS`` words or without a sign."""
     text = collapsed(title)
-    brand = F.when(text.rlike("^[™®]"), F.regexp_extract(text, r"^[™®]\s*[^ ]+", 0)).otherwise(F.trim(F.regexp_extract(text, "^[^™®]*[™®]", 0)))
+    leading = F.regexp_replace(F.regexp_extract(text, "^[™®] ?[^ ]+", 0), "^(.) ", "$1")
+    brand = F.when(text.rlike("^[™®]"), leading).otherwise(F.trim(F.regexp_extract(text, "^[^™®]*[™®]", 0)))
     return F.when((brand != "") & (F.size(tokens(brand, 1)) <= BRAND_WORDS), brand)

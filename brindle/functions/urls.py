@@ -90,8 +90,14 @@ def is_concatenated(url: Column) -> Column:
     return F.exists(before, lambda c: ~c.isin(BEFORE_URL))
 
 
+# Endings of hosts that are written without a scheme, too.
+BARE_ENDS = ["ca", "co.uk", "com", "de", "fr", "in", "io", "net", "org"]
+_BARE_HOST = rf"(?i)^(?:www\.[a-z0-9-]+(?:\.[a-z0-9-]+)+|[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:{'|'.join(e.replace('.', chr(92) + '.') for e in BARE_ENDS)}))(?:[/?#].*)?$"
+
+
 def absolute_url(base: Column, link: Column) -> Column:
-    """A link resolved against the URL it stands in (RFC 3986); a blank one gives ''."""
+    """A link resolved against the URL it stands in (RFC 3986); a blank one gives ''. A host that begins with www., or ends with one
+    of ``BARE_ENDS``, is an address without its scheme."""
     text = F.trim(link)
     origin = F.regexp_extract(base, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0)
     folder = F.regexp_extract(url_path(base), "^.*/", 0)
@@ -106,7 +112,7 @@ def absolute_url(base: Column, link: Column) -> Column:
     bare = F.regexp_replace(base, "#.*$", "")
     return (
         F.when(text == "", F.lit("")).when(text.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), text).when(text.startswith("//"), F.concat(F.regexp_extract(base, "^[^:]*:", 0), text))
-        .when(text.startswith("#"), F.concat(bare, text)).when(text.startswith("?"), F.concat(F.regexp_replace(bare, r"[?].*$", ""), text)).otherwise(F.concat(origin, clean, tail))
+        .when(text.rlike(_BARE_HOST), F.concat(F.lit("https://"), text)).when(text.startswith("#"), F.concat(bare, text)).when(text.startswith("?"), F.concat(F.regexp_replace(bare, r"[?].*$", ""), text)).otherwise(F.concat(origin, clean, tail))
     )
 
 

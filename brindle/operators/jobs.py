@@ -27,9 +27,10 @@ def overlaid(explicit: DataFrame, saved: DataFrame, on: list[str], fields: list[
 
 
 def merged_in_order(rows: DataFrame, key: str, order: list[str], fields: list[str]) -> DataFrame:
-    """One row a key: of each field the first value that isn't empty, sources in the order given."""
+    """One row a key: of each field the first value that isn't empty, sources in the order given. Rows without a key stay, each distinct one once."""
     first = lambda f: F.min_by(f, F.when(F.coalesce(F.trim(F.col(f).cast("string")), F.lit("")) != "", F.struct(*order))).alias(f)
-    return rows.groupBy(key).agg(*map(first, fields))
+    alone = F.when(F.col(key).isNull(), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})).alias("_alone")
+    return rows.groupBy(key, alone).agg(*map(first, fields)).drop("_alone")
 
 
 def outcome(persisted: Column, blocked: Column, verdict: Column) -> Column:

@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 STRONG = 18
 
 
-def dropped(score: Column, supported: Column, detail_like: Column, utility: Column, merchandise: Column, job: Column) -> Column:
-    """Whether a listing record goes: utility rows without a detail link or with a low score, rows without support
-    (jobs and merchandise need less), and negative scores."""
-    return (
-        (utility & (~detail_like | (score < 10))) | (~supported & detail_like & ~job & ~merchandise) | (~supported & ~detail_like & ~job & ~merchandise)
-        | (~supported & ~detail_like & (score < 10)) | (score < 0)
-    )
+def dropped(score: Column, supported: Column, detail_like: Column, utility: Column, detail_merchandise: Column, fallback_merchandise: Column, job: Column) -> Column:
+    """Whether a listing record goes. A record stays that isn't negative and whose kind of link vouches for it.
+
+    A detail link vouches for utility rows of 10 or more, and for others with support, of a job or of merchandise by that link. Another link
+    vouches for no utility row, and for others with support, or of a job or merchandise with 10 or more.
+    """
+    by_detail = (~utility | (score >= 10)) & (supported | job | detail_merchandise)
+    by_other = ~utility & (supported | ((score >= 10) & (job | fallback_merchandise)))
+    return (score < 0) | ~F.when(detail_like, by_detail).otherwise(by_other)
 
 
 def set_scores(records: DataFrame, keys: list[str]) -> DataFrame:

@@ -91,20 +91,20 @@ def adapter_results_merged(spark, sf_dir) -> DataFrame:
     return jobs.merged_in_order(rows.join(scores, "adapter"), "item", ["less", "emptier", "adapter", "ord"], ["flag", "status"])
 
 
-SALARIES = ['{"currency":"USD","value":{"minValue":"10","maxValue":"20","unitText":"HOUR"}}', '{"salaryCurrency":"EUR","value":{"value":"900"}}', '{"currencyCode":"GBP","value":"41 000"}', '{"value":{"minValue":"7"}}', '{"value":"5"}', '{"currency":"CHF"}', "{}", None]
+SALARIES = ['{"currency":"USD","value":{"minValue":"10","maxValue":"20","unitText":"HOUR"}}', '{"salaryCurrency":"EUR","value":{"value":"900"}}', '{"currencyCode":"GBP","value":"41 000"}', '{"value":{"minValue":"7"}}', '{"value":"5"}', '{"currency":"CHF"}', "{}", None, '{"currency":"USD","value":{"minValue":"{n}","unitText":"{w}"}}', '{"value":{"value":"{n}"}}', '{"currency":"EUR","value":"{n} {w}"}']
 
 
 @query("salary_texts", f"""SELECT i, CASE WHEN n <> '' THEN concat_ws(' ', c, n, u) WHEN v2 <> '' AND v2 NOT LIKE '{{%' THEN concat_ws(' ', c, v2) END AS salary FROM (SELECT i, coalesce(v ->> '$.currency', v ->> '$.salaryCurrency', v ->> '$.currencyCode') AS c, coalesce(nullif(concat_ws(' - ', v ->> '$.value.minValue', v ->> '$.value.maxValue'), ''), v ->> '$.value.value') AS n, v ->> '$.value.unitText' AS u, v ->> '$.value' AS v2 FROM {values_sql(SALARIES)})""")
 def salary_texts(spark, sf_dir) -> DataFrame:
-    return given(spark, SALARIES).select("i", prices.salary_text(F.col("v")).alias("salary"))
+    return given(spark, sf_dir, SALARIES).select("i", prices.salary_text(F.col("v")).alias("salary"))
 
 
-BRANDS = ["Northwind™ lamp", "®Acme big chair", "plain chair", "One Two Three Four Five Six Seven™ x", "™", "", None, "Lumo® and Fjord™ set"]
+BRANDS = ["Northwind™ lamp", "®Acme big chair", "plain chair", "One Two Three Four Five Six Seven™ x", "™", "", None, "Lumo® and Fjord™ set", "® Acme chair", "{w}™ {n}", "™ {w} {n}", "new {w} of {n}® parts", "{w}"]
 
 
-@query("brand_markers", f"""SELECT i, CASE WHEN len(list_filter(regexp_split_to_array(lower(b), '[^a-z0-9]+'), lambda t: t <> '')) <= {text.BRAND_WORDS} THEN nullif(b, '') END AS brand FROM (SELECT i, CASE WHEN regexp_matches(v, '^[™®]') THEN nullif(regexp_extract(v, '^[™®]\\s*[^ ]+'), '') ELSE trim(regexp_extract(v, '^[^™®]*[™®]')) END AS b FROM {values_sql(BRANDS)})""")
+@query("brand_markers", f"""SELECT i, CASE WHEN len(list_filter(regexp_split_to_array(lower(b), '[^a-z0-9]+'), lambda t: t <> '')) <= {text.BRAND_WORDS} THEN nullif(b, '') END AS brand FROM (SELECT i, CASE WHEN regexp_matches(v, '^[™®]') THEN nullif(CASE WHEN v[2] = ' ' THEN v[1] || split_part(v[3:], ' ', 1) ELSE split_part(v, ' ', 1) END, v) ELSE trim(regexp_extract(v, '^[^™®]*[™®]')) END AS b FROM {values_sql(BRANDS)})""")
 def brand_markers(spark, sf_dir) -> DataFrame:
-    return given(spark, BRANDS).select("i", text.marked_brand(F.col("v")).alias("brand"))
+    return given(spark, sf_dir, BRANDS).select("i", text.marked_brand(F.col("v")).alias("brand"))
 
 
 @query("attributes_present", "SELECT p_partkey, array_to_string(list_filter(['p_brand', CASE WHEN p_size > 10 THEN 'p_size' END, CASE WHEN p_type = 'PROMO' THEN 'p_type' END], lambda x: x IS NOT NULL), '|') AS present, array_to_string(list_filter([CASE WHEN p_size <= 10 THEN 'p_size' END, CASE WHEN p_type <> 'PROMO' THEN 'p_type' END], lambda x: x IS NOT NULL), '|') AS absent FROM part")

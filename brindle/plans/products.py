@@ -18,13 +18,13 @@ def _jaccard(a: str, b: str) -> str:
     return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE len(list_intersect(list_distinct({a}), list_distinct({b}))) / len(list_distinct({a} || {b})) END"
 
 
-_PRICE_TEXTS = "SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN '$' || printf('%.2f', p_retailprice) WHEN 1 THEN replace(printf('%.2f', p_retailprice), '.', ',') || ' €' WHEN 2 THEN '1.' || (100 + p_partkey % 900) || ',50 €' WHEN 3 THEN '1,' || (100 + p_partkey % 900) || '.25' WHEN 4 THEN CAST(p_partkey % 1000 AS VARCHAR) WHEN 5 THEN 'price ' || (p_partkey % 1000) WHEN 6 THEN '-$' || (p_partkey % 1000) ELSE '€17.000' END AS raw FROM part"
+_PRICE_TEXTS = "SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN '$' || printf('%.2f', p_retailprice) WHEN 1 THEN replace(printf('%.2f', p_retailprice), '.', ',') || ' €' WHEN 2 THEN '1.' || (100 + p_partkey % 900) || ',50 €' WHEN 3 THEN '1,' || (100 + p_partkey % 900) || '.25' WHEN 4 THEN CAST(p_partkey % 1000 AS VARCHAR) WHEN 5 THEN 'price ' || (p_partkey % 1000) WHEN 6 THEN '-$' || (p_partkey % 1000) ELSE '€' || (10 + p_partkey % 80) || '.000' END AS raw FROM part"
 
 
 def _price_texts(spark, sf_dir) -> DataFrame:
     key, two, three = F.col("p_partkey"), F.format_string("%.2f", "p_retailprice"), (100 + F.col("p_partkey") % 900).cast("string")
     small = (key % 1000).cast("string")
-    forms = [F.concat(F.lit("$"), two), F.concat(F.replace(two, F.lit("."), F.lit(",")), F.lit(" €")), F.concat(F.lit("1."), three, F.lit(",50 €")), F.concat(F.lit("1,"), three, F.lit(".25")), small, F.concat(F.lit("price "), small), F.concat(F.lit("-$"), small), F.lit("€17.000")]
+    forms = [F.concat(F.lit("$"), two), F.concat(F.replace(two, F.lit("."), F.lit(",")), F.lit(" €")), F.concat(F.lit("1."), three, F.lit(",50 €")), F.concat(F.lit("1,"), three, F.lit(".25")), small, F.concat(F.lit("price "), small), F.concat(F.lit("-$"), small), F.concat(F.lit("€"), (10 + key % 80).cast("string"), F.lit(".000"))]
     raw = forms[7]
     for i in range(6, -1, -1):
         raw = F.when(key % 8 == i, forms[i]).otherwise(raw)

@@ -1,4 +1,4 @@
-"""Queries of value functions over written-out texts, and of rules over the tables; each with SQL of its own making."""
+"""Queries of value functions over texts that the parts write, and of rules over the tables; each with SQL of its own making."""
 
 from __future__ import annotations
 
@@ -10,12 +10,19 @@ from brindle.operators import matching, ranking, records
 from brindle.plans.registry import query, table
 
 
-def given(spark: SparkSession, values: list[str | None]) -> DataFrame:
-    """(i, v): a small fixture of written-out texts."""
-    return spark.createDataFrame(list(enumerate(values)), "i int, v string")
+def given(spark: SparkSession, sf_dir: str, values: list[str | None]) -> DataFrame:
+    """(i, v): each part writes the text that its turn is at, with its own size for {n} and its own kind of thing for {w}."""
+    own, key = F.element_at(F.array(*map(F.lit, values)), (F.col("p_partkey") % len(values) + 1).cast("int")), F.col("p_partkey")
+    filled = F.replace(F.replace(own, F.lit("{n}"), F.col("p_size").cast("string")), F.lit("{w}"), F.split_part("p_name", F.lit(" "), F.lit(2)))
+    return table(spark, sf_dir, "part").select(key.alias("i"), filled.alias("v"))
 
 
 def values_sql(values: list[str | None]) -> str:
+    """The same rows in SQL."""
+    return f"(SELECT p_partkey AS i, replace(replace(t.v, '{{n}}', CAST(p_size AS VARCHAR)), '{{w}}', split_part(p_name, ' ', 2)) AS v FROM part JOIN {_numbered(values)} t ON t.i = p_partkey % {len(values)})"
+
+
+def _numbered(values: list[str | None]) -> str:
     rows = ", ".join(f"({i}, {'NULL' if v is None else chr(39) + v.replace(chr(39), chr(39) * 2) + chr(39)})" for i, v in enumerate(values))
     return f"(SELECT i::INTEGER AS i, v::VARCHAR AS v FROM (VALUES {rows}) t(i, v))"
 
@@ -23,6 +30,7 @@ def values_sql(values: list[str | None]) -> str:
 PRICES = [
     "84", "$84", "Rs 310", "Rs. 310", "SEK 7", "now 45", "mrp 9", "19.75", "31,40 kr", "31,4 kr", "8,125", "€23.000", "2.345,60 EUR", "2,345.60", "4.567.890", "-12.50", "- £3", "-USD900.25", "-Rs. 5",
     "+77.10", "3,2,1", "1.22.3", "00450", "only 4 left", "", "  ", None, "free", "from 6", "CHF 1'200", "12..", "$1,000,000",
+    "${n}.50", "€{n}.000", "{n} EUR", "Rs {n}", "{w} {n}", "now {n},9{n}", "-${n}", "{n}.{n}.{n}",
 ]
 
 
@@ -33,10 +41,10 @@ PRICES = [
   WHEN regexp_full_match(n, '[-+]?[0-9]+(\\.[0-9][0-9][0-9])+') THEN replace(n, '.', '') ELSE n END AS c FROM p), d AS (SELECT *, CASE WHEN contains(c, '.') THEN coalesce(nullif(ltrim(split_part(ltrim(c, '+'), '.', 1), '0'), ''), '0') || substr(c, strpos(c, '.')) ELSE coalesce(nullif(ltrim(ltrim(c, '+'), '0'), ''), '0') END AS d FROM c)
  SELECT i, CASE WHEN v IS NULL OR NOT regexp_full_match(ltrim(c, '+'), '[0-9]+(\\.[0-9]+)?') OR s LIKE '-%' THEN NULL WHEN NOT contains(d, '.') AND len(d) <= 3 AND NOT (regexp_matches(s, '[$€£¥₹]') OR len(list_filter(regexp_split_to_array(lower(s), '[^a-z]+'), lambda w: w IN ('cost', 'from', 'mrp', 'msrp', 'now', 'price', 'sale', 'starting', 'rs', {', '.join(repr(c.lower()) for c in prices.CODES)}))) > 0) THEN NULL ELSE d END AS price FROM d""")
 def price_texts(spark, sf_dir) -> DataFrame:
-    return given(spark, PRICES).select("i", prices.decimal_price(F.col("v")).alias("price"))
+    return given(spark, sf_dir, PRICES).select("i", prices.decimal_price(F.col("v")).alias("price"))
 
 
-STATES = ["In Stock", "only 3 left in stock", "Low stock", "oos", "Ready to ship", "https://schema.org/PreOrder", "schema.org/LimitedAvailability/", "Currently Unavailable", "pre-order today", "limited-stock", "YES", "0", "ask in shop", " back-order ", "OutOfStock", "http://schema.org/InStock", "only", "soldout", None, ""]
+STATES = ["In Stock", "only 3 left in stock", "Low stock", "oos", "Ready to ship", "https://schema.org/PreOrder", "schema.org/LimitedAvailability/", "Currently Unavailable", "pre-order today", "limited-stock", "YES", "0", "ask in shop", " back-order ", "OutOfStock", "http://schema.org/InStock", "only", "soldout", None, "", "only {n} left in stock", "{w} sold out", "{n}", "{w} ready to ship"]
 
 
 @query("availability_states", f"""WITH t AS (SELECT i, regexp_replace(trim(v), '\\s+', ' ', 'g') AS s FROM {values_sql(STATES)}),
@@ -45,10 +53,10 @@ STATES = ["In Stock", "only 3 left in stock", "Low stock", "oos", "Ready to ship
  SELECT i, CASE regexp_replace(rtrim(lower(s), '/'), '^(https?://)?schema\\.org/', '') WHEN 'instock' THEN 'in_stock' WHEN 'outofstock' THEN 'out_of_stock' WHEN 'limitedavailability' THEN 'limited_stock' WHEN 'preorder' THEN 'pre_order'
  ELSE CASE WHEN translate(lower(s), '- ', '__') IN ('in_stock', 'out_of_stock', 'limited_stock', 'preorder') THEN translate(lower(s), '- ', '__') WHEN lower(s) IN ('true', '1', 'yes') THEN 'in_stock' WHEN lower(s) IN ('false', '0', 'no') THEN 'out_of_stock' ELSE coalesce(own, s) END END AS state FROM t LEFT JOIN f USING (i)""")
 def availability_states(spark, sf_dir) -> DataFrame:
-    return given(spark, STATES).select("i", prices.availability(F.col("v")).alias("state"))
+    return given(spark, sf_dir, STATES).select("i", prices.availability(F.col("v")).alias("state"))
 
 
-NUMBERS = ["1,234", "1.234,56", "1,234.56", "12", "a 7 b", "", None, "1,2,3", "12,3456", "1.2.3", ".5", "9.", "x", "USD 1 000", "-5", "3e2", " 42 ", "4.99", "-4.99", "+8", "1e400", "1,000 items", "99999999999999999999", "2.675", "4.125", "4.135", "true", "Fully  Remote", "OFFICE"]
+NUMBERS = ["1,234", "1.234,56", "1,234.56", "12", "a 7 b", "", None, "1,2,3", "12,3456", "1.2.3", ".5", "9.", "x", "USD 1 000", "-5", "3e2", " 42 ", "4.99", "-4.99", "+8", "1e400", "1,000 items", "99999999999999999999", "2.675", "4.125", "4.135", "true", "Fully  Remote", "OFFICE", "{n},500", "{n}.25 of {w}", "{n}", "-{n}.75", "{n}e1", "{w}"]
 
 
 @query("loose_numbers", f"""WITH t AS (SELECT i, v, regexp_replace(v, '[^0-9.,]+', '', 'g') AS k FROM {values_sql(NUMBERS)}), p AS (SELECT *, strpos(reverse(k), ',') AS c, strpos(reverse(k), '.') AS d FROM t),
@@ -57,27 +65,27 @@ NUMBERS = ["1,234", "1.234,56", "1,234.56", "12", "a 7 b", "", None, "1,2,3", "1
  SELECT i, CASE WHEN regexp_full_match(n, '[0-9]+\\.?[0-9]*|\\.[0-9]+') THEN n::DOUBLE END AS loose, CASE WHEN regexp_full_match(f, '[-+]?[0-9]+\\.?[0-9]*') THEN try_cast(split_part(f, '.', 1) AS BIGINT) END AS first_int,
  CASE WHEN regexp_full_match(trim(v), '[-+]?[0-9]+') AND try_cast(trim(v) AS BIGINT) IS NOT NULL THEN try_cast(trim(v) AS BIGINT) WHEN regexp_full_match(trim(v), '[-+]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][-+]?[0-9]+)?') THEN coalesce(try_cast(trunc(try_cast(trim(v) AS DOUBLE)) AS BIGINT), 0) ELSE 0 END AS as_int,
  CASE WHEN regexp_full_match(trim(v), '[-+]?[0-9]+(\\.[0-9]+)?') THEN CAST(round_even(try_cast(trim(v) AS DECIMAL(18,6)), 2) AS DOUBLE) END AS rating,
- CASE WHEN regexp_replace(lower(trim(v)), '\\s+', ' ', 'g') IN ('true', 'fully remote') THEN TRUE WHEN lower(trim(v)) = 'office' THEN FALSE END AS remote FROM n""")
+ CASE WHEN regexp_replace(lower(trim(v)), '\\s+', ' ', 'g') IN ('true', 'fully remote', '1') THEN TRUE WHEN lower(trim(v)) = 'office' THEN FALSE END AS remote FROM n""")
 def loose_numbers(spark, sf_dir) -> DataFrame:
     v = F.col("v")
-    return given(spark, NUMBERS).select("i", numbers.loose_float(v).alias("loose"), numbers.first_int(v).alias("first_int"), numbers.as_int(v).alias("as_int"), numbers.rating(v).alias("rating"), numbers.yes_or_no(v).alias("remote"))
+    return given(spark, sf_dir, NUMBERS).select("i", numbers.loose_float(v).alias("loose"), numbers.first_int(v).alias("first_int"), numbers.as_int(v).alias("as_int"), numbers.rating(v).alias("rating"), numbers.yes_or_no(v).alias("remote"))
 
 
-TIMES = ["2024-03-01T10:20:30Z", "2024-03-01T10:20:30+02:00", "2024-03-01T10:20:30.250-05:30", "2024-03-01 10:20", "2024-03-01", "2024-02-30T00:00:00Z", "yesterday", "", None, " 2024-12-31T23:59:59+00:00 "]
+TIMES = ["2024-03-01T10:20:30Z", "2024-03-01T10:20:30+02:00", "2024-03-01T10:20:30.250-05:30", "2024-03-01 10:20", "2024-03-01", "2024-02-30T00:00:00Z", "yesterday", "", None, " 2024-12-31T23:59:59+00:00 ", "2024-03-{n}", "2024-01-01T10:20:30.{n}Z", "{w}"]
 
 
 @query("saved_times", f"""SELECT i, CASE WHEN regexp_full_match(s, '[0-9-]{{10}}([T ].*)?') THEN CASE WHEN regexp_matches(s, ':[0-9.]+(Z|[+-][0-9:]+)$') THEN try_cast(s AS TIMESTAMPTZ) AT TIME ZONE 'UTC' ELSE try_cast(s AS TIMESTAMP) END END AS saved FROM (SELECT i, trim(v) AS s FROM {values_sql(TIMES)})""")
 def saved_times(spark, sf_dir) -> DataFrame:
-    return given(spark, TIMES).select("i", numbers.saved_at(F.col("v")).alias("saved"))
+    return given(spark, sf_dir, TIMES).select("i", numbers.saved_at(F.col("v")).alias("saved"))
 
 
-TOKENS = ["was $30.00 now $24.50", "24,50 € statt 30 €", "USD 15 or eur 14", "15 inr", "just 12", "£ 9", None, "", "AUDIO 5", "price ₹1,200"]
+TOKENS = ["was $30.00 now $24.50", "24,50 € statt 30 €", "USD 15 or eur 14", "15 inr", "just 12", "£ 9", None, "", "AUDIO 5", "price ₹1,200", "${n} then €{n}.10", "{w} {n} USD", "{n} {w}"]
 
 
 @query("price_tokens", f"""SELECT i, CASE WHEN len(a) > 0 THEN a[-1] WHEN len(c) > 0 THEN c[-1] END AS last, CASE WHEN len(a) > 0 THEN a[1] WHEN len(c) > 0 THEN c[1] END AS first FROM (SELECT i,
  regexp_extract_all(v, '[$€£¥₹]\\s*[0-9][0-9.,]*|[0-9][0-9.,]*\\s*[$€£¥₹]') AS a, regexp_extract_all(upper(v), '\\b(?:USD|EUR|GBP|INR|JPY|CAD|AUD)\\b\\s*[0-9][0-9.,]*|[0-9][0-9.,]*\\s*\\b(?:USD|EUR|GBP|INR|JPY|CAD|AUD)\\b') AS c FROM {values_sql(TOKENS)})""")
 def price_tokens(spark, sf_dir) -> DataFrame:
-    return given(spark, TOKENS).select("i", numbers.price_token(F.col("v")).alias("last"), numbers.price_token(F.col("v"), False).alias("first"))
+    return given(spark, sf_dir, TOKENS).select("i", numbers.price_token(F.col("v")).alias("last"), numbers.price_token(F.col("v"), False).alias("first"))
 
 
 RATES = {"USD": 1.0, "EUR": 1.1, "GBP": 1.25, "INR": 0.012}
@@ -89,33 +97,34 @@ def prices_in_dollars(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", prices.amount_usd(F.col("o_totalprice"), code, RATES).alias("usd"))
 
 
-SKUS = ["AB-12", " 77 ", "{\"a\":1}", "a1b2c3d4e5f6a7b8c9d0e1", "abcdefghijklmnopqrstuvwx", "", None, "[x]"]
+SKUS = ["AB-12", " 77 ", "{\"a\":1}", "a1b2c3d4e5f6a7b8c9d0e1", "abcdefghijklmnopqrstuvwx", "", None, "[x]", "{w}-{n}", "draft-{w}{n}", "TMP__10000000{n}00", "test_[{n}]", "copy-", "{w}{w}{w}{w}{w}{n}"]
 
 
-@query("skus_checked", f"""SELECT i, CASE WHEN trim(v) = '' OR left(trim(v), 1) IN ('{{', '[') OR (len(trim(v)) > 20 AND regexp_full_match(trim(v), '[A-Za-z0-9]+') AND regexp_matches(v, '[A-Za-z]') AND regexp_matches(v, '[0-9]')) THEN NULL ELSE trim(v) END AS sku FROM {values_sql(SKUS)}""")
+@query("skus_checked", f"""SELECT i, CASE WHEN c = '' OR left(c, 1) IN ('{{', '[') OR (c <> trim(v) AND len(c) >= 10 AND NOT regexp_matches(c, '[^0-9]')) OR (len(c) > 20 AND regexp_full_match(c, '[A-Za-z0-9]+') AND regexp_matches(c, '[A-Za-z]') AND regexp_matches(c, '[0-9]')) THEN NULL ELSE c END AS sku
+ FROM (SELECT i, v, trim(regexp_replace(trim(v), '(?i)^(copy|draft|tmp|temp|test)[-_]+', '')) AS c FROM {values_sql(SKUS)})""")
 def skus_checked(spark, sf_dir) -> DataFrame:
-    return given(spark, SKUS).select("i", prices.sku(F.col("v")).alias("sku"))
+    return given(spark, sf_dir, SKUS).select("i", prices.sku(F.col("v")).alias("sku"))
 
 
-TITLES = ["My  Account", "Gift cards", "gift card - 20", "Helpful lamp", "Help", "Oak table", "Terms & conditions", "cartoon mug", "", None, "About\tus today"]
+TITLES = ["My  Account", "Gift cards", "gift card - 20", "Helpful lamp", "Help", "Oak table", "Terms & conditions", "cartoon mug", "", None, "About\tus today", "{w} help", "help{w}", "My {w} account", "{w} gift card {n}"]
 
 
 @query("utility_titles", f"""SELECT i, coalesce(bool_or(regexp_matches(regexp_replace(lower(trim(v)), '\\s+', ' ', 'g'), '(^|[^a-z0-9])' || p || '([^a-z0-9]|$)')), FALSE) AS utility FROM {values_sql(TITLES)}, (SELECT unnest([{", ".join(repr(x) for x in text.UTILITY_TITLES)}]) AS p) GROUP BY i""")
 def utility_titles(spark, sf_dir) -> DataFrame:
-    return given(spark, TITLES).select("i", text.utility_title(F.col("v")).alias("utility"))
+    return given(spark, sf_dir, TITLES).select("i", text.utility_title(F.col("v")).alias("utility"))
 
 
-LINKS = ["a.html", "../x/y?z=1#f", "/root/./p/../q", "//cdn.example.net/i.png", "?page=2", "#part", "https://other.example/a b", "../../../up", "./", "", "mailto:a@b.example", "deep/er/.."]
+LINKS = ["a.html", "../x/y?z=1#f", "/root/./p/../q", "//cdn.example.net/i.png", "?page=2", "#part", "https://other.example/a b", "../../../up", "./", "", "mailto:a@b.example", "deep/er/..", "{w}/{n}.html", "../{w}?n={n}", "www.{w}.example/{n}", "{w}.com", "/{w}/../{n}"]
 BASE = "https://shop.example.com/en/list/page.html?sort=up#top"
 
 
 @query("links_resolved", f"""WITH t AS (SELECT i, v, regexp_extract(v, '^[^?#]*') AS p FROM {values_sql(LINKS)}), m AS (SELECT i, v, p, CASE WHEN p LIKE '/%' THEN p ELSE '/en/list/' || p END AS m FROM t),
  d AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(replace(replace(m || '/', '/./', '/'), '/./', '/'), '/[^/.]+/\\.\\./', '/'), '/[^/.]+/\\.\\./', '/'), '^(/\\.\\.)+/', '/') AS d FROM m)
- SELECT i, CASE WHEN v = '' THEN '' WHEN regexp_matches(v, '^[a-z]+:') THEN v WHEN v LIKE '//%' THEN 'https:' || v WHEN v LIKE '#%' THEN 'https://shop.example.com/en/list/page.html?sort=up' || v WHEN v LIKE '?%' THEN 'https://shop.example.com/en/list/page.html' || v
- ELSE 'https://shop.example.com' || CASE WHEN m LIKE '%/' OR m LIKE '%/..' OR m LIKE '%/.' THEN d.d[:len(d.d) - CASE WHEN m LIKE '%/' AND d.d LIKE '%//' THEN 1 ELSE 0 END] ELSE d.d[:len(d.d) - 1] END || v[len(p) + 1:] END AS url, regexp_matches(v, '^(//cdn|https://other)') = FALSE AND NOT v LIKE 'mailto:%' AND v <> '' AS same_site FROM d""")
+ SELECT i, CASE WHEN v = '' THEN '' WHEN regexp_matches(v, '^[a-z]+:') THEN v WHEN v LIKE '//%' THEN 'https:' || v WHEN regexp_matches(v, '^(www\\.[^/]+\\.|[^/.]+\\.com$)') THEN 'https://' || v WHEN v LIKE '#%' THEN 'https://shop.example.com/en/list/page.html?sort=up' || v WHEN v LIKE '?%' THEN 'https://shop.example.com/en/list/page.html' || v
+ ELSE 'https://shop.example.com' || CASE WHEN m LIKE '%/' OR m LIKE '%/..' OR m LIKE '%/.' THEN d.d[:len(d.d) - CASE WHEN m LIKE '%/' AND d.d LIKE '%//' THEN 1 ELSE 0 END] ELSE d.d[:len(d.d) - 1] END || v[len(p) + 1:] END AS url, regexp_matches(v, '^(//cdn|https://other|www|[^/.]+\\.com$)') = FALSE AND NOT v LIKE 'mailto:%' AND v <> '' AS same_site FROM d""")
 def links_resolved(spark, sf_dir) -> DataFrame:
     url = urls.absolute_url(F.lit(BASE), F.col("v"))
-    return given(spark, LINKS).select("i", url.alias("url"), F.coalesce(urls.same_host(F.lit(BASE), url) & (F.trim("v") != "") & ~F.col("v").startswith("mailto:"), F.lit(False)).alias("same_site"))
+    return given(spark, sf_dir, LINKS).select("i", url.alias("url"), F.coalesce(urls.same_host(F.lit(BASE), url) & (F.trim("v") != "") & ~F.col("v").startswith("mailto:"), F.lit(False)).alias("same_site"))
 
 
 @query("pasted_targets", f"""WITH t AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN '  ' || replace(url, '&', '&amp;') || ' ' WHEN 1 THEN url || ' ' || url WHEN 2 THEN url ELSE '   ' END AS v FROM pages), u AS (SELECT page_id, replace(trim(v), '&amp;', '&') AS url FROM t)
@@ -126,12 +135,12 @@ def pasted_targets(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", urls.target_url(pasted).alias("target"))
 
 
-HOSTS = ["www.amazon.de", "smile.amazon.co.uk", "badamazon.com", "etsy.com", "shop.northwind.example", "northwind.example", "compare.example", "big.store.example", "notetsy.com", "", "Flipkart.com"]
+HOSTS = ["www.amazon.de", "smile.amazon.co.uk", "badamazon.com", "etsy.com", "shop.northwind.example", "northwind.example", "compare.example", "big.store.example", "notetsy.com", "", "Flipkart.com", "{w}.northwind.example", "{w}.example", "{w}.store.example", "{w}etsy.com"]
 
 
 @query("source_types", f"""SELECT i, CASE WHEN h = 'northwind.example' OR h LIKE '%.northwind.example' THEN 'brand_dtc' WHEN regexp_matches(h, '(^|\\.)({"|".join(x.replace(".", chr(92) + ".") for x in urls.MARKETPLACES)})$') THEN 'marketplace' WHEN regexp_matches(h, '(^|\\.)compare\\.example$') THEN 'aggregator' WHEN regexp_matches(h, '(^|\\.)store\\.example$') THEN 'retailer' ELSE 'unknown' END AS kind FROM (SELECT i, regexp_replace(lower(v), '^www\\.', '') AS h FROM {values_sql(HOSTS)})""")
 def source_types(spark, sf_dir) -> DataFrame:
-    return given(spark, HOSTS).select("i", urls.source_type(F.col("v"), F.lit("northwind.example"), ["compare.example"], ["store.example"]).alias("kind"))
+    return given(spark, sf_dir, HOSTS).select("i", urls.source_type(F.col("v"), F.lit("northwind.example"), ["compare.example"], ["store.example"]).alias("kind"))
 
 
 @query("verdicts_of_urls", """SELECT o_orderkey, CASE WHEN n > 0 THEN CASE WHEN blocked THEN 'partial' ELSE 'success' END WHEN blocked THEN 'blocked' WHEN listing THEN 'listing_detection_failed' ELSE 'empty' END AS verdict FROM (SELECT o_orderkey, o_orderkey % 2 = 0 AS listing, o_orderstatus = 'P' AS blocked, coalesce(n, 0) AS n FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON o_orderkey = l_orderkey)""")
@@ -144,7 +153,7 @@ def verdicts_of_urls(spark, sf_dir) -> DataFrame:
 STATUSES = ["pending", "running", "paused", "completed", "killed", "failed", "proxy_exhausted", "Cancelled", "degraded", "odd"]
 
 
-@query("transitions_checked", f"""WITH s AS (SELECT * FROM {values_sql(STATUSES)}), n AS (SELECT i, CASE lower(v) WHEN 'cancelled' THEN 'killed' WHEN 'degraded' THEN 'failed' WHEN 'odd' THEN NULL ELSE lower(v) END AS v FROM s),
+@query("transitions_checked", f"""WITH s AS (SELECT * FROM {_numbered(STATUSES)}), n AS (SELECT i, CASE lower(v) WHEN 'cancelled' THEN 'killed' WHEN 'degraded' THEN 'failed' WHEN 'odd' THEN NULL ELSE lower(v) END AS v FROM s),
  e AS (SELECT event_id, a.v AS a, b.v AS b FROM events JOIN n a ON a.i = event_id % 10 JOIN n b ON b.i = user_id % 10)
  SELECT a AS current, b AS target, count(*) AS n, coalesce(a = b OR (a || '>' || b) IN ('pending>running', 'pending>killed', 'running>paused', 'running>completed', 'running>killed', 'running>failed', 'running>proxy_exhausted', 'paused>running', 'paused>killed'), FALSE) AS legal FROM e GROUP BY a, b""")
 def transitions_checked(spark, sf_dir) -> DataFrame:
@@ -157,16 +166,16 @@ def _listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     return table(spark, sf_dir, "part").select(
         key.alias("id"), F.col("p_brand").alias("page"), (key % 4).cast("int").alias("set"), (key * 7 % 31 - 4).cast("int").alias("score"), (key % 3 == 0).alias("supported"),
-        (key % 5 < 2).alias("detail_like"), (key % 11 == 0).alias("utility"), (key % 2 == 0).alias("merchandise"), (key % 7 == 0).alias("job"),
+        (key % 5 < 2).alias("detail_like"), (key % 11 == 0).alias("utility"), (key % 2 == 0).alias("detail_merchandise"), (key % 13 < 5).alias("fallback_merchandise"), (key % 7 == 0).alias("job"),
     )
 
 
-_LISTINGS = "SELECT p_partkey AS id, p_brand AS page, CAST(p_partkey % 4 AS INTEGER) AS set, CAST(p_partkey * 7 % 31 - 4 AS INTEGER) AS score, p_partkey % 3 = 0 AS supported, p_partkey % 5 < 2 AS detail_like, p_partkey % 11 = 0 AS utility, p_partkey % 2 = 0 AS merchandise, p_partkey % 7 = 0 AS job FROM part"
+_LISTINGS = "SELECT p_partkey AS id, p_brand AS page, CAST(p_partkey % 4 AS INTEGER) AS set, CAST(p_partkey * 7 % 31 - 4 AS INTEGER) AS score, p_partkey % 3 = 0 AS supported, p_partkey % 5 < 2 AS detail_like, p_partkey % 11 = 0 AS utility, p_partkey % 2 = 0 AS detail_merchandise, p_partkey % 13 < 5 AS fallback_merchandise, p_partkey % 7 = 0 AS job FROM part"
 
 
-@query("listings_dropped", f"""SELECT id, CASE WHEN utility AND (NOT detail_like OR score < 10) THEN TRUE WHEN NOT supported AND NOT job AND NOT merchandise THEN TRUE WHEN NOT supported AND NOT detail_like AND score < 10 THEN TRUE ELSE score < 0 END AS dropped FROM ({_LISTINGS})""")
+@query("listings_dropped", f"""SELECT id, CASE WHEN score < 0 THEN TRUE WHEN detail_like THEN (utility AND score < 10) OR NOT (supported OR job OR detail_merchandise) ELSE utility OR NOT (supported OR (score >= 10 AND (job OR fallback_merchandise))) END AS dropped FROM ({_LISTINGS})""")
 def listings_dropped(spark, sf_dir) -> DataFrame:
-    return _listings(spark, sf_dir).select("id", ranking.dropped(*map(F.col, ("score", "supported", "detail_like", "utility", "merchandise", "job"))).alias("dropped"))
+    return _listings(spark, sf_dir).select("id", ranking.dropped(*map(F.col, ("score", "supported", "detail_like", "utility", "detail_merchandise", "fallback_merchandise", "job"))).alias("dropped"))
 
 
 @query("best_listing_sets", f"""WITH s AS (SELECT page, set, count(*) FILTER (score >= 18) AS strong, count(*) FILTER (supported) AS supported, count(*) FILTER (detail_like) AS detail_like, count(*) FILTER (NOT utility) AS clean, CAST(round_even(sum(score) / count(*) * 100, 0) AS BIGINT) AS mean, -count(*) FILTER (utility) AS utility, CAST(sum(score) AS BIGINT) AS total FROM ({_LISTINGS}) GROUP BY page, set)

@@ -1,9 +1,10 @@
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.functions import prices, text, urls
+from brindle.functions import numbers, prices, text, urls
 from brindle.operators import folds, matching, records
 from brindle.sources import pages
 
@@ -12,12 +13,33 @@ def one(spark, column, value):
     return spark.createDataFrame([(value,)], "v string").select(column(F.col("v")).alias("r")).first()["r"]
 
 
-@pytest.mark.parametrize(
-    ("raw", "price"),
-    [("84", None), ("£84", "84"), ("Rs. 310", "310"), ("Rs 310", "310"), ("SEK 7", "7"), ("only 4", None), ("19.75", "19.75"), ("31,40 kr", "31.40"), ("8,125", "8125"), ("€23.000", "23000"), ("2.345,60 €", "2345.60"), ("2,345.60", "2345.60"), ("4.567.890", "4567890"), ("3,2,1 $", "32.1"), ("1.22.3", None), ("-USD900.25", None), ("- £3", None), ("", None), (None, None), ("ask", None)],
-)
-def test_decimal_price(spark, raw, price):
-    assert one(spark, prices.decimal_price, raw) == price
+def priced(seed=11, n=60):
+    """Amounts written in every notation, with and without a mark of money, and what each must give."""
+    rng = random.Random(seed)
+    for _ in range(n):
+        whole, cents = rng.randrange(10 ** rng.randrange(1, 8)), rng.randrange(100)
+        plain, english = f"{whole}.{cents:02d}", f"{whole:,}.{cents:02d}"
+        swapped = english.translate(str.maketrans(",.", ".,"))
+        fractions = {english: plain, swapped: plain, f"{whole},{cents:02d}": plain, plain: plain, f"000{plain}": plain, f"{whole},{cents % 10}": f"{whole}.{cents % 10}"}
+        wholes = {str(whole), f"{whole:,}", f"{whole:,}".replace(",", ".")}
+        mark = rng.choice(["{} " + rng.choice(prices.CODES), rng.choice(list(prices.SIGNS)) + "{}", rng.choice(prices.BESIDE_PRICES) + " {}", "Rs. {}", "{}" + rng.choice(list(prices.SIGNS))])
+        for text, want in [*fractions.items(), *((w, str(whole)) for w in wholes)]:
+            small = "." not in want and len(want) <= 3
+            yield mark.format(text), want
+            yield f"  {mark.format(text)}\t", want
+            yield text, None if small else want
+            yield f"+{text}", None if small else want
+            yield f"{text},", None if small else want
+            yield f"-{text}", None
+            yield f"- {rng.choice(list(prices.SIGNS))} {text}", None
+            yield f"-{rng.choice(prices.CODES)}{text}", None
+
+
+def test_decimal_price(spark):
+    given = [*priced(), *((x, None) for x in ("", " ", None, "word", "$", "$1.2.3", "$1,2.3.4", "€1.2,3,4")), ("$7,8,9", "78.9"), ("$.50", "50")]
+    got = spark.createDataFrame([(i, raw) for i, (raw, _) in enumerate(given)], "i int, v string").select("i", prices.decimal_price(F.col("v")).alias("p")).collect()
+    wrong = [(given[r["i"]], r["p"]) for r in got if r["p"] != given[r["i"]][1]]
+    assert not wrong and len(got) == len(given)
 
 
 @pytest.mark.parametrize(("raw", "state"), [("http://schema.org/OutOfStock/", "out_of_stock"), ("schema.org/PreOrder", "pre_order"), ("only 2 left in stock", "limited_stock"), ("Low Stock", "limited_stock"), ("oos", "out_of_stock"), ("ready to ship now", "in_stock"), ("Unavailable today", "out_of_stock"), ("no", "out_of_stock"), ("back-order", "preorder"), ("next week", "next week"), (None, None)])
@@ -133,3 +155,64 @@ def test_whole_match_rule(spark):
         score = 0.34 * title + 0.24 + 0.25 * same + 0.05 * near + (0.12 if c["p_type"] == "PROMO" else 0.04)
         assert r["score"] == pytest.approx(score, abs=1e-4)
         assert r["label"] == ("high" if r["score"] >= 0.85 else "medium" if r["score"] >= 0.6 else "low" if r["score"] >= 0.4 else "uncertain")
+
+
+def each(spark, column, values):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").select("i", column(F.col("v")).alias("r")).collect()
+    return {values[r["i"]]: r["r"] for r in rows}
+
+
+def test_stock_codes(spark):
+    given = {"AB-1": "AB-1", " x ": "x", "Draft-77": "77", "tmp__a1": "a1", "test-1234567890": None, "1234567890": "1234567890", "copy-": None, "{a}": None, "draft_[1]": None, "a1" * 11: None, "a1" * 10: "a1" * 10, "a-" * 11: "a-" * 11, "": None, None: None}
+    assert each(spark, prices.sku, list(given)) == given
+
+
+def test_marked_brands(spark):
+    given = {"Acme™ chair": "Acme™", "® Acme chair": "®Acme", "™Acme big": "™Acme", "™": None, "a ® b ™": "a ®", "one two three four five six seven® x": None, "plain": None, " ": None, None: None}
+    assert each(spark, text.marked_brand, list(given)) == given
+
+
+def test_resolved_links(spark):
+    base = "https://shop.example.com/en/list/page.html?sort=up#top"
+    given = {"www.other.example/x": "https://www.other.example/x", "other.com": "https://other.com", "Other.CO.uk/a?b": "https://Other.CO.uk/a?b", "page.html": "https://shop.example.com/en/list/page.html", "a/b.com": "https://shop.example.com/en/list/a/b.com", "../com": "https://shop.example.com/en/com", "": ""}
+    assert each(spark, lambda c: urls.absolute_url(F.lit(base), c), list(given)) == given
+
+
+@pytest.mark.parametrize("column", ["loose", "first", "whole"])
+def test_lenient_numbers(spark, column):
+    given = {
+        "1.234,5": (1234.5, 1, 0), "1,234.5": (1234.5, 1234, 0), "12,5": (12.5, 125, 0), "12,345": (12.345, 12345, 0), "7": (7.0, 7, 7), "-7.9": (7.9, -7, -7), "a 3 b 4": (34.0, 3, 0), "1e2": (12.0, 1, 100), "": (None, None, 0), "x": (None, None, 0), None: (None, None, 0),
+        "9" * 25: (1e25, None, 0),
+    }
+    at, f = {"loose": (0, numbers.loose_float), "first": (1, numbers.first_int), "whole": (2, numbers.as_int)}[column]
+    assert each(spark, f, list(given)) == {k: v[at] for k, v in given.items()}
+
+
+def test_salaries(spark):
+    given = {'{"currency":"USD","value":{"minValue":1,"maxValue":2,"unitText":"HOUR"}}': "USD 1 - 2 HOUR", '{"value":{"value":"5"}}': "5", '{"salaryCurrency":"EUR","value":"9"}': "EUR 9", '{"currency":"CHF"}': None, "{broken": None, None: None}
+    assert each(spark, prices.salary_text, list(given)) == given
+
+
+def test_dropped_equals_the_rule_read_out(spark):
+    """Every combination of flags, at scores around the borders."""
+    from itertools import product
+
+    from brindle.operators import ranking
+
+    names = ("supported", "detail_like", "utility", "detail_merchandise", "fallback_merchandise", "job")
+    rows = [(score, *flags) for score in (-1, 0, 9, 10, 30) for flags in product([False, True], repeat=len(names))]
+    got = spark.createDataFrame(rows, "score int, " + ", ".join(f"{n} boolean" for n in names)).withColumn("r", ranking.dropped(F.col("score"), *map(F.col, names))).collect()
+    for r in got:
+        reasons = [
+            r["score"] < 0, r["utility"] and (r["score"] < 10 or not r["detail_like"]),
+            not r["supported"] and not r["job"] and not (r["detail_merchandise"] if r["detail_like"] else r["fallback_merchandise"]), not r["supported"] and not r["detail_like"] and r["score"] < 10,
+        ]
+        assert r["r"] == any(reasons), r
+
+
+def test_rows_without_a_key_stay(spark):
+    from brindle.operators import jobs
+
+    rows = [(None, 1, "a", None), (None, 2, "b", None), (None, 3, "a", None), ("k", 1, "", "x"), ("k", 2, "c", "y")]
+    got = jobs.merged_in_order(spark.createDataFrame(rows, "k string, o int, f string, g string"), "k", ["o"], ["f", "g"]).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(None, "a", None), (None, "b", None), ("k", "c", "x")], key=repr)
