@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.operators import candidates as json_values
+from brindle.operators import variants
 from brindle.plans.registry import query, table
 from brindle.sources import markup, states
 
@@ -120,3 +121,43 @@ def payload_best_fields(spark, sf_dir) -> DataFrame:
     )
     payloads = table(spark, sf_dir, "part").select("p_partkey", each.alias("p")).select("p_partkey", "p.*")
     return json_values.best_fields(json_values.payload_fields(payloads, "p_partkey"), "p_partkey")
+
+
+def _variants(spark, sf_dir) -> DataFrame:
+    """Line items as variants of their parts: some with both options, one, or none; skus that go on a shorter one."""
+    q = F.col("l_linenumber")
+    size, color = F.when(q % 4 != 3, (F.col("l_quantity") % 3).cast("int").cast("string")), F.when(q % 4 != 2, F.col("l_returnflag"))
+    none = F.lit(None).cast("string")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("product"), (F.col("l_orderkey") * 10 + q).alias("variant"), F.create_map(F.lit("size"), F.when(q != 7, size), F.lit("color"), F.when(q != 7, color)).alias("options"),
+        F.when(q % 2 == 0, F.concat(F.lit("S"), (F.col("l_suppkey") % 4).cast("string"))).when(q == 1, F.concat(F.lit("s"), (F.col("l_suppkey") % 4).cast("string"), F.lit("-"), size)).alias("sku"),
+        *(none.alias(c) for c in ("availability", "currency", "image_url", "price", "stock", "title", "url")), *(none.alias(f"parent_{c}") for c in ("title", "price", "currency")), F.lit("N").alias("parent_color"),
+    )
+
+
+_VARIANTS = """v AS (SELECT l_partkey AS product, l_orderkey * 10 + l_linenumber AS variant, CASE WHEN l_linenumber <> 7 AND l_linenumber % 4 <> 3 THEN CAST(CAST(l_quantity AS BIGINT) % 3 AS VARCHAR) END AS size, CASE WHEN l_linenumber <> 7 AND l_linenumber % 4 <> 2 THEN l_returnflag END AS color,
+ CASE WHEN l_linenumber % 2 = 0 THEN 's' || l_suppkey % 4 WHEN l_linenumber = 1 THEN 's' || l_suppkey % 4 || '-' || CAST(l_quantity AS BIGINT) % 3 END AS sku FROM lineitem)"""
+
+
+@query("variants_undominated", f"""WITH {_VARIANTS}, g AS (SELECT product, size, count(color) AS colored FROM v WHERE size IS NOT NULL GROUP BY 1, 2), h AS (SELECT product, color, count(size) AS sized FROM v WHERE color IS NOT NULL GROUP BY 1, 2)
+ SELECT v.product, v.variant FROM v LEFT JOIN g ON g.product = v.product AND g.size = v.size LEFT JOIN h ON h.product = v.product AND h.color = v.color
+ WHERE (v.size IS NULL AND v.color IS NULL) OR (v.size IS NOT NULL AND v.color IS NOT NULL) OR (v.color IS NULL AND colored = 0) OR (v.size IS NULL AND sized = 0)""")
+def variants_undominated(spark, sf_dir) -> DataFrame:
+    """Variants whose options no other variant of the part has and more."""
+    return variants.without_dominated(_variants(spark, sf_dir)).select("product", "variant")
+
+
+@query("variants_of_options", f"""WITH {_VARIANTS}, s AS (SELECT product, count(DISTINCT coalesce(size, '-') || '|' || coalesce(color, '-')) FILTER (size IS NOT NULL OR color IS NOT NULL) AS kinds FROM v GROUP BY product),
+ a AS (SELECT v.* FROM v JOIN s USING (product) WHERE size IS NOT NULL OR color IS NOT NULL OR kinds = 0 OR (kinds = 1 AND sku IS NOT NULL)),
+ c AS (SELECT product, count(size) AS sized, count(*) FILTER (size IS NOT NULL AND color IS NOT NULL) AS paired, count(*) FILTER (size IS NULL AND color <> 'N') AS unlike FROM a GROUP BY product)
+ SELECT product, variant FROM a JOIN c USING (product) WHERE NOT (color IS NOT NULL AND size IS NULL AND paired = 0 AND sized >= 2 AND unlike = 0)""")
+def variants_of_options(spark, sf_dir) -> DataFrame:
+    """Variants without options beside others with, and colours beside sizes, go."""
+    return variants.without_colour_only(variants.without_axisless(_variants(spark, sf_dir))).select("product", "variant")
+
+
+@query("variant_sku_aliases", f"""WITH {_VARIANTS}, r AS (SELECT *, (size IS NOT NULL)::INT + (color IS NOT NULL)::INT + 1 AS rich FROM v WHERE sku IS NOT NULL)
+ SELECT product, variant FROM v WHERE NOT EXISTS (SELECT 1 FROM r p JOIN r c ON c.product = p.product AND c.sku = p.sku || '-' || p.size AND c.rich >= p.rich WHERE p.product = v.product AND p.variant = v.variant)""")
+def variant_sku_aliases(spark, sf_dir) -> DataFrame:
+    """Variants whose sku is the parent's of another that has their size go."""
+    return variants.without_parent_skus(_variants(spark, sf_dir)).select("product", "variant")
