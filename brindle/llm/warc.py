@@ -16,8 +16,8 @@ COPIES = 100
 def records(pages: DataFrame, files: int | None = None) -> DataFrame:
     """(page_id, file, record): each page as a WARC 1.0 response record; a null url or html counts as empty.
 
-    Pages go to files by page_id modulo ``files`` (by default about ``FILE`` records each); those without an id, or
-    with one that more than ``COPIES`` share, by a hash of the record. Only exact copies of such a record share a file.
+    Pages go to files by a hash of page_id (by default about ``FILE`` records each), so ids with a stride are dealt evenly too; those
+    without an id, or with one that more than ``COPIES`` share, by a hash of the record. Only exact copies of such a record share a file.
     """
     if files is None:
         files = max(1, -(-pages.count() // FILE))
@@ -32,7 +32,8 @@ def records(pages: DataFrame, files: int | None = None) -> DataFrame:
     own = F.col("page_id")
     if not shared.isEmpty():  # at most one id in COPIES rows
         rows, own = rows.join(F.broadcast(shared), "page_id", "left"), F.when(F.col("_shared").isNull(), own)
-    file = F.pmod(F.coalesce(own, F.xxhash64("record")), F.lit(files)).cast("int")
+    hashed = F.conv(F.left(F.md5(own.cast("string")), F.lit(8)), 16, 10).cast("long")
+    file = F.pmod(F.coalesce(hashed, F.xxhash64("record")), F.lit(files)).cast("int")
     return rows.select("page_id", file.alias("file"), "record")
 
 
@@ -50,16 +51,17 @@ def layout(rows: DataFrame) -> DataFrame:
 
 
 def trees(leaves: DataFrame, levels: int = LEVELS) -> list[DataFrame]:
-    """The levels (file, position, hash, start, end) over the leaves, the lowest first; the last holds a root a file."""
+    """The levels (file, position, hash, start, end) over the leaves, the lowest first, each a written table; the last holds a root a file."""
     below = leaves.select("file", "position", "hash", "start", (F.col("start") + F.col("length")).alias("end"))
     out = []
     for level in range(1, levels + 1):
         parent = F.lit(0).cast("long") if level == levels else F.floor(F.col("position") / FANOUT)
-        below = (
+        below = written(
             below.withColumn("position_", parent)
             .groupBy("file", "position_")
             .agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "hash"))), lambda x: x["hash"]), ""), 256).alias("hash"), F.min("start").alias("start"), F.max("end").alias("end"))
-            .withColumnRenamed("position_", "position")
+            .withColumnRenamed("position_", "position"),
+            "tree",
         )
         out.append(below)
     return out
@@ -80,13 +82,13 @@ def audit(a: DataFrame, b: DataFrame, levels: int = LEVELS) -> DataFrame:
     ``a``, null of extra ones.
     """
     levels_a, levels_b = trees(a, levels), trees(b, levels)
-    branches = _unlike(levels_a[-1], levels_b[-1])
+    branches = written(_unlike(levels_a[-1], levels_b[-1]), "unlike")
     for level in range(levels - 2, -2, -1):
         below = [x[level] if level >= 0 else leaves for x, leaves in ((levels_a, a), (levels_b, b))]
         parent = F.lit(0).cast("long") if level == levels - 2 else F.floor(F.col("position") / FANOUT)
         chosen = branches.withColumnRenamed("position", "_parent")
         below = [x.withColumn("_parent", parent).join(chosen, ["file", "_parent"], "left_semi") for x in below]
-        branches = _unlike(*below)
+        branches = written(_unlike(*below), "unlike")
     nth = F.row_number().over(Window.partitionBy("file", "page_id").orderBy("position"))
     sides = [x.join(branches, ["file", "position"], "left_semi").withColumn("nth", nth).select("file", "page_id", "nth", "position", F.col("start").alias(f"start_{n}"), F.col("record_sha256").alias(f"sha_{n}")) for x, n in ((a, "a"), (b, "b"))]
     x, y = sides[0].alias("x"), sides[1].alias("y")
@@ -112,7 +114,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = """
 WITH n AS (SELECT greatest(1, CAST(ceil(count(*) / 1000.0) AS BIGINT)) AS files FROM pages),
-r AS (SELECT page_id, CAST(page_id % n.files AS INTEGER) AS file,
+r AS (SELECT page_id, CAST(CAST('0x' || left(md5(CAST(page_id AS VARCHAR)), 8) AS BIGINT) % n.files AS INTEGER) AS file,
   'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
   || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html)
   || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM pages, n),

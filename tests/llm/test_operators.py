@@ -532,8 +532,10 @@ def test_audit_finds_each_damage(spark):
     assert warc.audit(a, a).count() == 0
     bad = intact.where("coalesce(page_id, 0) <> 200").selectExpr("page_id", "file", "CASE WHEN page_id = 7 THEN replace(record, '7', '8') ELSE record END AS record")
     found = {r["page_id"]: r["status"] for r in warc.audit(a, common.written(warc.layout(bad), "b")).collect()}
-    assert found[7] == "corrupt" and found[200] == "missing" and set(found) == {7, 200, *range(203, 300, 3)}
-    assert all(found[i] == "moved" for i in range(203, 300, 3))
+    file = {r["page_id"]: r["file"] for r in intact.collect()}
+    behind = [i for i in range(201, 300) if file[i] == file[200]]  # a lost record moves those behind it in its file
+    assert len(behind) > 20 and found[7] == "corrupt" and found[200] == "missing" and set(found) == {7, 200, *behind}
+    assert all(found[i] == "moved" for i in behind)
     assert warc.layout(warc.records(pages.limit(0))).count() == 0
 
 
