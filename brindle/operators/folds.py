@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.operators import prefix
@@ -43,9 +43,16 @@ def merge_summaries(parts: DataFrame, key: str, expected: int) -> DataFrame:
 def paced(rows: DataFrame, key: str, order: str, now: str, apart: int) -> DataFrame:
     """(key, order, slot, wait): each request's slot, at least ``apart`` after the one before of its key and not before ``now``.
 
-    slot_n = max(now_n, slot_(n-1) + apart) unrolls to apart * n + max over k <= n of (now_k - apart * k), a running maximum.
+    slot_n = max(now_n, slot_(n-1) + apart) unrolls to apart * n + max over k <= n of (now_k - apart * k), a running maximum. It is
+    taken within blocks by the place there, and carried on by block: rows are blocked and shuffled once.
     """
-    numbered = prefix.running(rows, key, [order], {"_n": (prefix.SUM, F.lit(1))})
-    most = prefix.running(numbered, key, [order], {"_most": (prefix.MAX, F.col(now) - apart * F.col("_n"))})
-    slot = F.col("_most") + apart * F.col("_n")
-    return most.select(key, order, slot.alias("slot"), (slot - F.col(now)).alias("wait"))
+    own = Window.partitionBy(key, "_block").orderBy(order)
+    dealt = prefix.in_blocks(rows, F.col(order)).withColumn("_n", F.row_number().over(own)).withColumn("_free", F.col(now) - apart * F.col("_n"))
+    blocks = dealt.groupBy(F.col(key).alias("_key"), F.col("_block").alias("_at")).agg(F.count("*").alias("_rows"), F.max("_free").alias("_most"))
+    past = Window.partitionBy("_key").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_rows").over(past), F.lit(0)))
+    blocks = blocks.select("_key", "_at", "_before", F.max(F.col("_most") - apart * F.col("_before")).over(past).alias("_carried"))
+    met = dealt.join(blocks, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_at")))
+    most = F.greatest("_carried", F.max("_free").over(own) - apart * F.col("_before"))
+    slot = most + apart * (F.col("_before") + F.col("_n"))
+    return met.select(key, order, slot.alias("slot"), (slot - F.col(now)).alias("wait"))

@@ -23,6 +23,13 @@ def block_of(place: Column, cuts: Sequence[float]) -> Column:
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda low, s: F.when(F.get(array, low + s - 1) <= place, low + s).otherwise(low))
 
 
+def in_blocks(rows: DataFrame, place: Column) -> DataFrame:
+    """``rows`` with ``_block``, cut at quantiles of ``place`` over all of them into as many blocks as there are shuffle partitions."""
+    n, place = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), place.cast("double")
+    cuts = rows.select(place.alias("place")).approxQuantile("place", [i / n for i in range(1, n)], 0.25 / n) if n > 1 else []
+    return rows.withColumn("_block", block_of(place, sorted(set(cuts))))
+
+
 def running(rows: DataFrame, key: str, order: Sequence[str], folds: Mapping[str, tuple[str, Column]], place: Column | None = None) -> DataFrame:
     """``rows`` with a column for each of ``folds`` (name: (kind, values)), folded along ``order`` within ``key``.
 
@@ -32,10 +39,7 @@ def running(rows: DataFrame, key: str, order: Sequence[str], folds: Mapping[str,
     the order. Each block of a key is folded on its own and starts from what the key's blocks before it carry: one
     row a key and block. Null values add nothing to sums; a sum over none is 0. Null keys are a key of their own, null places come first.
     """
-    place = (F.col(order[0]) if place is None else place).cast("double")
-    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = rows.select(place.alias("place")).approxQuantile("place", [i / n for i in range(1, n)], 0.25 / n) if n > 1 else []
-    dealt = rows.withColumns({f"_in_{name}": value for name, (_, value) in folds.items()} | {"_block": block_of(place, sorted(set(cuts)))})
+    dealt = in_blocks(rows.withColumns({f"_in_{name}": value for name, (_, value) in folds.items()}), F.col(order[0]) if place is None else place)
     total = {SUM: F.sum, MAX: F.max, MAX_BEFORE: F.max, PREVIOUS: lambda v: F.max_by(v, F.struct(*order))}
     blocks = dealt.groupBy(F.col(key).alias("_key"), F.col("_block").alias("_at")).agg(*(total[kind](f"_in_{name}").alias(f"_total_{name}") for name, (kind, _) in folds.items()))
     line = Window.partitionBy("_key").orderBy("_at")
