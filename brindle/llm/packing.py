@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
 from array import array
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +20,12 @@ from brindle.llm.common import claim, ranked, table, written
 
 #: Distinct words a worker keeps ids of, before it starts anew.
 WORDS = 150_000
-#: Nodes the branch and bound may open; beyond them the best packing so far stands.
-NODES = 2_000
-#: Fillings tried at a node.
-WIDTH = 4
+#: Fillings the branch and bound may look at after its first dive; beyond them the best packing so far stands.
+STEPS = 60_000
+#: Of these, the most that one search over a few bins takes.
+REPACK = 200
+#: Frames of a search that keep the sums they reach.
+KEPT = 32
 
 #: Texts of these characters only have one reading of letters, case and white space in every library.
 _PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7eÀ-ÖØ-öø-ÿ]*")
@@ -103,132 +109,222 @@ def token_pieces(docs: DataFrame, tokenizer: str, limit: int = 4096, end_id: int
 def least_bins(counts: np.ndarray) -> int:
     """A lower bound on bins (Martello and Toth's L2); counts[l] items of length l, len(counts) - 1 the capacity."""
     cap = len(counts) - 1
-    lengths = np.arange(cap + 1)
-    number, size = np.cumsum(counts), np.cumsum(counts * lengths)
+    number, size = np.cumsum(counts), np.cumsum(counts * np.arange(cap + 1))
     best = -(-int(size[-1]) // cap)
-    for a in range(1, cap // 2 + 1):
-        large = int(number[-1] - number[cap - a])
-        middle_n = int(number[cap - a] - number[cap // 2])
-        middle_size, small = int(size[cap - a] - size[cap // 2]), int(size[cap // 2] - size[a - 1])
-        best = max(best, large + middle_n + max(0, -(-(small - (middle_n * cap - middle_size)) // cap)))
+    a = np.arange(1, cap // 2 + 1)
+    if len(a):
+        large, middle_n = number[-1] - number[cap - a], number[cap - a] - number[cap // 2]
+        spare = middle_n * cap - (size[cap - a] - size[cap // 2])
+        small = size[cap // 2] - size[a - 1]
+        best = max(best, int((large + middle_n + np.maximum(0, -((spare - small) // cap))).max()))
     return best
 
 
-def fillings(counts: np.ndarray, room: int) -> list[tuple[int, ...]]:
-    """Undominated ways, least waste first, to fill ``room`` from ``counts``; larger items before smaller.
-
-    A single item that fits exactly dominates all else; of two fillings with the same first items
-    the one with the larger last item dominates. No way ends with room for another item.
-    """
-    have = np.flatnonzero(counts[: room + 1])
-    if not len(have):
-        return [()]
-    if have[-1] == room:
-        return [(room,)]
-    low = int(have[0])
-    upto = np.zeros(room + 1, dtype=np.int64)
-    upto[have] = have
-    upto = np.maximum.accumulate(upto)
-
-    def pairs(space: int, taken: tuple[int, ...]) -> list[tuple[int, ...]]:
-        first = have[have <= space][::-1]
-        if not len(first):
-            return [taken]
-        second = np.minimum(upto[space - first], first)
-        waste = space - first - second
-        return [(*taken, int(first[i]), int(second[i])) if second[i] else (*taken, int(first[i])) for i in np.argsort(waste, kind="stable")[:WIDTH]]
-
-    def grown(way: tuple[int, ...]) -> tuple[int, ...]:
-        used, out = {}, []
-        for x in way:  # an item more often than there is one falls out, the room goes to the largest that fits
-            if used.get(x, 0) < counts[x]:
-                used[x] = used.get(x, 0) + 1
-                out.append(x)
-        space = room - sum(out)
-        while space >= low:
-            x = next((int(v) for v in have[have <= space][::-1] if used.get(int(v), 0) < counts[v]), 0)
-            if not x:
-                break
-            used[x] = used.get(x, 0) + 1
-            out.append(x)
-            space -= x
-        return tuple(sorted(out, reverse=True))
-
-    ways = {grown(way) for way in pairs(room, ())}
-    if min(room - sum(way) for way in ways):
-        for x in have[::-1][:16]:
-            ways.update(grown(way) for way in pairs(room - int(x), (int(x),)))
-    return sorted(ways, key=lambda way: (room - sum(way), len(way), [-x for x in way]))[:WIDTH]
+def smeared(bits: int, by: int) -> int:
+    """The set bits, each with the ``by`` places above it."""
+    done = 0
+    while done < by:
+        step = min(done + 1, by - done)
+        bits |= bits << step
+        done += step
+    return bits
 
 
-def pack_lengths(counts: np.ndarray, nodes: int = NODES) -> list[tuple[int, tuple[int, ...]]]:
-    """Packs counts[l] items of length l into bins of len(counts) - 1: (times, lengths of one bin).
+def dominated(way: tuple[int, ...], room: int, counts: np.ndarray) -> bool:
+    """Whether an item left out could take the place of some of ``way``, or of nothing, without lack of room.
 
-    Bin completion: the largest item left is completed by one of its undominated fillings, as
-    many times as the counts allow; branches that waste more than the incumbent leaves are cut.
-    Best-fit decreasing gives the first incumbent. Ends at the lower bound or after ``nodes`` nodes.
+    The test of bin completion: the item is larger than the one it replaces, or at least as large as several together.
     """
-    counts = counts.astype(np.int64).copy()
-    cap, total = len(counts) - 1, int((counts * np.arange(len(counts))).sum())
-    if not total:
-        return []
+    waste, one, more, spare = room - sum(way), 0, 0, 0
+    for x in way:
+        more |= (one | more) << x
+        one |= 1 << x
+    used = dict.fromkeys(way, 0)
+    for x in way:
+        used[x] += 1
+    most = max(room, 1)
+    for x in np.flatnonzero(counts[: most + 1]).tolist():
+        if counts[x] > used.get(x, 0):
+            spare |= 1 << x
+    single = (smeared(1 | one, waste - 1) << 1) if waste else 0
+    return bool((single | smeared(more, waste)) & spare)
+
+
+def fillings(counts: np.ndarray, room: int) -> Iterator[tuple[int, ...] | None]:
+    """All undominated ways to fill ``room`` from ``counts``, one by one, least waste first; None for each dominated one met.
+
+    Ways of one sum come with larger items first. Sums that the i smallest lengths reach are kept as
+    bits, so no step leads to a dead end. A single item that fits exactly dominates all else.
+    """
+    have = np.flatnonzero(counts[: room + 1]).tolist()
+    if not have:
+        yield ()
+        return
+    if have[-1] == room:
+        yield (room,)
+        return
+    number = [min(int(counts[x]), room // x) for x in have]
+    mask, reach = (1 << (room + 1)) - 1, [1]
+    for x, n in zip(have, number):
+        sums, block = reach[-1], 1
+        while n:
+            taken = min(block, n)
+            sums |= sums << (taken * x)
+            n, block = n - taken, 2 * block
+        reach.append(sums & mask)
+
+    def exact(top: int, rest: int, way: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        if not rest:
+            yield way
+            return
+        for i in range(min(top, bisect_right(have, rest)) - 1, -1, -1):
+            if not reach[i + 1] >> rest & 1:
+                return
+            x = have[i]
+            for n in range(min(number[i], rest // x), 0, -1):
+                if reach[i] >> (rest - n * x) & 1:
+                    yield from exact(i, rest - n * x, (*way, *[x] * n))
+
+    for waste in range(room - have[0] + 1):  # to waste more than that is to leave out an item that fits
+        if reach[-1] >> (room - waste) & 1:
+            for way in exact(len(have), room - waste, ()):
+                yield None if dominated(way, room, counts) else way
+
+
+class Budget:
+    """Fillings the search may still look at."""
+
+    def __init__(self, steps: int):
+        self.left = steps
+
+
+def completions(counts: np.ndarray, bins: int, budget: Budget) -> Iterator[list[tuple[int, tuple[int, ...]]]]:
+    """Packings of ``counts`` into at most ``bins`` bins, depth first: (times, lengths of one bin).
+
+    The largest item left is completed by each of its undominated fillings, as many times as the counts
+    allow; what wastes more than ``bins`` leave, what its lower bound forbids and what was met before is cut.
+    The first dive looks at one undominated filling a node and isn't bound by the budget.
+    """
+    cap, spare = len(counts) - 1, bins * (len(counts) - 1) - int((counts * np.arange(len(counts))).sum())
+    if spare < 0:
+        return
 
-    def complete(left: np.ndarray, way: tuple[int, ...]) -> int:
-        need: dict[int, int] = {}
-        for x in way:
-            need[x] = need.get(x, 0) + 1
-        times = min(int(left[x]) // n for x, n in need.items())
-        for x, n in need.items():
-            left[x] -= n * times
-        return times
-
-    def best_fit(left: np.ndarray) -> list[tuple[int, tuple[int, ...]]]:
-        out = []
-        left = left.copy()
-        while left.any():
-            way, room = [], cap
-            spare = left.copy()
-            while len(fit := np.flatnonzero(spare[: room + 1])):
-                way.append(int(fit[-1]))
-                spare[fit[-1]] -= 1
-                room -= int(fit[-1])
-            out.append((complete(left, tuple(way)), tuple(way)))
-        return out
-
-    best = best_fit(counts)
-    bins, bound = sum(t for t, _ in best), least_bins(counts)
-    # depth first, without recursion: a frame holds what is left, its packing so far and the ways still to try
-    frames: list[tuple[np.ndarray, int, int, tuple | None, Iterator]] = []
-
-    def ways_of(left: np.ndarray) -> Iterator[tuple[int, ...]]:
+    def ways_of(left: np.ndarray, skip: int = 0) -> Iterator[tuple[int, ...] | None]:
         top = int(np.flatnonzero(left)[-1])
-        left[top] -= 1
-        found = fillings(left, cap - top)
-        left[top] += 1
-        return iter([(top, *way) for way in found])
-
-    if bins > bound:
-        frames.append((counts, 0, 0, None, ways_of(counts)))
-    dived, opened = False, 0
-    while frames and bins > bound and not (dived and opened > nodes):
-        left, used, waste, _, ways = frames[-1]
-        way = next(ways, None)
-        if way is None:
-            frames.pop()
-            continue
         rest = left.copy()
-        times = complete(rest, way)
-        lost = waste + times * (cap - sum(way))
-        if lost > (bins - 1) * cap - total:
+        rest[top] -= 1
+        return islice(((top, *way) if way is not None else None for way in fillings(rest, cap - top)), skip, None)
+
+    # without recursion: a frame holds what is left, bins and waste so far, its own bin, its ways and how many were looked at
+    frames: list[list] = [[counts, 0, 0, None, ways_of(counts), 0]]
+    met: set[int] = set()
+    dived = False
+    while frames and (budget.left > 0 or not dived):
+        frame = frames[-1]
+        if frame[4] is None:
+            frame[4] = ways_of(frame[0], frame[5])
+        way = next(frame[4], 0)
+        if way == 0 or way is not None and frame[2] + cap - sum(way) > spare:
+            dived = True
+            frames.pop()  # ways come least waste first, so none after this one fits either
+            continue
+        frame[5] += 1
+        budget.left -= 1
+        if way is None:
             continue
-        opened += 1
+        rest = frame[0].copy()
+        need = Counter(way)
+        times = min(int(rest[x]) // n for x, n in need.items())
+        while times and frame[2] + times * (cap - sum(way)) > spare:
+            times -= 1
+        for x, n in need.items():
+            rest[x] -= n * times
+        used, lost = frame[1] + times, frame[2] + times * (cap - sum(way))
         if not rest.any():
             dived = True
-            best, bins = [*(f[3] for f in frames if f[3]), (times, way)], used + times
+            yield [*(f[3] for f in frames if f[3]), (times, way)]
+            continue
+        known = hash(rest.tobytes())
+        if known in met or used + least_bins(rest) > bins:
             continue
-        frames.append((rest, used + times, lost, (times, way), ways_of(rest)))
-        if len(frames) > 1 and opened > nodes and not dived:
-            frames[:-1] = [(f[0], f[1], f[2], f[3], iter(())) for f in frames[:-1]]  # the first dive goes to its end, without another branch
+        met.add(known)
+        frames.append([rest, used, lost, (times, way), ways_of(rest), 0])
+        if len(frames) > KEPT:  # a frame far above gives up its sums; it makes them anew when the search comes back
+            frames[-KEPT - 1][4] = None
+
+
+def best_fit(counts: np.ndarray) -> list[tuple[int, tuple[int, ...]]]:
+    """Best-fit decreasing over counts: (times, lengths of one bin)."""
+    out, left = [], counts.copy()
+    while left.any():
+        way, room, spare = [], len(counts) - 1, left.copy()
+        while len(fit := np.flatnonzero(spare[: room + 1])):
+            way.append(int(fit[-1]))
+            spare[fit[-1]] -= 1
+            room -= int(fit[-1])
+        need = Counter(way)
+        times = min(int(left[x]) // n for x, n in need.items())
+        for x, n in need.items():
+            left[x] -= n * times
+        out.append((times, tuple(way)))
+    return out
+
+
+def repacked(best: Counter, cap: int, bound: int, budget: Budget) -> Counter:
+    """Better packings by bin completion of a few bins at a time: bins with waste and others, chosen by a fixed sequence.
+
+    Up to four of each are taken. Their items are searched for a bin less, or else for as many bins with the waste gathered in fewer
+    of them; equal ones are taken too, so the search moves on. Ends at ``bound`` or with the budget.
+    """
+    draw = random.Random(0)
+    while best.total() > bound and budget.left > 0:
+        budget.left -= 1
+        ways = list(best)
+        loose = [way for way in ways if sum(way) < cap]
+        chosen: Counter = Counter()
+        for way in draw.sample(loose, min(len(loose), draw.randint(1, 4))) + draw.sample(ways, min(len(ways), draw.randint(1, 4))):
+            if chosen[way] < best[way]:
+                chosen[way] += 1
+        counts = np.zeros(cap + 1, dtype=np.int64)
+        for way, times in chosen.items():
+            for x in way:
+                counts[x] += times
+        items, bins = int((counts * np.arange(cap + 1)).sum()), chosen.total()
+        fewer = bins - 1 if items <= (bins - 1) * cap else bins
+        own = Budget(min(REPACK, budget.left))
+        start, order = own.left, sum(times * sum(way) ** 2 for way, times in chosen.items())
+        for found in (p for target in dict.fromkeys((fewer, bins)) for p in completions(counts, target, own)):
+            now: Counter = Counter()
+            for times, way in found:
+                now[tuple(sorted(way, reverse=True))] += times
+            if now.total() < bins or now != chosen and sum(times * sum(way) ** 2 for way, times in now.items()) >= order:
+                best = best - chosen + now
+                break
+        budget.left -= start - own.left
+    return best
+
+
+def pack_lengths(counts: np.ndarray, steps: int = STEPS) -> list[tuple[int, tuple[int, ...]]]:
+    """Packs counts[l] items of length l into bins of len(counts) - 1: (times, lengths of one bin).
+
+    Best-fit decreasing gives the first incumbent, branch and bound over undominated fillings the next
+    ones; half of ``steps`` goes to the whole search, half to searches over a few bins of the incumbent.
+    """
+    counts = counts.astype(np.int64)
+    if not counts.any():
+        return []
+    best, bound = best_fit(counts), least_bins(counts)
+    budget = Budget(steps // 2)
+    while (bins := sum(times for times, _ in best)) > bound:
+        found = next(completions(counts, bins - 1, budget), None)
+        if found is None:
+            break
+        best = found
+    if bins > bound:
+        whole: Counter = Counter()
+        for times, way in best:
+            whole[tuple(sorted(way, reverse=True))] += times
+        best = [(times, way) for way, times in repacked(whole, len(counts) - 1, bound, Budget(steps - steps // 2)).items()]
     return best
 
 
