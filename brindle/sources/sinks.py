@@ -26,13 +26,18 @@ def csv_rows(records: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return kept.select(*(F.coalesce(F.try_element_at("_d", F.lit(n)), F.lit("")).alias(n) for n in names))
 
 
+def first_of_key(batch: DataFrame, key: list[str], content: list[str]) -> DataFrame:
+    """(key, _row): of rows with one key the first by ``ord``; rows with a null in the key are left out. Combined map-side."""
+    return batch.where(" AND ".join(f"{k} IS NOT NULL" for k in key)).groupBy(*key).agg(F.min_by(F.struct(*content), "ord").alias("_row"))
+
+
 def upserted(stored: DataFrame, batch: DataFrame, key: list[str], content: list[str]) -> DataFrame:
     """``stored`` with a batch merged in, and ``_action`` none, insert or update for each row.
 
     Of rows of the batch with one key the first by ``ord`` counts; an equal row changes nothing; a batch row with a null
     key is left out. One shuffle by key on either side; the batch is reduced before it.
     """
-    first = batch.where(" AND ".join(f"{k} IS NOT NULL" for k in key)).groupBy(*key).agg(F.min_by(F.struct(*content), "ord").alias("_new"))
+    first = first_of_key(batch, key, content).withColumnRenamed("_row", "_new")
     old = stored.select(*key, F.struct(*content).alias("_old"))
     joined = old.join(first, key, "full")
     action = F.when(F.col("_old").isNull(), "insert").when(F.col("_new").isNull() | F.col("_old").eqNullSafe(F.col("_new")), "none").otherwise("update")
