@@ -122,9 +122,9 @@ def hosts_kept(stored: DataFrame, served: DataFrame, apart: int = APART, memory:
     """
     rows = served.where("_kind <> 2")
     free = rows.groupBy("host").agg((F.max("slot") + apart).alias("free_at"))
-    now = rows.agg(F.max("now").alias("_now"))
+    now = rows.agg(F.max("now")).first()[0]
     merged = stored.unionByName(free).groupBy("host").agg(F.max("free_at").alias("free_at"))
-    return merged.join(F.broadcast(now), F.col("_now").isNull() | (F.col("free_at") + memory >= F.col("_now"))).select("host", "free_at")
+    return merged if now is None else merged.where(F.col("free_at") + memory >= now)
 
 
 def paced_stream(requests: DataFrame, table: VersionedTable, out: str, checkpoint: str, apart: int = APART, protected: int = PROTECTED, memory: int = MEMORY) -> StreamingQuery:
