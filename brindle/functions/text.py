@@ -25,6 +25,13 @@ def tokens(text: Column, least: int = 2) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: F.length(t) >= least)
 
 
+def singular(token: Column) -> Column:
+    """A lower-case token without the ending of an English plural; short ones and those in -ss stay."""
+    n = F.length(token)
+    cut = lambda k: F.left(token, n - k)
+    return F.when((n > 4) & token.endswith("ies"), F.concat(cut(3), F.lit("y"))).when((n > 4) & token.rlike("(ss|x|ch|sh)es$"), cut(2)).when((n > 3) & token.rlike("(^|[^s])s$"), cut(1)).otherwise(token)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Jaccard similarity of two arrays as sets; 0 if either is empty."""
     both = F.size(F.array_intersect(a, b))
