@@ -28,17 +28,16 @@ def bag(text: Column) -> Column:
     return F.array_distinct(F.transform(words, singular))
 
 
-def _conflict(tokens: Column, path: Column, conflicts: Sequence[tuple[Sequence[str], Sequence[str]]]) -> Column:
-    found = F.lit(False)
-    for terms, paths in conflicts:
-        own, theirs = F.lit(False), F.lit(False)
-        for term in terms:
-            parts = bag(F.lit(term))
-            own = own | ((F.size(parts) > 0) & (F.size(F.array_except(parts, tokens)) == 0))
-        for part in paths:
-            theirs = theirs | F.contains(path, F.lit(part.lower()))
-        found = found | (own & theirs)
-    return found
+def _contexts(tokens: Column, conflicts: Sequence[tuple[Sequence[str], Sequence[str]]]) -> Column:
+    """array<int>: which of ``conflicts`` a product's tokens bring up, by all tokens of one of its terms."""
+    hit = lambda terms: F.exists(F.array(*(bag(F.lit(t)) for t in terms)), lambda t: (F.size(t) > 0) & (F.size(F.array_except(t, tokens)) == 0))
+    return F.array_compact(F.array(F.lit(None).cast("int"), *(F.when(hit(terms), n) for n, (terms, _) in enumerate(conflicts) if terms)))
+
+
+def _barred(path: Column, conflicts: Sequence[tuple[Sequence[str], Sequence[str]]]) -> Column:
+    """array<int>: which of ``conflicts`` rule a path out."""
+    low = F.lower(collapsed(path))
+    return F.array_compact(F.array(F.lit(None).cast("int"), *(F.when(F.exists(F.array(*(F.lit(t.lower()) for t in texts)), lambda t: F.contains(low, t)), n) for n, (_, texts) in enumerate(conflicts) if texts)))
 
 
 def _share(own: Column, theirs: Column) -> Column:
@@ -69,21 +68,22 @@ def ranked_categories(
     exact = exact_category(own.where(collapsed(F.col("value")) != ""), rows.select("category", "leaf"), "product_id")
 
     path = bag(F.col("category"))
-    index = rows.select("category", path.alias("_path"), F.array_except(bag(F.col("attributes")), path).alias("_more")).withColumn("_token", F.explode("_path"))
+    index = rows.select("category", path.alias("_path"), F.array_except(bag(F.col("attributes")), path).alias("_more"), _barred(F.col("category"), conflicts).alias("_barred")).withColumn("_token", F.explode("_path"))
     if index.count() <= BROADCAST_ROWS:
         index = F.broadcast(index)
 
     pools = own.join(exact.select("product_id"), "product_id", "left_anti").select("product_id", *(bag(F.col(t)).alias(f"_{t}") for t in texts[1:]))
-    pools = pools.withColumn("_all", F.array_union(F.array_union("_first", "_second"), "_third"))
+    pools = pools.withColumn("_all", F.array_union(F.array_union("_first", "_second"), "_third")).withColumn("_contexts", _contexts(F.col("_all"), conflicts))
     need = F.ceil(F.size("_second") * ((LEAST / UNMET - THIRD - ATTRIBUTES) / SECOND) - 1e-9)
     long_first = F.transform(F.array_sort(F.transform("_second", lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), lambda x: x["t"])
     asked = pools.withColumn("_asked", F.array_union("_first", F.slice(long_first, F.lit(1), F.size("_second") - need + 1)))
     pairs = asked.withColumn("_token", F.explode("_asked")).join(index, "_token").where(F.get(F.array_intersect("_asked", "_path"), F.lit(0)) == F.col("_token"))
+    pairs = pairs.where(~F.arrays_overlap("_contexts", "_barred"))
 
     first = _share(F.col("_first"), F.col("_path"))
     total = first + _share(F.col("_second"), F.col("_path")) * SECOND + _share(F.col("_third"), F.col("_path")) * THIRD + _share(F.col("_all"), F.col("_more")) * ATTRIBUTES
-    scored = pairs.select("product_id", "category", "_all", F.when(first == 0, total * UNMET).otherwise(total).alias("score"))
-    scored = scored.where((F.col("score") >= LEAST) & ~_conflict(F.col("_all"), F.lower(collapsed(F.col("category"))), conflicts))
+    scored = pairs.select("product_id", "category", F.when(first == 0, total * UNMET).otherwise(total).alias("score"))
+    scored = scored.where(F.col("score") >= LEAST)
     order = Window.partitionBy("product_id").orderBy(F.desc("score"), F.length("category"), "category")
     best = scored.select("product_id", "category", F.round("score", 3).alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
     return exact.select("product_id", "category", "score", F.lit("exact_match").alias("source"), F.lit(1).alias("rank")).unionByName(best.select("product_id", "category", "score", F.lit("scored_match").alias("source"), "rank"))

@@ -1,33 +1,46 @@
 import random
+import re
 from difflib import SequenceMatcher
+from urllib.parse import urlsplit
 
 import pytest
 
 from brindle.operators import alignment
+from brindle.plans import linked
 
+SF = "/root/testdata/sf0.001"
 SCHEMA = "site string, at long, url string, title string, _place long, alignment string"
 
 
-def tokens(url):
-    return {t for t in url.split("/", 3)[-1].lower().replace("-", "/").split("/") if len(t) >= 5 and any(c.isdigit() for c in t)}
+def parts(url):
+    """Scheme, name of the host and parts of the path; all hosts of these tests have a suffix of one label."""
+    split = urlsplit(url.lower())
+    return split.scheme, split.netloc, split.netloc.split(".")[-2], [p for p in split.path.split("/") if p]
+
+
+def tokens(path):
+    return {t for p in path for t in re.findall("[a-z0-9]{5,}", p) if any(c.isdigit() for c in t)}
 
 
 def one_record(x, y):
-    """The rule for URLs of one form, https://host/folder/name, told from the texts themselves."""
     (_, _, a, s), (_, _, b, t) = x, y
-    if a == b:
+    if not a or not b:
+        return not a and not b
+    (_, _, host, path), (_, _, other, way) = parts(a), parts(b)
+    if (*parts(a)[:2], path) == (*parts(b)[:2], way):
         return True
-    if not a or not b or a.split("/")[2] != b.split("/")[2]:
+    if host != other:
         return False
-    if a.split("/")[-1] == b.split("/")[-1] or tokens(a) & tokens(b):
+    if path[-1:] == way[-1:] or tokens(path) & tokens(way):
         return True
+    s, t = (" ".join((v or "").split()) for v in (s, t))
     return bool(s and t) and SequenceMatcher(None, t.lower(), s.lower()).ratio() >= 0.82
 
 
 def brute(left, right):
     out = []
     for site in {r[0] for r in left} | {r[0] for r in right}:
-        a, b = ([r for r in sorted(rows, key=lambda r: (r[1], r[2] or "", (r[3] or "").lower())) if r[0] == site] for rows in (left, right))
+        a, b = ([r for r in sorted(rows, key=lambda r: (r[1], r[2] or "", " ".join((r[3] or "").lower().split()))) if r[0] == site] for rows in (left, right))
         while a or b:
             if not a or not b:
                 out += [(site, r[1], None, "missing") for r in a] + [(site, None, r[1], "extra") for r in b]
@@ -92,3 +105,10 @@ def test_marks(spark):
     first, none = row.select(*(c.alias(n) for n, c in alignment.marks(row.url, row.title).items())).collect()
     assert tuple(first) == ("https://www.shop.example.co.uk/list/ab1234-x/item9000", "example", "ab1234-x/item9000", "item9000", ["ab1234", "item9000"], "a chair")
     assert tuple(none) == ("", "", "", "", [], "")
+
+
+def test_captures_aligned_equals_one_walk(spark):
+    lists = [[tuple(r) for r in d.collect()] for d in linked.captures(spark, SF)]
+    found = linked.captures_aligned(spark, SF)
+    assert sorted(map(tuple, found.collect()), key=repr) == brute(*lists)
+    assert {r[3] for r in brute(*lists)} == {"matched", "forced", "missing", "extra"}
