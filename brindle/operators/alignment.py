@@ -125,8 +125,9 @@ def aligned(left: DataFrame, right: DataFrame, key: str, order: str, url: str, t
     ``matched`` rows are one record, ``forced`` ones meet without being one, ``missing`` are of the left list alone, ``extra`` of the
     right alone. Every row of both lists is in the result once. The left list is cut into blocks; where a block starts in the right list
     depends on the block before. So all blocks are walked from a guess, and those whose start was another are walked again, until
-    none is: the result is that of one walk from the first row. A walk finds back after a wrong start in a step or two where
-    records match, so two or three rounds do; at worst a round settles one block of each key. No task sees more than three blocks.
+    none is: the result is that of one walk from the first row. A walk looks ahead by one row only, so from a start that is further
+    off it doesn't find back, and then a round settles no more than one block of each key: there are as many rounds as blocks in the longest list,
+    at worst. Keys should therefore be lists as they were captured, a batch each, not whole sites. No task sees more than three blocks.
     Rows of one order follow by URL, then title; null keys are a key of their own, null orders come first.
     """
     left, right = (_numbered(rows, key, order, url, title) for rows in (left, right))

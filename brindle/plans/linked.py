@@ -10,10 +10,14 @@ from brindle.operators import alignment, taxonomy
 from brindle.plans.registry import query, table
 
 
+#: Ids of captured pages in a batch.
+BATCH = 500
+
+
 def captures(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """The captured pages of each site, and a later capture: some lost, some moved to another path or host, some retitled, some new."""
+    """The captured pages of each site and batch, and a later capture: some lost, some moved to another path or host, some retitled, some new."""
     title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
-    pages = table(spark, sf_dir, "pages").select(urls.registrable_host(F.col("url")).alias("site"), "page_id", "url", title.alias("title"))
+    pages = table(spark, sf_dir, "pages").select(F.concat_ws("#", urls.registrable_host(F.col("url")), F.floor(F.col("page_id") / BATCH)).alias("site"), "page_id", "url", title.alias("title"))
     key, path = F.col("page_id"), urls.url_path(F.col("url"))
     host = urls.authority(F.col("url"))
     moved = F.when(key % 9 == 4, F.concat(F.lit("https://"), host, F.lit("/moved/"), key)).when(key % 9 == 7, F.concat(F.lit("http://mirror.example.info"), path)).otherwise(F.col("url"))
@@ -25,7 +29,7 @@ def captures(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 @query("captures_aligned")
 def captures_aligned(spark, sf_dir) -> DataFrame:
-    """Both captures of each site aligned by page_id: a walk with titles as like as 0.82, which SQL hasn't; tested against brute force."""
+    """Both captures of each site and batch aligned by page_id: a walk with titles as like as 0.82, which SQL hasn't; tested against brute force."""
     return alignment.aligned(*captures(spark, sf_dir), "site", "page_id", "url", "title")
 
 
