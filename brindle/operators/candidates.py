@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.functions.once import once
 from brindle.functions.text import field_key
 
 #: Levels a walk goes down.
@@ -110,19 +111,17 @@ JOB = Mapped(
 def first_value(body: Column, paths: Sequence[str]) -> Column:
     """The first path's value that isn't missing, null, or an empty text, list or object; lists and objects as JSON."""
 
-    def read(path: str) -> Column:
-        v = F.try_variant_get(body, f"$.{path}", "variant")
-        text = F.when(_is(v, "OBJECT") | _is(v, "ARRAY"), F.to_json(v)).otherwise(_text(v))
-        return F.when(~text.isin("", "[]", "{}"), text)
-
-    return F.coalesce(*map(read, paths))
+    values = F.array_compact(F.array(*(F.try_variant_get(body, f"$.{path}", "variant") for path in paths)))
+    texts = F.transform(values, lambda v: F.when(_is(v, "OBJECT") | _is(v, "ARRAY"), F.to_json(v)).otherwise(_text(v)))
+    return F.get(F.filter(texts, lambda text: ~text.isin("", "[]", "{}")), F.lit(0))
 
 
 def signature_keys(body: Column) -> Column:
     """How many of ``SIGNATURE`` are keys of an object or of an object directly below it."""
-    top = F.map_keys(F.try_variant_get(body, "$", "map<string,variant>"))
-    below = F.flatten(F.transform(F.map_values(F.try_variant_get(body, "$", "map<string,variant>")), lambda v: F.coalesce(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")), F.array().cast("array<string>"))))
-    return F.coalesce(F.size(F.array_intersect(F.transform(F.concat(top, below), field_key), F.array(*map(F.lit, SIGNATURE)))), F.lit(0))
+    keys = lambda v: F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
+    below = lambda v: F.flatten(F.transform(F.map_values(F.try_variant_get(v, "$", "map<string,variant>")), lambda x: F.coalesce(keys(x), F.array().cast("array<string>"))))
+    own = once(body, lambda v: F.array_distinct(F.concat(keys(v), below(v))))
+    return F.coalesce(F.size(F.array_intersect(F.transform(own, field_key), F.array(*map(F.lit, SIGNATURE)))), F.lit(0))
 
 
 def payload_priority(kind: Column, family: Column, url: Column, body: Column, specs: Sequence[Mapped]) -> Column:
@@ -141,16 +140,24 @@ def payload_fields(payloads: DataFrame, key: str, specs: Sequence[Mapped] = (PRO
     The first spec counts whose required paths all have a value and that finds a field. Bodies that aren't JSON, or neither object
     nor list, give no rows. One pass over the payloads, without a shuffle.
     """
-    read = payloads.withColumn("v", F.try_parse_json("body")).where(_is(F.col("v"), "OBJECT") | _is(F.col("v"), "ARRAY"))
-    v = F.col("v")
 
-    def mapped(spec: Mapped) -> Column:
-        pairs = F.filter(F.array(*(F.struct(F.lit(f).alias("key"), first_value(v, paths).alias("value")) for f, paths in spec.fields.items())), lambda p: p["value"].isNotNull())
-        fits = reduce(lambda a, b: a & b, (first_value(v, paths).isNotNull() for paths in spec.required), F.size(pairs) > 0)
-        return F.when(fits, F.struct(F.lit(spec.name).alias("spec"), F.map_from_entries(pairs).alias("fields")))
+    def mapped(v: Column, spec: Mapped) -> Column:
+        asked = list(dict.fromkeys(map(tuple, [*spec.fields.values(), *spec.required])))
+
+        def made(found: Column) -> Column:
+            of = lambda paths: F.get(found, F.lit(asked.index(tuple(paths))))
+            pairs = F.filter(F.array(*(F.struct(F.lit(f).alias("key"), of(paths).alias("value")) for f, paths in spec.fields.items())), lambda p: p["value"].isNotNull())
+            fits = reduce(lambda a, b: a & b, (of(paths).isNotNull() for paths in spec.required), F.lit(True))
+            return F.when(fits, once(pairs, lambda p: F.when(F.size(p) > 0, F.struct(F.lit(spec.name).alias("spec"), F.map_from_entries(p).alias("fields")))))
+
+        return once(F.array(*(first_value(v, paths) for paths in asked)), made)
+
+    def read(v: Column) -> Column:
+        m = F.when(_is(v, "OBJECT") | _is(v, "ARRAY"), F.coalesce(*(mapped(v, s) for s in specs)))
+        return once(m, lambda m: F.when(m.isNotNull(), F.struct(payload_priority(F.col("kind"), F.col("family"), F.col("url"), v, specs).alias("priority"), m["spec"].alias("spec"), m["fields"].alias("fields"))))
 
-    priority = payload_priority(F.col("kind"), F.col("family"), F.col("url"), v, specs)
-    return read.select(key, "position", priority.alias("priority"), F.coalesce(*map(mapped, specs)).alias("m")).where("m IS NOT NULL").select(key, "position", "priority", "m.spec", "m.fields")
+    # what is read comes out of a generator, so that no filter works it out again
+    return payloads.select(key, "position", F.inline(F.array_compact(F.transform(F.array(F.try_parse_json("body")), read))))
 
 
 def best_fields(mapped: DataFrame, key: str) -> DataFrame:

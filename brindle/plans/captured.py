@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from brindle.operators import candidates as json_values
 from brindle.operators import variants
 from brindle.plans.registry import query, table
+from brindle.session import spread
 from brindle.sources import markup, states
 
 #: Bytes of markup that a page's best cards may have together.
@@ -119,7 +120,7 @@ def payload_best_fields(spark, sf_dir) -> DataFrame:
     each = F.explode(
         F.array(payload(0, "generic_json", "", "https://x.example/a", generic), payload(1, "product_api", "Shopify", "https://x.example/products/1.js", api), payload(2, "graphql", "", "", F.lit("{broken")), payload(3, "graphql", "", "", F.lit('{"name":"no price"}')))
     )
-    payloads = table(spark, sf_dir, "part").select("p_partkey", each.alias("p")).select("p_partkey", "p.*")
+    payloads = spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", each.alias("p")).select("p_partkey", "p.*")
     return json_values.best_fields(json_values.payload_fields(payloads, "p_partkey"), "p_partkey")
 
 

@@ -94,3 +94,12 @@ def test_first_spec_and_best_payload(spark):
     best = sorted((r["id"], r["field"], r["value"], r["position"]) for r in candidates.best_fields(mapped(spark, *rows), "id").collect())
     assert best == [(1, "price", "2", 1), (1, "sku", "s2", 2), (1, "title", "high", 1)]
     assert candidates.best_fields(mapped(spark), "id").count() == 0
+
+
+def test_payloads_are_read_once_and_spread(spark, capsys):
+    from brindle.plans import catalogue
+
+    found = catalogue.QUERIES["payload_best_fields"](spark, "/root/testdata/sf0.001")
+    found.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("parseJson") == 1 and "REPARTITION_BY_NUM" in plan
