@@ -157,6 +157,26 @@ def test_whole_match_rule(spark):
         assert r["label"] == ("high" if r["score"] >= 0.85 else "medium" if r["score"] >= 0.6 else "low" if r["score"] >= 0.4 else "uncertain")
 
 
+def test_pairs_of_a_key_meet_in_several_tasks(spark):
+    titles = [None, "", "a", "red chair", "chair red", "Red  CHAIR", "blue chair"]
+    rows = [(k, i, titles[i % 7], " Acme " if i % 2 else "", None if i % 5 == 0 else str(i % 3), float(i % 4)) for k in ("x", None) for i in range(60)]
+    side = lambda p: spark.createDataFrame(rows, f"k string, {p}_id int, {p}_title string, {p}_brand string, {p}_sku string, {p}_price double")
+    got = matching.scored_pairs(side("s").where("s_id % 10 = 0"), side("c").coalesce(1).withColumn("c_authority", F.lit(0.04)), "k")
+    assert got.withColumn("p", F.spark_partition_id()).select("p").distinct().count() > 1
+    found = {(r["s_id"], r["c_id"]): r["score"] for r in got.collect()}
+    assert len(found) == got.count() == 360
+
+    words = lambda t: {w for w in re.split("[^a-z0-9]+", t.lower()) if len(w) > 1}
+    for (a, b), score in found.items():
+        s, c = rows[a], rows[b]
+        if s[2] is None or c[2] is None:
+            continue
+        x, y = words(s[2]), words(c[2])
+        title = len(x & y) / len(x | y) if x and y else 0
+        near = s[5] > 0 and c[5] > 0 and abs(s[5] - c[5]) / s[5] <= 0.25
+        assert score == pytest.approx(0.34 * title + 0.24 * (s[3] == c[3] != "") + 0.25 * (s[4] is not None and s[4] == c[4]) + 0.05 * near + 0.04, abs=1e-4)
+
+
 def each(spark, column, values):
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").select("i", column(F.col("v")).alias("r")).collect()
     return {values[r["i"]]: r["r"] for r in rows}
