@@ -82,7 +82,7 @@ def visual_clusters(spark, sf_dir) -> DataFrame:
         F.col("p_brand").alias("page"), key.alias("id"), (key % 7 * 150).alias("x"), (key % 50 * 60).alias("y"), F.lit(100).alias("w"), F.lit(80).alias("h"),
         F.when(key % 3 == 0, F.concat(F.lit("/"), (key % 2).cast("string"))).alias("href"),
     )
-    return links.box_clusters(boxes).groupBy("page", "id").agg(F.count("*").alias("n"), F.min("other").alias("first"))
+    return links.box_cluster_sizes(boxes)
 
 
 @query("variant_matrix", """WITH v AS (SELECT DISTINCT p_brand, p_type, p_size % 5 AS size FROM part), e AS (SELECT p_brand, p_type, p_size % 5 AS size FROM part WHERE p_partkey % 6 = 0)

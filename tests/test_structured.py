@@ -37,6 +37,14 @@ def test_boxes_meet_once(spark):
     assert sorted(map(tuple, got)) == [("p", 1, 1), ("p", 1, 2), ("p", 2, 1), ("p", 2, 2), ("p", 6, 6), ("q", 4, 4)]
 
 
+def test_sizes_of_clusters_are_those_of_all_pairs(spark):
+    boxes = [("pq"[i % 2], i, i * 7 % 5 * 60, None if i == 40 else i * 11 % 6 * 300, 50, 40 + i % 2 * 700, [None, "/a", "/b"][i % 3]) for i in range(120)]
+    table = spark.createDataFrame([*boxes, *((p, 1000 + i, *rest) for p, i, *rest in boxes)], "page string, id int, x int, y int, w int, h int, href string")
+    pairs = links.box_clusters(table).groupBy("page", "id").agg(F.count("*").alias("n"), F.min("other").alias("first"))
+    sizes = links.box_cluster_sizes(table)
+    assert sorted(map(tuple, sizes.collect())) == sorted(map(tuple, pairs.collect())) and sizes.count() > 50
+
+
 def test_denied_suffixes(spark):
     rows = spark.createDataFrame([(1, "a.b.com"), (2, "xb.com"), (3, "b.com"), (4, ""), (5, None)], "id int, host string")
     denied = spark.createDataFrame([("b.com",), (None,), ("b.com",)], "domain string")
