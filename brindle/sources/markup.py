@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from html import unescape
 
 import pyarrow as pa
@@ -93,33 +93,48 @@ def _nodes(html: str) -> list[dict]:
     return out
 
 
-def elements(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+def elements(pages: DataFrame, key: str = "page_id", html: str = "html", beside: Sequence[str] = (), told: str | None = None) -> DataFrame:
     """(key, node, parent, last, depth, tag, attributes, text, start, end, scopes) of every element and text of the documents.
 
     Nodes count from 0 in document order, and those of an element's subtree are node to last. A text
     is a node of tag #text with white space collapsed and entities resolved; blank ones and comments are left out. start
     and end are places in the document. ``scopes`` are the item scopes around the node, outermost first, each with its own
-    property name. A row of ``pages`` is one document and nothing is shuffled; null and empty ones give no rows.
+    property name. A row of ``pages`` is one document and nothing is shuffled; null and empty ones give no rows. The columns
+    ``beside`` of a page stand beside each of its nodes. With ``told``, a last column of that name has all texts of the subtree of each
+    element with itemprop, by one space; null where there are none, and for other nodes.
     """
+    rows = pages.select(key, F.col(html).cast("string").alias(html), *beside)
+    of_page = [key, *beside]
+
+    def subtree(nodes: list[dict], made: dict) -> str | None:
+        if "itemprop" in made["attributes"]:
+            return " ".join(x["text"] for x in nodes[made["node"] : made["last"] + 1] if x["tag"] == "#text") or None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, text in enumerate(batch.column(1)):
-                nodes = _nodes(text.as_py() or "")
-                for at in range(0, len(nodes), 8_192):
-                    own = pa.array([x | {"attributes": list(x["attributes"].items())} for x in nodes[at : at + 8_192]], _NODE)
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(own), batch.column(0).type), *own.flatten()], [key, *_NODE.names])
+            page, part, texts = [], [], []
 
-    rows = pages.select(key, F.col(html).cast("string").alias(html))
-    return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, {_DDL}")
+            def made() -> pa.RecordBatch:
+                beside_them = [batch.column(c).take(pa.array(page, pa.int32())) for c in of_page]
+                columns = [pa.array([x[f.name] for x in part], f.type) for f in _NODE]
+                found = pa.RecordBatch.from_arrays([*beside_them, *columns, *([pa.array(texts, pa.string())] if told else [])], [*of_page, *_NODE.names, *([told] if told else [])])
+                page.clear(), part.clear(), texts.clear()
+                return found
 
+            for i, text in enumerate(batch.column(1)):
+                nodes = _nodes(text.as_py() or "")
+                for x in nodes:
+                    page.append(i)
+                    part.append(x | {"attributes": list(x["attributes"].items())})
+                    if told:
+                        texts.append(subtree(nodes, x))
+                    if len(part) == 8_192:
+                        yield made()
+            if part:
+                yield made()
 
-def subtree_texts(nodes: DataFrame, wanted: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, node, text) of the ``wanted`` nodes: all texts of the subtree, by one space; a node without text has none."""
-    texts = nodes.where("tag = '#text'").select(key, F.col("node").alias("_at"), F.col("text").alias("_text"))
-    held = wanted.select(key, "node", "last").join(texts, key).where("_at BETWEEN node AND last")
-    ordered = F.array_sort(F.collect_list(F.struct("_at", "_text")))
-    return held.groupBy(key, "node").agg(F.array_join(F.transform(ordered, lambda x: x["_text"]), " ").alias("text"))
+    types = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in of_page)
+    return rows.mapInArrow(run, f"{types}, {_DDL}" + (f", `{told}` string" if told else ""))
 
 
 def microdata(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
@@ -130,7 +145,9 @@ def microdata(pages: DataFrame, key: str = "page_id", html: str = "html", url: s
     Repeated properties have several rows; empty values and names, and items within an item that are no property of it,
     give none. Positions are nodes, so they keep the order.
     """
-    nodes = elements(pages, key, html).join(pages.select(key, F.col(url).alias("_url")), key) if url in pages.columns else elements(pages, key, html).withColumn("_url", F.lit(None).cast("string"))
+    known = url in pages.columns
+    located = pages.select(key, html, (F.col(url) if known else F.lit(None)).cast("string").alias("_url"))
+    nodes = elements(located, key, html, ["_url"], "_told")
     attribute = lambda name: F.trim(F.col("attributes")[name])
     scope, prop = F.map_contains_key("attributes", F.lit("itemscope")), F.nullif(attribute("itemprop"), F.lit(""))
     names = F.transform(F.slice("scopes", F.lit(2), F.greatest(F.size("scopes") - 1, F.lit(0))), lambda s: F.nullif(F.trim(s["property"]), F.lit("")))
@@ -138,19 +155,15 @@ def microdata(pages: DataFrame, key: str = "page_id", html: str = "html", url: s
     marked = nodes.where(whole & (scope | (prop.isNotNull() & (F.size("scopes") > 0))))
     marked = marked.select(
         key, "node", "last", scope.alias("scope"), prop.alias("prop"), F.coalesce(F.get("scopes", 0)["node"], F.col("node")).alias("item"), F.array_join(names, ".").alias("path"),
-        F.size("scopes").alias("deep"), attribute("itemtype").alias("type"),
+        F.size("scopes").alias("deep"), attribute("itemtype").alias("type"), "_told",
         F.coalesce(*(F.nullif(urls.absolute_url(F.col("_url"), F.col("attributes")[a]) if a in ("href", "src") else attribute(a), F.lit("")) for a in VALUES)).alias("given"),
     )
     dotted = lambda *parts: F.concat_ws(".", *(F.nullif(p, F.lit("")) for p in parts))
     own_type = F.when(F.col("deep") > 0, F.col("prop")).otherwise(F.lit(""))
-    types = marked.where(F.col("scope") & (F.col("type") != "") & ((F.col("deep") == 0) | F.col("prop").isNotNull()))
-    types = types.select(key, "item", dotted(F.col("path"), own_type, F.lit("@type")).alias("property"), F.col("node").alias("position"), F.col("type").alias("value"))
-    plain = marked.where(~F.col("scope") & F.col("prop").isNotNull())
-    given = plain.where("given IS NOT NULL").select(key, "item", "path", "prop", "node", F.col("given").alias("value"))
-    told = plain.where("given IS NULL").select(key, "item", "path", "prop", "node", "last")
-    read = told.join(subtree_texts(nodes, told, key).withColumnRenamed("text", "value"), [key, "node"]).select(given.columns)
-    values = given.unionByName(read).select(key, "item", dotted(F.col("path"), F.col("prop")).alias("property"), F.col("node").alias("position"), "value")
-    return types.unionByName(values)
+    typed = F.col("scope") & (F.col("type") != "") & ((F.col("deep") == 0) | F.col("prop").isNotNull())
+    name, value = F.when(F.col("scope"), own_type).otherwise(F.col("prop")), F.when(F.col("scope"), F.col("type")).otherwise(F.coalesce("given", "_told"))
+    found = marked.where(typed | (~F.col("scope") & F.col("prop").isNotNull() & F.coalesce("given", "_told").isNotNull()))
+    return found.select(key, "item", dotted(F.col("path"), name, F.when(F.col("scope"), "@type")).alias("property"), F.col("node").alias("position"), value.alias("value"))
 
 
 def listing_cards(pages: DataFrame, key: str = "page_id", html: str = "html", least: int = 3) -> DataFrame:

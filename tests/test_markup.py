@@ -134,3 +134,12 @@ def test_card_fragments_of_the_table(spark):
     for r in got:
         used[r["page_id"]] = used.get(r["page_id"], 0) + r["bytes"]
     assert set(used) <= set(table) and max(used.values()) <= captured.BUDGET and json.dumps(len(used))
+
+
+def test_microdata_is_read_in_one_pass_without_joins(spark, capsys):
+    html = "<div itemscope itemtype=T><p itemprop=a>x <b>y</b><p itemprop=b> </p><p itemprop=c content=' '>z</div>"
+    found = markup.microdata(pages(spark, html, html))
+    assert sorted((r["page_id"], r["property"], r["value"]) for r in found.collect()) == [(i, *p) for i in (0, 1) for p in (("@type", "T"), ("a", "x y"), ("c", "z"))]
+    found.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan and "Broadcast" not in plan
