@@ -49,7 +49,7 @@ def microdata_properties(spark, sf_dir) -> DataFrame:
         F.lit("'>to</a><section itemprop=\"brand\" itemscope itemtype=Brand><span itemprop=name>"), F.col("p_brand"), F.lit('</span></section><meta itemprop="size" content="'), _text("p_size"), F.lit('"/><p itemprop="size">'),
         F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("size of <i>"), F.col("p_type"), F.lit("</i>"))).otherwise(""), F.lit("<p>after<div itemscope><i itemprop=lost>no property</i></div></div></main>"),
     )
-    pages = table(spark, sf_dir, "part").select("p_partkey", html.alias("html"), F.lit("https://shop.example/list?q=1").alias("url"))
+    pages = spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", html.alias("html"), F.lit("https://shop.example/list?q=1").alias("url"))
     return markup.microdata(pages, "p_partkey").select("p_partkey", "property", "value")
 
 
@@ -63,7 +63,7 @@ def embedded_payloads(spark, sf_dir) -> DataFrame:
         F.lit('<script type="application/json" data-x>'), item(F.col("p_name"), F.col("p_size")), F.lit('</script><script type="application/json">{broken</script><script>track("{"); let product = {never; const productData='),
         F.when(F.col("p_partkey") % 3 > 0, odd).otherwise("{open: ["), F.lit("</script><script>var pageData = "), F.to_json(F.struct(F.col("p_brand").alias("name"), F.array(F.lit("]")).alias("list"))), F.lit(";other = {}</script>"),
     )
-    found = states.embedded_json(table(spark, sf_dir, "part").select("p_partkey", html.alias("html")), "p_partkey")
+    found = states.embedded_json(spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", html.alias("html")), "p_partkey")
     return found.select("p_partkey", "source", F.get_json_object("body", "$.name").alias("name"), F.get_json_object("body", "$.size").alias("size"))
 
 
@@ -78,7 +78,7 @@ def page_state_values(spark, sf_dir) -> DataFrame:
         F.lit("<script>var __INITIAL_STATE__ = "), json_of(F.col("p_brand")), F.lit("</script><script>a();"), window, F.lit('</script><script id="__NUXT_DATA__" type="application/json">[["Reactive",1],{"title":2,"self":1},"'),
         F.col("p_name"), F.lit('"]</script><script>'), pushed, F.lit("</script>"),
     )
-    found = states.page_states(table(spark, sf_dir, "part").select("p_partkey", html.alias("html")), "p_partkey")
+    found = states.page_states(spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", html.alias("html")), "p_partkey")
     return found.select("p_partkey", "name", F.coalesce(F.get_json_object("body", "$.title"), F.get_json_object("body", "$[0].title")).alias("title"))
 
 

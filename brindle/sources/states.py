@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from brindle.functions.once import once
+
 # Types of scripts that are JSON, ids of scripts that hold a page's state, names states are assigned to, and names of other data.
 JSON_TYPES = ("application/hal+json", "application/json", "application/vnd.api+json")
 STATE_IDS = ("__NEXT_DATA__", "__NUXT_DATA__")
@@ -29,20 +31,24 @@ def balanced(text: Column) -> Column:
 
     A fold over tokens (escapes, quotes, brackets, all between) that keeps the depth, whether a string is open, and the length.
     """
-    body = F.regexp_extract(text, r"(?s)[\[{].*", 0)
-    opening = F.substring(body, 1, 1)
-    closing = F.when(opening == "{", "}").otherwise("]")
     start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("inside"), F.lit(0).alias("length"), F.lit(False).alias("done"))
 
-    def step(acc: Column, token: Column) -> Column:
-        last = F.substring(token, -1, 1)  # outside of strings an escape says nothing, so what it stands before counts
-        escape = F.substring(token, 1, 1) == "\\"
-        depth = acc["depth"] + F.when(acc["inside"], 0).when(last == opening, 1).when(last == closing, -1).otherwise(0)
-        quote = (last == '"') & ~(acc["inside"] & escape)
-        after = F.struct(depth.alias("depth"), (acc["inside"] != quote).alias("inside"), (acc["length"] + F.length(token)).alias("length"), ((depth == 0) & ~acc["inside"] & (last == closing)).alias("done"))
-        return F.when(acc["done"], acc).otherwise(after)
+    def ended(kind: Column) -> Column:
+        body, opening, closing = kind["body"], kind["opening"], kind["closing"]
+
+        def step(acc: Column, token: Column) -> Column:
+            last = F.substring(token, -1, 1)  # outside of strings an escape says nothing, so what it stands before counts
+            escape = F.substring(token, 1, 1) == "\\"
+            depth = acc["depth"] + F.when(acc["inside"], 0).when(last == opening, 1).when(last == closing, -1).otherwise(0)
+            quote = (last == '"') & ~(acc["inside"] & escape)
+            after = F.struct(depth.alias("depth"), (acc["inside"] != quote).alias("inside"), (acc["length"] + F.length(token)).alias("length"), ((depth == 0) & ~acc["inside"] & (last == closing)).alias("done"))
+            return F.when(acc["done"], acc).otherwise(after)
+
+        return F.aggregate(F.regexp_extract_all(body, F.lit(_TOKEN), F.lit(0)), start, step, lambda acc: F.when(acc["done"], F.substring(body, F.lit(1), acc["length"])))
 
-    return F.aggregate(F.regexp_extract_all(body, F.lit(_TOKEN), F.lit(0)), start, step, lambda acc: F.when(acc["done"], F.substring(body, F.lit(1), acc["length"])))
+    # the text and its brackets are worked out once, not for each of its tokens
+    opened = once(F.regexp_extract(text, r"(?s)[\[{].*", 0), lambda body: F.struct(body.alias("body"), F.substring(body, 1, 1).alias("opening"), F.when(F.substring(body, 1, 1) == "{", "}").otherwise("]").alias("closing")))
+    return once(opened, ended)
 
 
 def scripts(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -55,14 +61,17 @@ def scripts(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataF
 
 def assignments(found: DataFrame, pattern: str, key: str = "page_id") -> DataFrame:
     """(key, script, nth, name, body) of what the scripts assign where ``pattern`` ends; its only group is the name. body is valid JSON."""
-    parts, marks = F.split("body", pattern), F.regexp_extract_all("body", F.lit(pattern), F.lit(0))
-    names = F.regexp_extract_all("body", F.lit(pattern), F.lit(1))
     length = lambda texts: F.aggregate(texts, F.lit(0), lambda acc, x: acc + F.length(x))
-    at = lambda i: length(F.slice(parts, F.lit(1), i + 1)) + length(F.slice(marks, F.lit(1), i + 1))
+    cut = F.struct(*(c.alias(n) for n, c in (("parts", F.split("body", pattern)), ("marks", F.regexp_extract_all("body", F.lit(pattern), F.lit(0))), ("names", F.regexp_extract_all("body", F.lit(pattern), F.lit(1))))))
+
+    def values(c: Column) -> Column:
+        at = lambda i: length(F.slice(c["parts"], F.lit(1), i + 1)) + length(F.slice(c["marks"], F.lit(1), i + 1))
+        valid = lambda i: once(balanced(F.substring(F.col("body"), at(i) + 1, F.length("body"))), lambda x: F.when(F.try_parse_json(x).isNotNull(), x))
+        return F.transform(c["names"], lambda name, i: F.struct(name.alias("name"), valid(i).alias("value")))
+
     marked = found.where(F.col("body").rlike(pattern))
-    each = marked.select(key, "script", "body", F.posexplode(F.transform(names, lambda name, i: F.struct(name.alias("name"), at(i).alias("at")))).alias("nth", "m"))
-    values = each.select(key, "script", "nth", "m.name", balanced(F.substring(F.col("body"), F.col("m.at") + 1, F.length("body"))).alias("body"))
-    return values.where(F.try_parse_json("body").isNotNull())
+    each = marked.select(key, "script", F.posexplode(once(cut, values)).alias("nth", "m"))
+    return each.where("m.value IS NOT NULL").select(key, "script", "nth", "m.name", F.col("m.value").alias("body"))
 
 
 def _names(names: tuple[str, ...]) -> str:

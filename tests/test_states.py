@@ -106,3 +106,13 @@ def test_pushed_pieces_in_order(spark):
     html = '<script>self.__next_f.push([1,"1:{\\"a\\":1}"])</script><script>self.__next_f.push([0]);self.__next_f.push([1, "2: [2]\\n"]);self.__next_f.push([1,"3:I\\n"]);self.__next_f.push([1,"{"])</script>'
     got = states.page_states(pages(spark, html)).collect()
     assert [(r["name"], json.loads(r["body"])) for r in got] == [("__NEXT_F__", [{"a": 1}, [2]])]
+
+
+def test_payloads_of_long_scripts_are_found_in_one_reading(spark):
+    import time
+
+    long = '{"a":[' + ",".join('"x{%d"' % i for i in range(20_000)) + "]}"
+    rows = spark.createDataFrame([(1, f"<script>const data = {long}; var product = {{}}; let product = {{open</script>")], "page_id int, html string")
+    began = time.time()
+    found = sorted((r["nth"], r["source"], len(r["body"])) for r in states.embedded_json(rows).collect())
+    assert found == [(0, "data", len(long)), (1, "product", 2)] and time.time() - began < 20
