@@ -35,8 +35,9 @@ def _is(v: Column, kind: str) -> Column:
 def candidates(rows: DataFrame, key: str, value: str, aliases: Mapping[str, str], depth: int = DEPTH) -> DataFrame:
     """(key, field, path, value) of every scalar in the VARIANT column ``value`` whose key is an alias of a field.
 
-    The walk opens one level of all rows at a time by ``variant_explode``; scalars stay as they are, so the plan is one chain without
-    a shuffle, and what lies deeper than ``depth`` levels gives none. A key counts by its snake-case form, for list items the
+    The walk opens one level of a row's values at a time, in one expression: scalars are put aside once, objects and lists are opened
+    until there are none or ``depth`` levels are down; what lies deeper gives none. Nothing is shuffled.
+    A key counts by its snake-case form, for list items the
     list's key. What is below variants isn't a candidate of the product, nor are names, texts, pictures and addresses of objects
     typed as one of ``OTHERS``; the name of an object whose key is an alias of brand is a brand. The names of a
     breadcrumb list make one category, and no other candidates; of a property with a name and a value, in
@@ -45,30 +46,52 @@ def candidates(rows: DataFrame, key: str, value: str, aliases: Mapping[str, str]
     other = rf"(?:^|[ /#])(?:{'|'.join(OTHERS)})(?: |$)"
     known = F.create_map(*(F.lit(x) for pair in {**aliases, "brand": "brand", "category": "category"}.items() for x in pair))
     none = F.lit(None).cast("string")
-    level = rows.select(F.col(key), F.col(value).alias("v"), F.array().cast("array<string>").alias("path"), none.alias("name"), F.lit(False).alias("variant"), F.lit(False).alias("other"))
-    for _ in range(depth):
-        kind = F.lower(F.coalesce(F.array_join(F.try_variant_get("v", "$['@type']", "array<string>"), " "), _text(F.col("v"), "$['@type']"), F.lit("")))
-        crumbs = F.try_variant_get("v", "$.itemListElement", "array<variant>")
-        names = F.filter(F.transform(crumbs, lambda c: F.trim(F.coalesce(_text(c, "$.name"), _text(c, "$.item.name")))), lambda n: n != "")
-        trail = F.when(F.size(names) > 0, F.parse_json(F.to_json(F.struct(F.array_join(names, " > ").alias("category"))))).otherwise(F.parse_json(F.lit("{}")))
-        labelled = F.when((F.col("name") == "additional_property") & F.variant_get("v", "$.value", "variant").isNotNull(), _text(F.col("v"), "$.name"))
-        label = F.coalesce(labelled, *(_text(F.col("v"), f"$.{x}") for x in LABELS))
-        object_ = _is(F.col("v"), "OBJECT")
-        level = level.select(
-            key, F.when(object_ & F.contains(kind, F.lit("breadcrumblist")), trail).otherwise(F.col("v")).alias("v"), "path", "name", "variant",
-            F.when(object_, kind.rlike(other)).otherwise(F.col("other")).alias("other"), F.when(object_, label).alias("label"), (object_ & (known[F.col("name")] == "brand")).alias("brand"),
-        )
-        level = level.lateralJoin(rows.sparkSession.tvf.variant_explode_outer(F.col("v").outer()).toDF("_pos", "_key", "_child"))
-        child, own = F.col("_child").isNotNull(), field_key(F.col("_key"))
-        value_of_label = F.col("label").isNotNull() & own.isin("value", *LABELLED)
-        name = F.when(~child | F.col("_key").isNull(), F.col("name")).when(value_of_label, field_key(F.col("label"))).when(F.col("label").isNotNull() | F.col("_key").startswith("@"), none).when((own == "name") & F.col("brand"), F.lit("brand")).otherwise(own)
-        level = level.select(
-            key, F.coalesce("_child", "v").alias("v"), F.when(child, F.array_append("path", F.coalesce("_key", F.col("_pos").cast("string")))).otherwise(F.col("path")).alias("path"),
-            name.alias("name"), (F.col("variant") | (child & F.coalesce(own.isin(*VARIANTS), F.lit(False)))).alias("variant"), "other",
-        )
-    scalar = level.where(F.col("v").isNotNull() & ~_is(F.col("v"), "OBJECT") & ~_is(F.col("v"), "ARRAY") & ~F.is_variant_null("v"))
-    found = scalar.select(key, known[F.col("name")].alias("field"), F.array_join("path", "/").alias("path"), F.trim(_text(F.col("v"))).alias("value"), "variant", "other")
-    return found.where("field IS NOT NULL AND value <> '' AND NOT variant").where(~(F.col("other") & F.col("field").isin(*NOT_OF_OTHERS))).select(key, "field", "path", "value")
+    schema = lambda v: F.substring(F.schema_of_variant(v), 1, 5)
+    made = lambda v, path, name, variant, other: F.struct(v.alias("v"), schema(v).alias("schema"), path.alias("path"), name.alias("name"), variant.alias("variant"), other.alias("other"))
+
+    def of_list(n: Column) -> Column:
+        items = F.try_variant_get(n["v"], "$", "array<variant>")
+        return F.transform(items, lambda v, i: made(v, F.array_append(n["path"], i.cast("string")), n["name"], n["variant"], n["other"]))
+
+    def of_object(n: Column) -> Column:
+        kind = F.lower(F.coalesce(F.array_join(F.try_variant_get(n["v"], "$['@type']", "array<string>"), " "), _text(n["v"], "$['@type']"), F.lit("")))
+        crumbs = F.filter(F.transform(F.try_variant_get(n["v"], "$.itemListElement", "array<variant>"), lambda c: F.trim(F.coalesce(_text(c, "$.name"), _text(c, "$.item.name")))), lambda t: t != "")
+        trail = once(crumbs, lambda names: F.when(F.size(names) > 0, F.parse_json(F.to_json(F.struct(F.array_join(names, " > ").alias("category"))))))
+        labelled = F.when((n["name"] == "additional_property") & F.variant_get(n["v"], "$.value", "variant").isNotNull(), _text(n["v"], "$.name"))
+        label = F.coalesce(labelled, *(_text(n["v"], f"$.{x}") for x in LABELS))
+        said = lambda kind: F.struct(kind.rlike(other).alias("other"), F.contains(kind, F.lit("breadcrumblist")).alias("crumbs"), label.alias("label"), field_key(label).alias("labelled"), (known[n["name"]] == "brand").alias("brand"))
+
+        def opened(o: Column) -> Column:
+            def child(e: Column) -> Column:
+                def of_key(own: Column) -> Column:
+                    name = (
+                        F.when(o["label"].isNotNull() & own.isin("value", *LABELLED), o["labelled"]).when(o["label"].isNotNull() | e["key"].startswith("@"), none)
+                        .when((own == "name") & o["brand"], F.lit("brand")).otherwise(own)
+                    )
+                    return made(e["value"], F.array_append(n["path"], e["key"]), name, n["variant"] | F.coalesce(own.isin(*VARIANTS), F.lit(False)), o["other"])
+
+                return once(field_key(e["key"]), of_key)
+
+            whole = F.when(o["crumbs"], trail).otherwise(n["v"])
+            return F.transform(F.map_entries(F.try_variant_get(whole, "$", "map<string,variant>")), child)
+
+        return once(once(kind, said), opened)
+
+    def opened(acc: Column) -> Column:
+        below = F.filter(F.flatten(F.array_compact(F.transform(acc["open"], lambda n: F.when(n["schema"] == "OBJEC", of_object(n)).otherwise(of_list(n))))), lambda n: ~n["variant"])
+
+        def sorted_out(nodes: Column) -> Column:
+            nested = lambda n: n["schema"].isin("OBJEC", "ARRAY")
+            field = lambda n: F.struct(known[n["name"]].alias("field"), F.array_join(n["path"], "/").alias("path"), F.trim(_text(n["v"])).alias("value"), n["other"].alias("other"))
+            told = F.filter(F.transform(F.filter(nodes, lambda n: ~nested(n) & n["name"].isNotNull()), field), lambda f: f["field"].isNotNull() & (f["value"] != "") & ~(f["other"] & f["field"].isin(*NOT_OF_OTHERS)))
+            return F.struct(F.filter(nodes, nested).alias("open"), F.concat(acc["told"], told).alias("told"))
+
+        return F.when(F.size(acc["open"]) == 0, acc).otherwise(once(below, sorted_out))
+
+    root = once(F.col(value), lambda v: made(v, F.array().cast("array<string>"), none, F.lit(False), F.lit(False)))
+    start = F.struct(F.filter(F.array(root), lambda n: n["schema"].isin("OBJEC", "ARRAY")).alias("open"), F.array().cast("array<struct<field:string,path:string,value:string,other:boolean>>").alias("told"))
+    told = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), start, lambda acc, _: opened(acc), lambda acc: acc["told"])
+    return rows.select(key, F.inline(told)).select(key, "field", "path", "value")
 
 
 @dataclass(frozen=True)

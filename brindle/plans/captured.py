@@ -104,7 +104,7 @@ def json_candidates(spark, sf_dir) -> DataFrame:
             F.array(s(lit("v1", "sku"), named(F.col("p_size"), "price"))).alias("variants"), s(lit("Review", "@type"), lit("Good", "name"), F.lit(4).alias("ratingValue")).alias("review"), lit("  ", "sku"),
         )
     )
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.try_parse_json(body).alias("v"))
+    rows = spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", F.try_parse_json(body).alias("v"))
     return json_values.candidates(rows, "p_partkey", "v", ALIASES)
 
 

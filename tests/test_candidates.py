@@ -103,3 +103,11 @@ def test_payloads_are_read_once_and_spread(spark, capsys):
     found.explain()
     plan = capsys.readouterr().out
     assert plan.count("parseJson") == 1 and "REPARTITION_BY_NUM" in plan
+
+
+def test_walk_is_one_expression_over_spread_rows(spark, capsys):
+    from brindle.plans import catalogue
+
+    catalogue.QUERIES["json_candidates"](spark, "/root/testdata/sf0.001").explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Generate") == 1 and "REPARTITION_BY_NUM" in plan
