@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.text import collapsed, singular
 from brindle.operators.matching import exact_category
+from brindle.session import spread
 
 # What the second and third pool of a product and a category's attributes weigh beside the first pool, which weighs 1,
 # the factor where the first pool meets nothing, and the least score.
@@ -59,6 +60,7 @@ def ranked_categories(
     (0.42 / 0.6 - 0.15 - 0.3) / 0.35 of its tokens in the path, so all but that many of them, and
     one, are enough: the longest, for long ones are mostly rarer. A pair of product and category comes once,
     from the first such token it shares, so pairs need no shuffle; product rows meet a taxonomy whose size doesn't grow with them.
+    Products with the same tokens in each pool have the same categories, so each such kind is asked for once, in several tasks a core.
     Null texts are empty; a product_id that repeats counts as one product with the smallest row of its texts; a null one is left out.
     A category that repeats counts once, with its smallest attributes; a null or blank path is left out.
     """
@@ -72,7 +74,10 @@ def ranked_categories(
     if index.count() <= BROADCAST_ROWS:
         index = F.broadcast(index)
 
-    pools = own.join(exact.select("product_id"), "product_id", "left_anti").select("product_id", *(bag(F.col(t)).alias(f"_{t}") for t in texts[1:]))
+    bags = [f"_{t}" for t in texts[1:]]
+    meant = own.join(exact.select("product_id"), "product_id", "left_anti").select("product_id", *(F.array_sort(bag(F.col(t))).alias(f"_{t}") for t in texts[1:]))
+    meant = spread(meant, "product_id")
+    pools = spread(meant.select(*bags).distinct(), *bags)
     pools = pools.withColumn("_all", F.array_union(F.array_union("_first", "_second"), "_third")).withColumn("_contexts", _contexts(F.col("_all"), conflicts))
     need = F.ceil(F.size("_second") * ((LEAST / UNMET - THIRD - ATTRIBUTES) / SECOND) - 1e-9)
     long_first = F.transform(F.array_sort(F.transform("_second", lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), lambda x: x["t"])
@@ -82,8 +87,10 @@ def ranked_categories(
 
     first = _share(F.col("_first"), F.col("_path"))
     total = first + _share(F.col("_second"), F.col("_path")) * SECOND + _share(F.col("_third"), F.col("_path")) * THIRD + _share(F.col("_all"), F.col("_more")) * ATTRIBUTES
-    scored = pairs.select("product_id", "category", F.when(first == 0, total * UNMET).otherwise(total).alias("score"))
+    scored = pairs.select(*bags, "category", F.when(first == 0, total * UNMET).otherwise(total).alias("score"))
     scored = scored.where(F.col("score") >= LEAST)
-    order = Window.partitionBy("product_id").orderBy(F.desc("score"), F.length("category"), "category")
-    best = scored.select("product_id", "category", F.round("score", 3).alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
-    return exact.select("product_id", "category", "score", F.lit("exact_match").alias("source"), F.lit(1).alias("rank")).unionByName(best.select("product_id", "category", "score", F.lit("scored_match").alias("source"), "rank"))
+    order = Window.partitionBy(*bags).orderBy(F.desc("score"), F.length("category"), "category")
+    best = scored.select(*bags, "category", F.round("score", 3).alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    found = best.groupBy(*bags).agg(F.collect_list(F.struct("category", "score", F.lit("scored_match").alias("source"), "rank")).alias("_found"))
+    best = meant.join(found.hint("merge"), bags).select("product_id", F.inline("_found"))
+    return exact.select("product_id", "category", "score", F.lit("exact_match").alias("source"), F.lit(1).alias("rank")).unionByName(best)

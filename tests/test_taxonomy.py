@@ -83,3 +83,25 @@ def test_singular(spark):
     words = ["berries", "ties", "glasses", "boxes", "benches", "dishes", "lamps", "bus", "gas", "glass", "s", "", "yes", "shoes"]
     rows = spark.createDataFrame([(w,) for w in words], "w string")
     assert [r[0] for r in rows.select(text.singular(rows.w)).collect()] == [one(w) for w in words]
+
+
+def test_products_with_the_same_tokens_are_asked_for_once(spark, capsys):
+    from brindle.operators import matching
+
+    products = spark.range(400).selectExpr("id AS product_id", "CASE id % 4 WHEN 0 THEN 'Red oak chair' WHEN 1 THEN 'chair, oak red' WHEN 2 THEN '' END AS text").coalesce(1)
+    shelf = spark.createDataFrame([("oak chair",), ("red box",), ("glass lamp red",)], "category string")
+    found = matching.taxonomy_match(products, shelf)
+    assert sorted((r["product_id"], r["category"], r["score"], r["rank"]) for r in found.collect()) == [(i, c, s, n) for i in range(400) if i % 4 < 2 for c, s, n in (("oak chair", 1.0, 1), ("red box", 0.5, 2))]
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "REPARTITION_BY_NUM" in plan and "partitionBy" not in plan and "windowspecdefinition(product_id" not in plan
+
+
+def test_ranked_products_of_the_same_pools_share_one_ranking(spark, capsys):
+    products = spark.range(60).selectExpr("id AS product_id", "'' AS value", "CASE WHEN id % 2 = 0 THEN 'oak chair' ELSE 'Chairs of OAK' END AS first", "'red' AS second", "'' AS third")
+    shelf = spark.createDataFrame([("oak > chairs", "", "red"), ("lamps", "", "")], "category string, leaf string, attributes string")
+    found = taxonomy.ranked_categories(products, shelf)
+    got = {r["product_id"]: (r["category"], r["rank"]) for r in found.collect()}
+    assert got == {i: ("oak > chairs", 1) for i in range(60)}
+    found.explain()
+    assert "windowspecdefinition(product_id" not in capsys.readouterr().out
