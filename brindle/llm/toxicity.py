@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +27,16 @@ PRIOR_VOTE = 0.01
 BLOCK = 32
 #: Blocks scored before any is ruled out.
 FIRST = 4
+#: A term that one in so many examples has is common.
+COMMON = 8
 THRESHOLD = 0.7
 #: Words whose numbers a worker keeps.
 WORDS = 150_000
+#: Characters of texts whose words are numbered before they are searched for.
+TOGETHER = 800_000
 
 _TERM = re.compile(r"\w+")
+_NONE = np.zeros(0, dtype=np.int64)
 
 
 def word_counts(text: str | None) -> Counter[str]:
@@ -44,34 +49,80 @@ def word_hash(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) >> 1
 
 
+def _together(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
+    """The texts in lists of ``TOGETHER`` characters, or a longer text after others that have fewer."""
+    some, n = [], 0
+    for text in texts:
+        some.append(text)
+        n += len(text or "") + 1
+        if n >= TOGETHER:
+            yield some
+            some, n = [], 0
+    if some:
+        yield some
+
+
+def _numbered(words: Collection[str], numbers: dict[str, int], vocabulary: np.ndarray) -> np.ndarray:
+    """The place of each different word in ``vocabulary``, sorted hashes, or -1; ``numbers`` keeps at most ``WORDS`` places, or those new in one text.
+
+    Kept words are looked up once; a table of that many is far larger than a processor's cache.
+    """
+    found = list(map(numbers.get, words))
+    if None in found:
+        new = [w for w, n in zip(words, found) if n is None]
+        hashes = np.fromiter(map(word_hash, new), dtype=np.int64, count=len(new))
+        at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
+        own = np.where(vocabulary[at] == hashes, at, -1).tolist()
+        if len(numbers) + len(new) > WORDS:
+            numbers.clear()
+        numbers.update(zip(new, own))
+        rest = iter(own)
+        found = [next(rest) if n is None else n for n in found]
+    return np.array(found, dtype=np.int64)
+
+
 def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The numbers of all given spans, one span after the other."""
     ends = np.cumsum(lengths)
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
 
 
-class BlockMaxIndex:
-    """Postings of unit vectors; of each term and block of examples the largest weight is known.
+def _summed(rows: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The sum of the rows, each times its weight, row by row, so that equal columns have equal sums; changes ``rows``."""
+    rows *= weight
+    return np.add.reduce(rows, axis=0)
 
-    ``nearest`` is exact: the blocks of largest bounds are scored first, and others only if the sum of
-    their largest weights reaches the k-th best similarity found there. Ties go to the smaller number.
+
+class BlockMaxIndex:
+    """Postings of unit vectors; of each common term and block of examples the largest weight is known.
+
+    ``nearest`` is exact: the blocks of largest bounds are scored first, and others only if their bound
+    reaches the k-th best similarity found there. Ties go to the smaller number. Terms of one in ``COMMON``
+    examples or more have most postings of a query; their weights lie in rows by block, zeros included
+    (at most ``COMMON`` times their postings), and only those of scored blocks are read. The postings of other
+    terms are summed at once, which is less work than their bounds; a block's bound is its largest such sum
+    and the largest weights of the common terms.
     """
 
     def __init__(self, vectors: list[dict[int, float]]):
-        self.size = len(vectors)
+        self.size, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
         lengths = [len(v) for v in vectors]
         term = np.fromiter((t for v in vectors for t in v), dtype=np.int64, count=sum(lengths))
         weight = np.fromiter((w for v in vectors for w in v.values()), dtype=np.float64, count=sum(lengths))
         example = np.repeat(np.arange(self.size), lengths)
         order = np.lexsort((example, term))
-        term, self.weight, self.example = term[order], weight[order], example[order].astype(np.int32)
-        block = self.example // BLOCK
-        new = np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])) if len(term) else np.zeros(0, dtype=bool)
-        at = np.flatnonzero(new)
-        #: Of each run of postings with one term and block: its block, largest weight, start and length.
-        self.run_block, self.run_most = block[at], np.maximum.reduceat(self.weight, at) if len(at) else self.weight
-        self.run_start, self.run_length = at, np.diff(np.append(at, len(term)))
-        self.run_of_term = np.searchsorted(term[at], np.arange(term[-1] + 2 if len(term) else 1))
+        term, self.weight, self.example = term[order], weight[order], example[order]
+        self.start = np.searchsorted(term, np.arange(term[-1] + 2 if len(term) else 1))
+        self.count = np.diff(self.start)
+        common = np.flatnonzero(self.count * COMMON >= max(1, self.size))
+        self.row = np.full(len(self.count), -1, dtype=np.int32)
+        self.row[common] = np.arange(len(common))
+        at = _spans(self.start[common], self.count[common])
+        #: Of each common term and block: the weights in its examples, and the largest.
+        self.weights = np.zeros((len(common), self.blocks * BLOCK))
+        self.weights[np.repeat(np.arange(len(common)), self.count[common]), self.example[at]] = self.weight[at]
+        self.weights = self.weights.reshape(len(common), self.blocks, BLOCK)
+        self.most = self.weights.max(axis=2)
 
     def nearest(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
         """The k most similar examples with a similarity above 0, as (similarity, example), best first."""
@@ -80,35 +131,33 @@ class BlockMaxIndex:
 
     def nearest_of(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
         """As ``nearest``, of a query as arrays of its terms and their weights."""
-        known = (terms >= 0) & (terms < len(self.run_of_term) - 1)
+        known = (terms >= 0) & (terms < len(self.count))
         terms, weights = terms[known], weights[known]
-        first = self.run_of_term[terms]
-        count = self.run_of_term[terms + 1] - first
-        runs, weight = _spans(first, count), np.repeat(weights, count)
-        if not len(runs):
+        if not len(terms):
             return []
-        blocks = self.run_block[runs]
-        bounds = np.bincount(blocks, weights=self.run_most[runs] * weight, minlength=-(-self.size // BLOCK))
+        row = self.row[terms]
+        common, rare = np.flatnonzero(row >= 0), np.flatnonzero(row < 0)
+        row, weight = row[common], weights[common][:, None]
+        count = self.count[terms[rare]]
+        at = _spans(self.start[terms[rare]], count)
+        sums = np.bincount(self.example[at], weights=self.weight[at] * np.repeat(weights[rare], count), minlength=self.blocks * BLOCK).reshape(-1, BLOCK)
+        bounds = sums.max(axis=1) + _summed(self.most[row], weight)
 
         def score(chosen: np.ndarray) -> np.ndarray:
-            take = chosen[blocks]
-            length = self.run_length[runs[take]]
-            at = _spans(self.run_start[runs[take]], length)
-            return np.bincount(self.example[at], weights=self.weight[at] * np.repeat(weight[take], length), minlength=self.size)
-
-        scored = np.zeros(len(bounds), dtype=bool)
-        scored[np.argpartition(-bounds, FIRST)[:FIRST] if len(bounds) > FIRST else slice(None)] = True
-        scores = score(scored)
-        least = np.partition(scores, -k)[-k] if self.size > k else 0.0
-        more = ~scored & (bounds >= max(least - 1e-9, 1e-12))
+            return sums[chosen].ravel() + _summed(self.weights[row[:, None], chosen].reshape(len(row), len(chosen) * BLOCK), weight)
+
+        chosen = np.argpartition(-bounds, FIRST)[:FIRST] if self.blocks > FIRST else np.arange(self.blocks)
+        scores = score(chosen)
+        least = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
+        more = bounds >= max(least - 1e-9, 1e-12)
+        more[chosen] = False
         if more.any():
-            scores += score(more)
-        if self.size > k:
-            found = np.flatnonzero(scores >= max(np.partition(scores, -k)[-k], 1e-300))
-        else:
-            found = np.flatnonzero(scores > 0)
-        best = found[np.lexsort((found, -scores[found]))[:k]]
-        return list(zip(scores[best].tolist(), best.tolist()))
+            others = np.flatnonzero(more)
+            chosen, scores = np.append(chosen, others), np.append(scores, score(others))
+        found = np.flatnonzero(scores >= max(least, 1e-300))
+        example, scores = chosen[found // BLOCK] * BLOCK + found % BLOCK, scores[found]
+        best = np.lexsort((example, -scores))[:k]
+        return list(zip(scores[best].tolist(), example[best].tolist()))
 
 
 class Model:
@@ -137,31 +186,28 @@ class Model:
         raw = (1 + np.log(counts)) * self.weight[terms]
         return terms, raw / math.sqrt(float(raw @ raw)) if len(raw) else raw
 
-    def numbers(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers and counts of all words of a text that an example has."""
+    def query(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The ``vector`` of a text, of all its words that an example has."""
         counts = word_counts(text)
-        if new := [w for w in counts if w not in self.words]:
-            if len(self.words) + len(new) > WORDS:
-                self.words.clear()
-                new = list(counts)
-            hashes = np.fromiter(map(word_hash, new), dtype=np.int64, count=len(new))
-            at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-            self.words.update(zip(new, np.where(self.vocabulary[at] == hashes, at, -1).tolist()))
-        terms = np.fromiter(map(self.words.__getitem__, counts), dtype=np.int64, count=len(counts))
+        terms = _numbered(counts, self.words, self.vocabulary)
         known = terms >= 0
-        return terms[known], np.fromiter(counts.values(), dtype=np.float64, count=len(counts))[known]
+        return self.vector(terms[known], np.fromiter(counts.values(), dtype=np.float64, count=len(counts))[known])
 
     def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
         """A score from 0 to 1 and its evidence: (similarity, doc_id) of the nearest examples.
 
         Votes weigh as their similarity, the prior as ``PRIOR_VOTE``. A text without words that an example has gets the prior.
         """
-        if not len(self.vocabulary):
-            return self.prior, []
-        near = self.index.nearest_of(*self.vector(*self.numbers(text)), NEIGHBOURS)
-        toxic = sum(s for s, i in near if self.labels[i])
-        found = (toxic + PRIOR_VOTE * self.prior) / (sum(s for s, _ in near) + PRIOR_VOTE)
-        return min(1.0, max(0.0, found)), [(s, self.ids[i]) for s, i in near]
+        return next(self.scores([text]))
+
+    def scores(self, texts: Iterable[str | None]) -> Iterator[tuple[float, list[tuple[float, int]]]]:
+        """The ``score`` of each text. Words of texts of ``TOGETHER`` characters are numbered before the first is searched for, so words and index don't drive each other from the cache."""
+        for some in _together(texts):
+            for terms, weights in [self.query(t) for t in some] if len(self.vocabulary) else [(_NONE, _NONE)] * len(some):
+                near = self.index.nearest_of(terms, weights, NEIGHBOURS)
+                toxic = sum(s for s, i in near if self.labels[i])
+                found = (toxic + PRIOR_VOTE * self.prior) / (sum(s for s, _ in near) + PRIOR_VOTE)
+                yield min(1.0, max(0.0, found)) if near else self.prior, [(s, self.ids[i]) for s, i in near]
 
 
 def training_rows(labels: DataFrame, sample: int = SAMPLE) -> tuple[list[tuple[int, int]], float]:
@@ -196,27 +242,31 @@ def _examples(docs: DataFrame, rows: list[tuple[int, int]]) -> list[tuple[int, i
 def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
     """In how many of all documents each word of ``vocabulary``, sorted hashes, stands, and how many documents there are.
 
-    A task keeps one counter a word of the vocabulary and sends those above 0 once, whatever its rows.
+    A task keeps one counter a word of the vocabulary and sends those above 0 once, whatever its rows; words are counted as they
+    are, and hashed and looked up once for every ``WORDS`` distinct ones.
     """
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
-        total = np.zeros(len(known) + 1, dtype=np.int64)
-        numbers: dict[str, int] = {}
-        claim("toxicity", numbers.clear)
+        total = np.zeros(len(known), dtype=np.int64)
+        held: Counter[str] = Counter()
+        claim("toxicity", held.clear)
+
+        def settle() -> None:
+            hashes = np.fromiter(map(word_hash, held), dtype=np.int64, count=len(held))
+            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            hit = known[at] == hashes
+            np.add.at(total, at[hit], np.fromiter(held.values(), dtype=np.int64, count=len(held))[hit])
+            held.clear()
+
         for batch in batches:
             for text in batch.column(0):
-                words = set(_TERM.findall((text.as_py() or "").lower()))
-                if new := [w for w in words if w not in numbers]:
-                    if len(numbers) + len(new) > WORDS:
-                        numbers.clear()
-                        new = list(words)
-                    hashes = np.fromiter(map(word_hash, new), dtype=np.int64, count=len(new))
-                    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                    numbers.update(zip(new, np.where(known[at] == hashes, at, len(known)).tolist()))
-                total[np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words))] += 1
-        at = np.flatnonzero(total[:-1])
+                held.update(set(_TERM.findall((text.as_py() or "").lower())))
+                if len(held) > WORDS:
+                    settle()
+        settle()
+        at = np.flatnonzero(total)
         for start in range(0, len(at), 65_536):
             part = at[start : start + 65_536]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part], pa.int64())], ["word", "n"])
@@ -255,7 +305,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sent.value.score(t.as_py()) for t in batch.column(1)]
+            found = list(sent.value.scores(t.as_py() for t in batch.column(1)))
             evidence = [[{"similarity": s, "doc_id": i} for s, i in e] for _, e in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array(evidence, shape)], ["doc_id", "score", "evidence"])
 
@@ -269,7 +319,7 @@ def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([sent.value.score(t.as_py())[0] < threshold for t in batch.column(at)], pa.bool_()))
+            yield batch.filter(pa.array([score < threshold for score, _ in sent.value.scores(t.as_py() for t in batch.column(at))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -223,6 +224,79 @@ def test_block_max_index_is_exact():
         assert [round(s, 9) for s, _ in got] == [round(s, 9) for s, _ in dots if s > 0]
 
 
+def test_block_max_index_takes_less_than_summing_all_postings():
+    """Ruling blocks out must save more than it costs, for texts of many ordinary words too, and find the same."""
+    rng = np.random.default_rng(6)
+    texts = [np.unique(np.minimum(rng.zipf(1.25, 600), 60_000)) for _ in range(3_000)]
+    vectors = [dict(zip(t.tolist(), (w / np.sqrt(w @ w)).tolist())) for t in texts for w in [np.log(2 + t)]]
+    index = toxicity.BlockMaxIndex(vectors)
+    term = np.concatenate(texts)
+    order = np.argsort(term, kind="stable")
+    example, weight = np.repeat(np.arange(len(texts)), [len(t) for t in texts])[order], np.concatenate([list(v.values()) for v in vectors])[order]
+    start = np.searchsorted(term[order], np.arange(60_002))
+    queries = [(np.array(list(v)), np.array(list(v.values()))) for v in vectors[:150]]
+
+    def summed(terms, weights):
+        count = start[terms + 1] - start[terms]
+        at = toxicity._spans(start[terms], count)
+        return np.bincount(example[at], weights=weight[at] * np.repeat(weights, count), minlength=len(texts))
+
+    def seconds(work):
+        begun = time.process_time()
+        for q in queries:
+            work(*q)
+        return time.process_time() - begun
+
+    for q in queries:
+        want, got = summed(*q), index.nearest_of(*q, 15)
+        assert [s for s, _ in got] == pytest.approx(sorted(want, reverse=True)[:15]) and [want[i] for _, i in got] == pytest.approx([s for s, _ in got])
+    took = [(seconds(lambda *q: index.nearest_of(*q, 15)), seconds(summed)) for _ in range(5)]
+    assert min(a for a, _ in took) < min(b for _, b in took)
+
+
+def test_toxicity_looks_kept_words_up_once():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            Counted.asked += 1
+            return super().get(*key)
+
+        def __contains__(self, key):
+            Counted.asked += 1
+            return super().__contains__(key)
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+    held = [f"word{i}" for i in range(0, 100, 2)]
+    vocabulary = np.sort(np.array([toxicity.word_hash(w) for w in held]))
+    model = toxicity.Model(vocabulary, np.ones(len(held)), [(1, 0, np.arange(len(held)), np.ones(len(held)))], 0.1)
+    model.words = Counted()
+    text = " ".join(f"word{i} word{i}" for i in range(100))
+    for _ in range(2):
+        Counted.asked = 0
+        near = model.score(text)[1]
+        assert near == [(pytest.approx(1), 1)]
+    assert Counted.asked == 100
+
+
+@pytest.mark.parametrize("kept", [1, 7, 1_000])
+def test_toxicity_scores_do_not_depend_on_what_is_kept(kept, monkeypatch):
+    """Texts scored together, in any number and with any room for words, have the scores they have alone."""
+    rng = random.Random(8)
+    counts = [Counter(rng.choices(WORDS, k=30)) for _ in range(60)]
+    vocabulary = np.unique([toxicity.word_hash(w) for c in counts for w in c])
+    own = [(i, i % 3 // 2, np.searchsorted(vocabulary, [toxicity.word_hash(w) for w in c]), np.array(list(c.values()), dtype=float)) for i, c in enumerate(counts)]
+    texts = [" ".join(rng.choices(WORDS + ["unheard"], k=rng.randrange(40))) for _ in range(30)] + [None, "", "unheard"]
+    alone = [toxicity.Model(vocabulary, np.ones(len(vocabulary)), own, 0.3).score(t) for t in texts]
+    monkeypatch.setattr(toxicity, "WORDS", kept)
+    monkeypatch.setattr(toxicity, "TOGETHER", kept)
+    assert list(toxicity.Model(vocabulary, np.ones(len(vocabulary)), own, 0.3).scores(texts)) == alone
+    assert alone[-1] == (pytest.approx(0.3), []) and alone[-3:] == [alone[-1]] * 3
+
+
 def test_toxicity_learns_and_ignores_held_out(spark):
     rng = random.Random(1)
     clean = ["tree", "river", "stone", "cloud", "grass", "light", "house"]
